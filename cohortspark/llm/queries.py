@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import op2_decontamination
 from .language_id import op7_language_id
 from .near_duplicates import op1_near_duplicates
 from .quality import op6_quality
@@ -14,10 +16,13 @@ from .token_counts import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
+}
