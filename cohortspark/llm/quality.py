@@ -94,26 +94,29 @@ def _calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-
     return w
 
 
-def train_quality(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
-    """A model from ``labelled`` (doc_id, text, quality); rows with a null in text or quality are skipped.
-
-    The sample is bounded: of each class the ``rows`` rows of the smallest hash
-    of doc_id, read until ``most_bytes`` of text.  One half makes the
-    dictionaries, the other half calibrates.  Without rows of both classes the
-    score is 1 or 0 if there is one class, 0.5 if there is none.
+def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> QualityModel:
+    """A model from documents (doc_id, text) and labels (doc_id, quality); rows with a null in any of these are skipped.
+
+    The sample is bounded: of each class the ``rows`` labels of the smallest
+    hash of doc_id are chosen, whose texts are read in that order until
+    ``most_bytes``.  Only the choice, at most 2 * ``rows`` ids, meets the texts.
+    One half makes the dictionaries, the other half calibrates.  Without rows
+    of both classes the score is near 1 or 0 if there is one class, 0.5 if
+    there is none.
     """
-    found: dict[int, list[bytes]] = {}
-    usable = labelled.where("text is not null and quality is not null")
+    named = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
+    chosen = None
     for quality in (0, 1):
-        part = usable.where(F.col("quality") == quality).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-        texts, total = [], 0
-        for row in part.orderBy("h", "doc_id", "text").limit(rows).toLocalIterator():
-            data = row["text"].encode()
-            texts.append(data)
-            total += len(data)
-            if total > most_bytes:
-                break
-        found[quality] = texts
+        part = named.where(F.col("quality") == quality).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "quality", "text").limit(4 * rows)
+    found: dict[int, list[bytes]] = {0: [], 1: []}
+    sizes = [0, 0]
+    for row in sample.toLocalIterator():
+        if sizes[row["quality"]] <= most_bytes:
+            found[row["quality"]].append(row["text"].encode())
+            sizes[row["quality"]] += len(found[row["quality"]][-1])
     halves = {q: (texts[::2], texts[1::2]) for q, texts in found.items()}
     if not halves[0][1] or not halves[1][1]:
         sign = bool(found[1]) - bool(found[0])
@@ -149,9 +152,7 @@ def _held_out() -> F.Column:
 
 def fold_model(documents: DataFrame, labels: DataFrame) -> QualityModel:
     """A model learnt from labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~_held_out())
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return train_quality(docs.where(~_held_out()).join(train, "doc_id"))
+    return train_quality(documents, labels.where(~_held_out()))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
