@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Marks that stay at the head of a line.
 KEPT_MARKS = r"%+/?\-().,:;"
@@ -14,7 +15,7 @@ DOSE_FORMS = r"(?i)\b(tab|cap|inj|syp|tablet|capsule|syrup|injection)\b\.?"
 STRENGTH = r"(?i)\b\d+\s*(mg|ml|mcg|g)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -32,7 +33,7 @@ def strip_leading_marks(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+    return F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
 
 
 def sanitize(text: Column, normalize: bool = True) -> Column:

@@ -11,9 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(query: pd.Series, target: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio, the query first: it is not symmetric."""
     memo: dict[tuple[str, str], float] = {}
@@ -45,7 +46,7 @@ def hashed_ngrams(text: str, size: int) -> np.ndarray:
 def embedder(size: int = 64, encode=hashed_ngrams):
     """A column function from text to a unit vector; ``encode(text, size)`` may be any model, loaded lazily on the worker."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda x: encode(x, size).tolist(), na_action="ignore")

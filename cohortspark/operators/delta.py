@@ -70,7 +70,11 @@ STATUSES = {
 
 def long_form(delta: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, entity_type, status, entity): one row a term of a delta."""
-    parts = [F.transform(F.col(c), lambda t, kind=kind, status=status: F.struct(F.lit(kind).alias("entity_type"), F.lit(status).alias("status"), t.alias("entity"))) for c, (kind, status) in STATUSES.items()]
+
+    def named(column: str, kind: str, status: str) -> Column:
+        return F.transform(F.col(column), lambda t: F.struct(F.lit(kind).alias("entity_type"), F.lit(status).alias("status"), t.alias("entity")))
+
+    parts = [named(c, kind, status) for c, (kind, status) in STATUSES.items()]
     return delta.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.*")
 
 

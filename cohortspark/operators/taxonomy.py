@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 LEVELS = 64
 GENERIC_DEPTH = 2
 
@@ -21,6 +23,7 @@ def ancestor_closure(nodes: DataFrame, edges: DataFrame, levels: int = LEVELS) -
 
     Grows by one level a round until nothing is added; a cycle makes it fail.
     """
+    ensure_checkpoint_dir(nodes.sparkSession)
     own = nodes.select(F.col("code"), F.col("code").alias("ancestor"), F.lit(0).alias("steps"))
     closure, front = own, own
     for level in range(1, levels + 1):
