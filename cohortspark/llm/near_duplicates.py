@@ -8,19 +8,22 @@
    agree in ``LEAST`` must meet in the first COORDINATES - LEAST + 1, so only
    that prefix is posted.  Posting lists of one document are skipped.
 3. Within a list, signatures are compared position by position and a pair is
-   retained at ``MATCHES`` equal positions; pairs that other pairs of the list
+   retained at a number of equal positions six deviations below the expected;
+   pairs that other pairs of the list
    already connect are skipped, so a list gives at most one edge per document.
    Long lists are dealt out as pairs of blocks.
 4. The retained edges' components bound the search: within a component, full
    shingle sets are compared exactly, again block by block and skipping pairs
    already connected, and confirmed links give the result's components.
 
-At a Jaccard similarity of 0.85 the chance that a pair is missed by step 2 is
-below 1e-7 and by step 3 below 1e-8; every link is confirmed on full sets.
+For a pair just at a threshold of 0.8 the chance to be missed by step 2 is
+below 2e-7 and by step 3 about 1e-8 (less at 0.85); every link is confirmed on
+full sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,9 +36,9 @@ from .common import Scratch, table, whole_groups
 from .components import connected_components
 
 COORDINATES, WIDTH, LEAST = 32, 4, 3
-POSITIONS, MATCHES = 256, 184
+POSITIONS = 256
 LIST_BLOCK, SET_BLOCK = 1024, 200_000
-NUMERATOR, DENOMINATOR = 85, 100
+SIMILARITY = (80, 100)
 
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, posts array<long>, signature binary"
 
@@ -80,13 +83,19 @@ class _Forest:
         self.label[self.label == self.label[j]] = self.label[i]
 
 
-def _open_pairs(forest: _Forest, i: int, side: np.ndarray, crossing: bool, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def matches_for(similarity: tuple[int, int]) -> int:
+    """Equal positions from which a pair is retained: six standard deviations below what the threshold gives."""
+    p = similarity[0] / similarity[1]
+    return max(1, math.floor(POSITIONS * p - 6 * math.sqrt(POSITIONS * p * (1 - p))))
+
+
+def _open_pairs(forest: _Forest, i: int, side: np.ndarray, crossing: bool, signature: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Later rows that are not yet connected with row i and match its signature, and their matches."""
     ahead = np.flatnonzero(forest.label[i + 1 :] != forest.label[i]) + i + 1
     if crossing:
         ahead = ahead[side[ahead] != side[i]]
     matches = np.concatenate([(signature[part] == signature[i]).sum(axis=1) for part in np.array_split(ahead, len(ahead) // 4096 + 1)])
-    good = matches >= MATCHES
+    good = matches >= least
     return ahead[good], matches[good]
 
 
@@ -99,7 +108,7 @@ def _read_group(rows: pa.Table, a: int, b: int) -> tuple[np.ndarray, np.ndarray,
     return signature, side, part.column("lo")[0].as_py() != part.column("hi")[0].as_py()
 
 
-def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_edges(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """At most one edge a document for each list: pairs retained by their signatures."""
     for rows, edges in whole_groups(batches, ["post", "lo", "hi"]):
         node = rows.column("node").to_numpy()
@@ -109,7 +118,7 @@ def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature, side, crossing = _read_group(rows, a, b)
             forest = _Forest(b - a)
             for i in range(b - a - 1):
-                for j in _open_pairs(forest, i, side, crossing, signature)[0]:
+                for j in _open_pairs(forest, i, side, crossing, signature, least)[0]:
                     if forest.label[i] != forest.label[j]:
                         forest.join(i, j)
                         us.append(node[a + i])
@@ -117,8 +126,9 @@ def _list_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterable[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """At most one edge a document for each block pair: links confirmed on full shingle sets."""
+    least, (numerator, denominator) = matches_for(similarity), similarity
     for rows, edges in whole_groups(batches, ["cluster", "lo", "hi"]):
         node, sets = rows.column("node").to_numpy(), rows.column("shingles")
         us, vs = [], []
@@ -129,13 +139,13 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(x) for x in full])
             forest = _Forest(b - a)
             for i in range(b - a - 1):
-                js, matches = _open_pairs(forest, i, side, crossing, signature)
-                near = DENOMINATOR * np.minimum(n[js], n[i]) >= NUMERATOR * np.maximum(n[js], n[i])
+                js, matches = _open_pairs(forest, i, side, crossing, signature, least)
+                near = denominator * np.minimum(n[js], n[i]) >= numerator * np.maximum(n[js], n[i])
                 js, matches = js[near], matches[near]
                 for j in js[np.argsort(-matches, kind="stable")]:
                     if forest.label[i] != forest.label[j]:
                         both = len(np.intersect1d(full[i], full[j], assume_unique=True))
-                        if DENOMINATOR * both >= NUMERATOR * (n[i] + n[j] - both):
+                        if denominator * both >= numerator * (n[i] + n[j] - both):
                             forest.join(i, j)
                             us.append(node[a + i])
                             vs.append(node[a + j])
@@ -154,8 +164,8 @@ def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of at least 0.85.
+def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of at least ``similarity``, a fraction from 0.75.
 
     Reads ``doc_id`` and ``text``; other columns are ignored.  Returns doc_id,
     n_shingles, component_id (the smallest doc_id reachable) and kept.
@@ -165,6 +175,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     joined, and each row is returned.  A row with a null doc_id takes no part:
     its component_id is null and it is kept.  An empty table gives no rows.
     """
+    if similarity[0] < 0.75 * similarity[1]:
+        raise ValueError("the posted coordinates are chosen for similarities from 0.75")
+    least = matches_for(similarity)
     spark = documents.sparkSession
     scratch = Scratch(spark, "near")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -181,14 +194,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # (node, post) of lists worth reading first, signatures only then
     shared = posts.join(lists, "post")
     dealt = _dealt(shared.join(classes.select("node", "signature"), "node"), "blocks")
-    edges = scratch.save(dealt.repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi").mapInArrow(_list_edges, "u long, v long"))
+    edges = scratch.save(dealt.repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi").mapInArrow(lambda x: _list_edges(x, least), "u long, v long"))
     clusters = scratch.save(connected_components(edges, scratch).select("node", F.col("root").alias("cluster")))
     members = clusters.join(classes.select("node", "n_shingles", "signature"), "node")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / SET_BLOCK).cast("long").alias("blocks"))
     whole = members.drop("n_shingles").join(blocks, "cluster")
     texts = whole.join(docs.withColumnRenamed("doc_id", "node"), "node")
     sets = _dealt(texts, "blocks").repartition("cluster", "lo", "hi").mapInArrow(_sets, "lo long, hi long, cluster long, side int, node long, signature binary, shingles binary")
-    links = scratch.save(sets.sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_confirmed, "u long, v long"))
+    links = scratch.save(sets.sortWithinPartitions("cluster", "lo", "hi").mapInArrow(lambda x: _confirmed(x, similarity), "u long, v long"))
     roots = scratch.save(connected_components(links, scratch))
     scratch.drop(edges, clusters, links)
     named = classes.select("d1", "d2", "node").join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
@@ -199,4 +212,4 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))

@@ -128,20 +128,20 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
     return QualityModel(good, bad, tuple(_calibrate(x, y)))
 
 
-def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``documents`` but ``quality_score``, which is added (replaced, if there).
+def score_quality(documents: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
+    """All columns of ``documents`` but ``column``, the score, which is added (replaced, if there).
 
     Reads whole texts.  A null text is scored as the empty one.  Rows that
     repeat are scored each; an empty table gives no rows.
     """
-    kept = [c for c in documents.columns if c != "quality_score"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema) + ", quality_score double"
+    kept = [c for c in documents.columns if c != column]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema) + f", `{column}` double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
             scores = pa.array([score(x.as_py() or "") for x in batch.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, column])
 
     return documents.select(*kept).mapInArrow(run, schema)
 

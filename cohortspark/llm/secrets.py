@@ -152,8 +152,8 @@ def train_forest(spark: SparkSession, findings: list[dict]):
     return _forest(json.dumps(findings, sort_keys=True), spark.sparkContext.applicationId)
 
 
-def scan(documents: DataFrame, forest, threshold: float = THRESHOLD, path: str = "source") -> DataFrame:
-    """All columns of ``documents`` with ``findings`` and ``redacted`` added (replaced, if there).
+def scan(documents: DataFrame, forest, threshold: float = THRESHOLD, path: str = "source", names: tuple[str, str] = ("findings", "redacted")) -> DataFrame:
+    """All columns of ``documents`` with ``findings`` and ``redacted`` (or other ``names``) added (replaced, if there).
 
     ``findings`` lists every candidate in order: value, at (its first
     character, from 0), score and secret.  ``redacted`` is the whole text with
@@ -189,7 +189,7 @@ def scan(documents: DataFrame, forest, threshold: float = THRESHOLD, path: str =
     )
     kept = F.zip_with("__values", "__scores", lambda v, s: F.when(s >= threshold, F.lit(MASK)).otherwise(v))
     redacted = F.when(some, F.array_join(F.zip_with("__parts", kept, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")).otherwise(text)
-    return located.withColumns({"findings": findings, "redacted": redacted}).drop("__values", "__parts", "__x", "__scores", "__ends")
+    return located.withColumns(dict(zip(names, (findings, redacted), strict=True))).drop("__values", "__parts", "__x", "__scores", "__ends")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
