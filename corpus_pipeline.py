@@ -21,7 +21,7 @@ from cohortspark.llm.secrets import labelled_findings, scan, train_forest
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = fold_model(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    return score_quality(docs, model, "__quality").where(F.col("__quality") >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,15 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
-    scanned = scan(docs, train_forest(spark, labelled_findings()))
-    size = F.when(F.exists("findings", lambda f: f["secret"]), F.length("redacted")).otherwise(F.col("n_chars"))
-    return scanned.withColumns({"text": F.col("redacted"), "n_chars": size.cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    scanned = scan(docs, train_forest(spark, labelled_findings()), names=("__findings", "__redacted"))
+    size = F.when(F.exists("__findings", lambda f: f["secret"]), F.length("__redacted")).otherwise(F.col("n_chars"))
+    return scanned.withColumns({"text": F.col("__redacted"), "n_chars": size.cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
