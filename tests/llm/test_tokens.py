@@ -1,5 +1,6 @@
 import random
 
+import public_tokenizers as public
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,6 @@ from cohortspark.llm import sentencepieces, token_counts
 
 from .helpers import LONG, documents, empty
 
-public = pytest.importorskip("public_tokenizers")
 PARTS = ["a", "b", "the", " ", "  ", "\n", "é", "ß", "日", "́", "xxxxx", "1", "22", "...", "Th", "ing", "▁", "😀", "===", "\t", "<|startoftext|>", "<|endoftext|>", "<|", "'s", "'re", "İ", "\x85", "\xa0", "\x1c", "Σ", "½", "²", "’", "K", "\x00"]
 mixed = st.lists(st.sampled_from(PARTS), max_size=40).map("".join) | st.text(max_size=60)
 
