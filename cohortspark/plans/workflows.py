@@ -16,6 +16,7 @@ from ..operators import medicines as M
 from ..operators import ontology as O
 from ..operators import ranking as K
 from ..operators import upsert as U
+from ..session import ensure_checkpoint_dir
 
 
 def decorate_terms(rows: DataFrame, keys: list[str], text: str, split: Callable[[Column], Column], resolver: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -25,7 +26,8 @@ def decorate_terms(rows: DataFrame, keys: list[str], text: str, split: Callable[
     distinct terms (column term) and returns one row a term that it knows.
     """
     long = rows.select(*keys, F.posexplode(split(F.col(text))).alias("pos", "term"))
-    known = resolver(long.select("term").distinct())
+    ensure_checkpoint_dir(rows.sparkSession)
+    known = resolver(long.select("term").distinct()).checkpoint()
     fields = [c for c in known.columns if c != "term"]
     flags = R.assertion_status(F.col("term"))
     joined = long.join(known, "term", "left").withColumn("is_negated", flags == "negated")
@@ -57,7 +59,8 @@ def migrate(sources: dict[str, DataFrame], table: DataFrame | None, resolvers: d
     """
     keys = ["case_no", "visit_date"]
     unified = E.assemble(*(sources[k] for k in ("visits", "patients", "complaints", "diagnoses", "prescriptions")), sources.get("investigations"))
-    cases = U.last_per_key(unified, keys)
+    ensure_checkpoint_dir(unified.sparkSession)
+    cases = U.last_per_key(unified, keys).checkpoint()
     parts = (("symptoms", "chief_complaints", X.complaint_terms), ("diagnosis", "diagnosis_names", X.comma_terms), ("medications", "medicine_names", X.comma_terms))
     out = cases
     for name, column, split in parts:
