@@ -27,7 +27,7 @@ from .common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO_WORD, MEMO = 48, 300_000
+MEMO_WORD, MEMO, MEMO_PAIRS = 48, 200_000, 600_000
 FLUSH = 256
 _WORD = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -53,8 +53,10 @@ class Pieces:
             raise ValueError(f"{model}: pieces that go on over the start of a word are not supported")
         if sp.normalize("Ａ ½́  x") != f"{MARK}Ａ{MARK}½́{MARK}{MARK}x":
             raise ValueError(f"{model}: only models without a normalisation table are supported")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known_pairs = 0
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _merged(self, text: str) -> list[str]:
         """Merges of a short string, best score first and leftmost among equals."""
@@ -70,27 +72,50 @@ class Pieces:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def _follows(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
+    def _follows(self, a: str) -> dict[str, bool]:
+        """What is known of the pieces that may follow ``a``."""
+        known = self.pairs.get(a)
         if known is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+            known = self.pairs[a] = {}
         return known
 
+    def _learn(self, known: dict[str, bool], a: str, b: str) -> bool:
+        self.known_pairs += 1
+        if self.known_pairs > MEMO_PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
+        known[b] = answer = self._merged(a + b) == ([a, b] if a else [b])
+        return answer
+
+    def _extend(self, last: list[str], text: str, base: int, stop: int) -> None:
+        """Appends to ``last`` the piece that survives at each position after base + len(last) - 1, up to ``stop``.
+
+        Exactly one does, so the order of trials is free; short pieces survive more often.
+        """
+        window, vocabulary, pairs = self.window, self.ids, self.pairs
+        for end in range(base + len(last), stop + 1):
+            for start in range(end - 1, max(base - 1, end - window - 1), -1):
+                piece = text[start:end]
+                if start == end - 1 or piece in vocabulary:
+                    a = last[start - base]
+                    known = pairs.get(a)
+                    if known is None:
+                        known = self._follows(a)
+                    ok = known.get(piece)
+                    if ok is None:
+                        ok = self._learn(known, a, piece)
+                    if ok:
+                        last.append(piece)
+                        break
+
     def segments(self, text: str) -> Iterator[str]:
         """Pieces of a text, each yielded as soon as every surviving path holds it."""
-        window, vocabulary, follows = self.window, self.ids, self._follows
         base = 0  # of the text: what lies before is committed
         last = [""]  # the piece that survives at base, base + 1, ...
-        for end in range(1, len(text) + 1):
-            for start in range(max(base, end - window), end):
-                piece = text[start:end]
-                if (start == end - 1 or piece in vocabulary) and follows(last[start - base], piece):
-                    last.append(piece)
-                    break
-            if len(last) > FLUSH + window:
-                common = self._agreed(last, window)
+        while base + len(last) - 1 < len(text):
+            self._extend(last, text, base, min(len(text), base + len(last) - 1 + FLUSH))
+            if len(last) > FLUSH + self.window:
+                common = self._agreed(last, self.window)
                 if common:
                     yield from self._path(last, common)
                     # the committed boundary keeps the piece that ends there
@@ -132,14 +157,17 @@ class Pieces:
         if not text:
             return []
         out: list[int] = []
-        words = self.words
+        words, older = self.words, self.older
         for word in _WORD.findall(MARK + text.replace(" ", MARK)):
             ids = words.get(word)
             if ids is None:
-                ids = tuple(self._ids(self.segments(word)))
+                ids = older.get(word)
+                if ids is None:
+                    ids = tuple(self._ids(self.segments(word)))
                 if len(word) <= MEMO_WORD:
-                    if len(words) > MEMO:
-                        words.clear()
+                    if len(words) >= MEMO:  # the older half goes; frequent words have moved to the newer one
+                        older = self.older = words
+                        words = self.words = {}
                     words[word] = ids
             out += ids
         return out
