@@ -56,6 +56,14 @@ def t7_tokenise_stem(spark, d):
     return W.table(spark, d, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.slice(F.transform(toks, X.stem), 1, 8), " ").alias("stems"))
 
 
+@query(r"""SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_transform(t, lambda x: regexp_replace(x, '(ing|ed|es|s)$', '')), ' ') AS stems FROM (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñçß', '__________________________'), '\b([a-z0-9]+)\b', 1) AS t FROM conversations)""")
+def t7_tokenise_stem_all(spark, d):
+    """As t7_tokenise_stem, with the stems of all tokens."""
+    plain = F.translate(F.lower("text"), "áàâäãéèêëíìîïóòôöõúùûüñçß", "_" * 26)
+    toks = X.tokens(plain)
+    return W.table(spark, d, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.transform(toks, X.stem), " ").alias("stems"))
+
+
 @query("SELECT p_partkey, p_name AS term FROM part")
 def t12_strip_form(spark, d):
     return W.table(spark, d, "part").select("p_partkey", X.strip_dose_forms(F.concat(F.lit("Tab. "), F.col("p_name"), F.lit(" CAPSULE"))).alias("term"))

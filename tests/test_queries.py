@@ -37,6 +37,12 @@ def test_query(spark, duck, name):
     assert as_rows(got, columns) == as_rows(expected, columns)
 
 
+def test_stems_of_all_tokens(spark):
+    rows = registry.QUERIES["t7_tokenise_stem_all"](spark, DATA).collect()
+    assert max(r.n_tokens for r in rows) > 8
+    assert all(len(r.stems.split(" ")) == r.n_tokens for r in rows if r.n_tokens)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
