@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
+ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 WEIGHTS = {"symptoms": 0.4, "diagnosis": 0.4, "demographic": 0.1, "visit": 0.1}
 
 
@@ -76,3 +79,60 @@ def similar_cases(query: dict, cases: DataFrame, symptom_sim: DataFrame, diagnos
     parts = [(F.col("symptom_sim"), weights["symptoms"]), (F.col("diagnosis_sim"), weights["diagnosis"]), (demographic, weights["demographic"]), (visit, weights["visit"])]
     scored = joined.withColumns({"demographic_sim": demographic, "visit_sim": visit, "final": F.round(V.composite(parts), 4)})
     return capped_top(scored, k, ranking_order())
+
+
+def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in ascending order, their unit vectors and lengths; a vector that has no cosine is zero."""
+    rows = rows.sort_by("vec_id")
+    lengths = rows.column("n").to_numpy()
+    unit = np.zeros((len(lengths), max(lengths, default=0)))
+    for n in set(lengths.tolist()) - {0}:
+        at = np.flatnonzero(lengths == n)
+        x = rows.filter(pa.array(lengths == n)).column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+        size = np.sqrt((x * x).sum(axis=1))[:, None]
+        unit[at, :n] = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return rows.column("vec_id").to_numpy(), unit, lengths
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` of the largest cosine for every row of ``queries``, by comparing all.
+
+    Both have vec_id and embedding.  Scores have four digits, ties go to the
+    smaller vec_id, a query's own vec_id is left out and rows without a vec_id
+    take no part.  The cosine is 0 where a vector is null or zero, holds null
+    or non-finite components, or has another length than the query.  Blocks of
+    queries meet blocks of rows, so neither side has to fit in one task.
+    """
+    v = F.col("embedding").cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.when(finite, v).otherwise(F.array().cast("array<double>"))
+    shaped = lambda df: df.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(usable, F.array().cast("array<double>")).alias("v")).withColumn("n", F.size("v"))
+    rows, asked = shaped(vectors), shaped(queries)
+    n_rows, n_asked = rows.count(), asked.count()
+    row_blocks = -(-n_rows // max(1, min(row_block, -(-n_rows // 64)))) or 1  # 64 blocks at least, if there are as many rows
+    query_blocks = -(-n_asked // query_block) or 1
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", dealt(query_blocks).alias("qb")).select("*", every(row_blocks).alias("rb"))
+    right = rows.select("*", dealt(row_blocks).alias("rb")).select("*", every(query_blocks).alias("qb"))
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        (q_ids, qs, q_n), (r_ids, rs, r_n) = _block(q), _block(r)
+        width = max(qs.shape[1], rs.shape[1])
+        qs, rs = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (qs, rs))
+        out = []
+        for at in range(0, len(q_ids) if len(r_ids) else 0, 256):
+            ids = q_ids[at : at + 256]
+            cosine = np.where(q_n[at : at + 256, None] == r_n[None, :], qs[at : at + 256] @ rs.T, 0.0)
+            score = (np.sign(cosine) * np.floor(np.abs(cosine) * 10_000 + 0.5)).astype(np.int64)  # half away from zero, as SQL rounds
+            own = ids[:, None] == r_ids[None, :]
+            order = np.where(own, np.iinfo(np.int64).max, (10_000 - score) * len(r_ids) + np.arange(len(r_ids)))
+            first = np.argpartition(order, min(k, len(r_ids)) - 1, axis=1)[:, :k]
+            i, j = np.repeat(np.arange(len(ids)), first.shape[1]), first.reshape(-1)
+            i, j = i[~own[i, j]], j[~own[i, j]]
+            out.append(pa.table({"query_id": ids[i], "vec_id": r_ids[j], "score": score[i, j] / 10_000}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, "query_id long, vec_id long, score double")
+    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

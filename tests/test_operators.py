@@ -182,3 +182,28 @@ def test_encounters(spark):
     assert len(got) == 3 and {r.diagnosis_names for r in got if r.case_no == 1} == {"c, d"} and sum(r.is_latest for r in got) == 2
     past = encounters.past_visits(visits, 1, F.lit("2024-03-01").cast("date")).collect()
     assert [str(r.visit_date) for r in past] == ["2024-01-02"]
+
+
+@pytest.mark.parametrize("blocks", [(8192, 4096), (7, 3)])
+def test_cosine_topk_of_all_queries(spark, blocks):
+    import math
+    import random
+
+    rng = random.Random(4)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(5)] for i in range(1, 130)}  # no row 0
+    vectors |= {20: None, 21: [0.0] * 5, 22: [1.0, None, 0.0, 0.0, 0.0], 23: [1.0, 2.0], 24: vectors[40], 25: vectors[40], 60: [1.0, 2.0, 3.0]}
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 4)
+
+    rows = spark.createDataFrame([*vectors.items(), (None, [1.0] * 5)], "vec_id long, embedding array<float>")
+    got = similarity.cosine_topk(rows, rows.where("vec_id % 20 = 0"), 10, *blocks).collect()
+    found = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in range(20, 130, 20)}
+    for q in found:
+        best = sorted((-cosine(vectors[q], e), i) for i, e in vectors.items() if i != q)[:10]
+        assert [i for i, _ in found[q]] == [i for _, i in best]
+        assert found[q] == [(i, pytest.approx(-s, abs=1e-4)) for s, i in best]
+    assert sorted({r.query_id for r in got}) == sorted(found)
+    assert similarity.cosine_topk(rows.limit(0), rows).collect() == [] and similarity.cosine_topk(rows, rows.limit(0)).collect() == []
