@@ -191,10 +191,13 @@ def batch_of(pages: list[Page]) -> Batch:
     return Batch(x, parent, levels, first)
 
 
-@functools.lru_cache(20_000)
 def _marks(attributes: str) -> tuple[tuple[int, float], ...]:
-    if len(attributes) > 2000:
-        attributes = attributes[:2000]  # features of a tag only; its text is read whole
+    """Features of a tag from its whole attribute string; long strings are read each time, so the memory of results stays small."""
+    return _short_marks(attributes) if len(attributes) <= 2000 else _short_marks.__wrapped__(attributes)
+
+
+@functools.lru_cache(20_000)
+def _short_marks(attributes: str) -> tuple[tuple[int, float], ...]:
     names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes)).lower()
     found = [(k, 1.0) for k, mark in enumerate(_MARKS) if mark.search(names)] if names else []
     found += [(len(MARKS) + k, 1.0) for k, mark in enumerate((_ROLE, _MAIN, _HIDDEN)) if mark.search(attributes)]

@@ -64,3 +64,11 @@ def test_awkward_pages(spark, model):
     assert M.main_text(frame.limit(0), model).collect() == []
     twice = M.main_text(frame.where("page_id = 9").unionByName(frame.where("page_id = 9")), model).select(F.sha2("text", 256).alias("h")).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_long_attributes_are_read_whole(model):
+    for long in (f'style="background:url(data:image/png;base64,{"A" * 5000})"', "data-props='" + '{"a": [1, 2]}' * 500 + "'"):
+        for names in ('class="ad"', 'id="comments"', 'role="navigation"', 'itemprop="articleBody"', 'aria-hidden="true"'):
+            assert M._marks(f" {long} {names}") == M._marks(f" {names} {long}") == M._marks(f" {names}") != ()
+        page = PAGE.replace('<div class="ad">', f'<div {long} class="ad">').replace('<div class="comments">', f'<div {long} class="comments">')
+        assert page != PAGE and model.extract([page]) == model.extract([PAGE])
