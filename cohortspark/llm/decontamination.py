@@ -3,10 +3,10 @@
 Items are cut into windows of WINDOW consecutive words.  One pass over the
 corpus counts the test vocabulary; each window is then looked up by its rarest
 term, and windows with a term that the corpus lacks are out.  A second pass
-stores postings (document, position) of those terms only.  A posting is
-shifted by the term's place in the window to where the window would start, and
-the window's other terms are intersected at their own places, which leaves the
-exact phrase.  Proximity matches ask for an item's rarest terms within a span
+makes postings (document, position) of those terms only, none of which is
+stored.  A posting is shifted by the term's place in the window to where the
+window would start, and the window is compared there with the document's words,
+which leaves the exact phrase.  Proximity matches ask for an item's rarest terms within a span
 instead.
 
 Tables derived from the benchmark are broadcast while their counted size is
@@ -79,7 +79,8 @@ def phrase_matches(documents: DataFrame, windows: DataFrame, scratch: Scratch) -
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
     """(doc_id, item_id, pos): places of an item's rarest term with its ``terms`` rarest terms within ``span`` words around.
 
-    Items with fewer distinct words than ``terms`` need all they have.  Nulls
+    Words that the corpus lacks are left out of the ranking; items with fewer
+    distinct words than ``terms`` need all that are left.  Nulls
     have no words; an empty table on either side gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "proximity")
@@ -87,8 +88,8 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, terms: int = 4
     vocabulary = scratch.save(item_terms.select("term").distinct())
     n = vocabulary.count()
     counts = _tokens(documents).select(F.explode("w").alias("term")).join(_small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("frequency"))
-    ranked = item_terms.join(counts, "term", "left").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), "term"))), 1, terms).alias("r"))
-    wanted = scratch.save(ranked.select("item_id", F.col("r")[0]["term"].alias("term"), F.transform("r", lambda x: x["term"]).alias("all")).where("r[0].f > 0"))
+    ranked = item_terms.join(counts, "term").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("frequency").alias("f"), "term"))), 1, terms).alias("r"))
+    wanted = scratch.save(ranked.select("item_id", F.col("r")[0]["term"].alias("term"), F.transform("r", lambda x: x["term"]).alias("all")))
     postings = _tokens(documents).select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(_small(wanted, wanted.count()), "term")
     around = F.slice("w", F.greatest(F.col("pos") - span, F.lit(0)) + 1, F.lit(2 * span + 1))
     return postings.where(F.size(F.array_intersect(around, "all")) == F.size("all")).select("doc_id", "item_id", "pos")

@@ -62,3 +62,9 @@ def test_proximity(spark):
     docs = documents(spark, ["gamma x beta x alpha y delta", "alpha " + "x " * 30 + "beta gamma delta", "alpha beta gamma", None])
     got = [(r.doc_id, r.item_id) for r in D.proximity_matches(docs, items, terms=4, span=8).collect()]
     assert got == [(0, 1)]
+
+
+def test_proximity_bears_words_the_corpus_lacks(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma Zyx42"), (2, "nowhere")], "item_id long, text string")
+    docs = documents(spark, ["gamma x beta x alpha y altered", "alpha " + "x " * 30 + "beta gamma"])
+    assert [(r.doc_id, r.item_id) for r in D.proximity_matches(docs, items, terms=4, span=8).collect()] == [(0, 1)]
