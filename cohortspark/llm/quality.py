@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 4 << 20
+LEAST_TEXTS = 16  # of a class, however long they are
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 PIECE = 1 << 10
@@ -99,7 +100,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
 
     The sample is bounded: of each class the ``rows`` labels of the smallest
     hash of doc_id are chosen, whose texts are read in that order until
-    ``most_bytes``.  Only the choice, at most 2 * ``rows`` ids, meets the texts.
+    ``most_bytes``, but LEAST_TEXTS of them in any case.  Only the choice, at most 2 * ``rows`` ids, meets the texts.
     One half makes the dictionaries, the other half calibrates.  Without rows
     of both classes the score is near 1 or 0 if there is one class, 0.5 if
     there is none.
@@ -114,7 +115,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
     found: dict[int, list[bytes]] = {0: [], 1: []}
     sizes = [0, 0]
     for row in sample.toLocalIterator():
-        if sizes[row["quality"]] <= most_bytes:
+        if sizes[row["quality"]] <= most_bytes or len(found[row["quality"]]) < LEAST_TEXTS:
             found[row["quality"]].append(row["text"].encode())
             sizes[row["quality"]] += len(found[row["quality"]][-1])
     halves = {q: (texts[::2], texts[1::2]) for q, texts in found.items()}

@@ -64,3 +64,12 @@ def test_quality_without_both_classes(spark, rows, expected):
     docs = documents(spark, ["some text"])
     model = Q.train_quality(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
     assert abs(Q.score_quality(docs, model).first().quality_score - expected) < 0.01
+
+
+def test_quality_with_a_very_long_text_first(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, "aa", 60) if i % 2 else " | ".join(f"{rng.randint(0, 9)}$$$!!" for _ in range(40)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = Q.train_quality(documents(spark, texts), labels, most_bytes=10)  # shorter than any text
+    score = model.scorer()
+    assert model.good and model.bad and score(texts[1]) > 0.5 > score(texts[0])
