@@ -65,6 +65,31 @@ def test_the_window_stays_bounded(pieces, library, monkeypatch):
     assert next(stream)  # committed long before the end
 
 
+def test_commits_come_along_with_ordinary_text(pieces, library):
+    text = "Streaming search commits ids early, word by word, wherever all paths meet. " * 40
+    runs = list(pieces.commits("▁" + text.strip().replace(" ", "▁")))
+    assert [i for run in runs for i in run] == library.encode(text.strip())
+    assert len(runs) > len(text.split()) and max(map(len, runs)) < 8
+
+
+def test_two_pieces_stand_side_by_side_as_merging_them_says(pieces):
+    rng = random.Random(5)
+    merged = lambda text: [pieces._text(i) for run in pieces.commits(text) for i in run]
+    for word in ("theirs", "▁unbelievable", "▁wwwxyz", "aaaaaaaa", "▁Donaudampf", "ingingthethe"):
+        found = merged(word)
+        assert "".join(found) == word
+        for a, b in zip(found, found[1:]):
+            assert pieces._stand(pieces.ids[a], pieces.ids[b])
+    some = [i for p, i in pieces.ids.items() if p.isalpha() and len(p) < 6]
+    for _ in range(2000):
+        a, b = rng.choice(some), rng.choice(some)
+        symbols, whole = list(pieces.pieces[a] + pieces.pieces[b]), [pieces.pieces[a], pieces.pieces[b]]
+        while pairs := [(-pieces.score[x + y], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in pieces.score]:
+            at = min(pairs)[1]
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        assert pieces._stand(a, b) == (symbols == whole)
+
+
 def test_operators(spark, counter, pieces):
     texts = ["Hello  world\n", "", None, LONG, "Hello  world\n", " lead", "�"]
     docs = documents(spark, texts)
