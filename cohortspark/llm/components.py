@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour of their ``u``.
+
+    The second key makes both sides shuffle for this join alone, so that the
+    edges of a star's centre can be split among tasks at run time.
+    """
+    return edges.withColumn("k", F.xxhash64("u")).join(least.withColumn("k", F.xxhash64("u")), ["u", "k"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("u > v").distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _met(down, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 

@@ -77,6 +77,34 @@ def test_repeated_null_and_empty(spark):
     assert got == [(-1, -1, True), (5, 5, True), (5, 5, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(base)), (7, " ".join(base) + " end"), (7, "quite another text that nobody shares at all"), (7, " ".join(base) + " end"), (1, "a b c d e f"), (1, "a  b c d e f")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept, r.chosen) for r in near_duplicates(frame).collect())
+    assert [x[:4] for x in got] == [(1, 2, 1, True), (1, 2, 1, True), (1, 56, 1, True), (7, 4, 7, True), (7, 57, 1, False), (7, 57, 1, False)]
+    assert sum(x[4] for x in got if x[1] == 2) == 1  # one of the two that differ in white space
+    assert [x[4] for x in got if x[1] != 2] == [True, True, False, False]
+
+
+def test_links_hidden_behind_a_failed_edge_are_found(spark, monkeypatch):
+    """With any match retained, edges of lists are mostly false and say little; the second step must still find all links."""
+    from cohortspark.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "matches_for", lambda similarity: 90)
+    monkeypatch.setattr(module, "SET_BLOCK", 700)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = []
+    for k in range(60):  # a drift: neighbours are similar, ends are not
+        base[k % 80] = rng.choice(words)
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts), (85, 100)).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute(texts)]
+
+
 def test_signature_positions():
     column = pa.array(["a b c d e f g", None, "a b c d e f h"])
     (_, data, offsets) = next(shingles.chunks(column))
