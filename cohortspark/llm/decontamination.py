@@ -1,16 +1,19 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions only.
 
 Items are cut into windows of WINDOW consecutive words.  One pass over the
-corpus counts the test vocabulary; each window is then looked up by its rarest
-term, and windows with a term that the corpus lacks are out.  A second pass
-makes postings (document, position) of those terms only, none of which is
-stored.  A posting is shifted by the term's place in the window to where the
-window would start, and the window is compared there with the document's words,
-which leaves the exact phrase.  Proximity matches ask for an item's rarest terms within a span
-instead.
+corpus counts the words of the benchmark's vocabulary; each window is then
+looked up by its LISTS rarest places, and windows with a word that the corpus
+lacks are out.  A second pass stores the postings (term, document, position) of
+those terms: the index.  The list of a window's rarest term, shifted by its
+place in the window, is intersected with the shifted lists of the next ones;
+what is left are starts in documents.  Only for these documents the postings of
+all terms are made, and the remaining lists intersected, which leaves the exact
+phrase.  Proximity matches intersect the lists of an item's rarest terms within
+a span instead.
 
 Tables derived from the benchmark are broadcast while their counted size is
-within BROADCAST_ROWS and joined by shuffle beyond it.
+within BROADCAST_ROWS and joined by shuffle beyond it; words of the corpus are
+counted before they are shuffled.  No row holds more than one document's text.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-WINDOW = 10
+WINDOW, LISTS = 10, 3
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,87 +46,121 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, digest, w): a document's key is its id with a digest of its text, so ids that repeat do no harm."""
-    return documents.select(F.col("doc_id"), F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w"))
+DOC = ["k1", "k2"]
 
 
-def _rarest(phrases: DataFrame, documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(phrase, offset, term, frequency): the rarest term of each phrase all of whose terms occur in the corpus."""
-    terms = scratch.save(phrases.select("phrase", F.posexplode("phrase").alias("offset", "term")))
-    vocabulary = scratch.save(terms.select("term").distinct())
-    postings = _tokens(documents).select(F.explode("w").alias("term")).join(_small(vocabulary, vocabulary.count()), "term", "left_semi")
-    counts = postings.groupBy("term").agg(F.count("*").alias("frequency"))
-    known = terms.join(counts, "term", "left")
-    rarest = scratch.save(
-        known.groupBy("phrase")
-        .agg(F.min_by(F.struct("offset", "term", "frequency"), F.struct("frequency", "offset")).alias("r"), F.count_if(F.col("frequency").isNull()).alias("missing"))
-        .where("missing = 0")
-        .select("phrase", "r.offset", "r.term", "r.frequency")
-    )
-    return rarest, rarest.count()
+def _keyed(documents: DataFrame) -> DataFrame:
+    """``documents`` with DOC, 128 bits that stand for id and text: ids that repeat or are null do no harm."""
+    return documents.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(1))})
+
+
+def _postings(documents: DataFrame) -> DataFrame:
+    return documents.select(*DOC, F.posexplode(words(F.col("text"))).alias("pos", "term"))
+
+
+def _frequencies(vocabulary: DataFrame, documents: DataFrame) -> DataFrame:
+    """(term, frequency) of the vocabulary's terms that occur in the corpus."""
+    found = documents.select(F.explode(words(F.col("text"))).alias("term"))
+    n = vocabulary.count()
+    if n <= BROADCAST_ROWS:
+        return found.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("frequency"))
+    return found.groupBy("term").agg(F.count("*").alias("frequency")).join(vocabulary, "term", "left_semi")
+
+
+def _index(documents: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
+    """The stored index (term, k1, k2, pos) of distinct ``terms``."""
+    return scratch.save(_postings(documents).join(_small(terms, terms.count()), "term", "left_semi").select("term", *DOC, "pos"))
 
 
 def phrase_matches(documents: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, digest, start, phrase): every place where a window's words stand in a document, one after the other."""
-    phrases = windows.select("phrase").distinct()
-    rarest, n = _rarest(phrases, documents, scratch)
-    lookup = rarest.select("term", F.col("offset").cast("int").alias("offset"), "phrase")
-    postings = _tokens(documents).select("doc_id", "digest", "w", F.posexplode("w").alias("pos", "term"))
-    near = postings.join(_small(lookup, n), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    # the other terms, each at its own place
-    exact = (F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    return near.where(exact).select("doc_id", "digest", "start", "phrase")
+    """(k1, k2, start, phrase_id, size): every place where a window's words stand in a document, one after the other.
+
+    ``windows`` has phrase_id and phrase, each phrase once; ``documents`` has
+    DOC and text.
+    """
+    terms = scratch.save(windows.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")))
+    counts = scratch.save(_frequencies(terms.select("term").distinct(), documents))
+    ranked = terms.join(_small(counts, counts.count()), "term", "left").groupBy("phrase_id", "size")
+    rarest = ranked.agg(F.array_sort(F.collect_list(F.struct("frequency", "offset", "term"))).alias("r"), F.count_if(F.col("frequency").isNull()).alias("missing")).where("missing = 0")
+    # a window with fewer places than lists asks for its last one again
+    place = lambda i: F.element_at("r", F.least(F.lit(i + 1), F.size("r")))
+    lookup = scratch.save(rarest.select("phrase_id", "size", *[c for i in range(LISTS) for c in (place(i)["term"].alias(f"term{i}"), place(i)["offset"].alias(f"offset{i}"))]))
+    n = lookup.count()
+    wanted = scratch.save(lookup.select(F.explode(F.array(*[f"term{i}" for i in range(LISTS)])).alias("term")).distinct())
+    index = _index(documents, wanted, scratch)
+    starts = index.withColumnRenamed("term", "term0").join(_small(lookup, n), "term0").withColumn("start", F.col("pos") - F.col("offset0")).where("start >= 0").drop("pos")
+    for i in range(1, LISTS):
+        other = index.select(F.col("term").alias(f"term{i}"), *DOC, (F.col("pos")).alias("at"))
+        starts = starts.withColumn("at", F.col("start") + F.col(f"offset{i}")).join(other, [f"term{i}", *DOC, "at"], "left_semi")
+    near = scratch.save(starts.select(*DOC, "start", "phrase_id", "size").distinct())
+    some = scratch.save(near.select(*DOC).distinct())
+    have = _postings(documents.join(_small(some, some.count()), DOC, "left_semi"))
+    need = near.join(_small(terms.select("phrase_id", "offset", "term"), terms.count()), "phrase_id").withColumn("pos", F.col("start") + F.col("offset"))
+    met = need.join(have, [*DOC, "pos", "term"], "left_semi").groupBy(*DOC, "start", "phrase_id", "size").agg(F.count("*").alias("n"))
+    return met.where("n = size").drop("n")
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, terms: int = 4, span: int = 20) -> DataFrame:
     """(doc_id, item_id, pos): places of an item's rarest term with its ``terms`` rarest terms within ``span`` words around.
 
     Words that the corpus lacks are left out of the ranking; items with fewer
-    distinct words than ``terms`` need all that are left.  Nulls
-    have no words; an empty table on either side gives no rows.
+    distinct words than ``terms`` need all that are left.  Nulls have no words;
+    rows that repeat are matched each, rows of one doc_id by their own text; an
+    empty table on either side gives no rows.
     """
     scratch = Scratch(documents.sparkSession, "proximity")
+    docs = _keyed(documents.select("doc_id", F.col("text").cast("string").alias("text")))
     item_terms = scratch.save(benchmark.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).distinct())
-    vocabulary = scratch.save(item_terms.select("term").distinct())
-    n = vocabulary.count()
-    counts = _tokens(documents).select(F.explode("w").alias("term")).join(_small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("frequency"))
-    ranked = item_terms.join(counts, "term").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("frequency").alias("f"), "term"))), 1, terms).alias("r"))
-    wanted = scratch.save(ranked.select("item_id", F.col("r")[0]["term"].alias("term"), F.transform("r", lambda x: x["term"]).alias("all")))
-    postings = _tokens(documents).select("doc_id", "w", F.posexplode("w").alias("pos", "term")).join(_small(wanted, wanted.count()), "term")
-    around = F.slice("w", F.greatest(F.col("pos") - span, F.lit(0)) + 1, F.lit(2 * span + 1))
-    return postings.where(F.size(F.array_intersect(around, "all")) == F.size("all")).select("doc_id", "item_id", "pos")
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
+    counts = scratch.save(_frequencies(item_terms.select("term").distinct(), docs))
+    ranked = item_terms.join(_small(counts, counts.count()), "term").groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("frequency").alias("f"), "term"))), 1, terms).alias("r"))
+    wanted = scratch.save(ranked.select("item_id", F.monotonically_increasing_id().alias("item"), F.col("r")[0]["term"].alias("term"), F.transform("r", lambda x: x["term"]).alias("all")))
+    index = _index(docs, wanted.select(F.explode("all").alias("term")).distinct(), scratch)
+    places = index.distinct().join(_small(wanted.select("item", "term", "all"), wanted.count()), "term")
+    # the other lists by parts of ``span`` positions: within reach means the same part or the next to it
+    asked = places.select(*DOC, "item", "pos", F.size("all").alias("n"), F.explode("all").alias("term")).withColumn("part", F.explode(F.array(*[F.floor(F.col("pos") / span) + i for i in (-1, 0, 1)])))
+    others = index.distinct().select("term", *DOC, F.floor(F.col("pos") / span).alias("part"), F.col("pos").alias("at"))
+    met = asked.join(others, ["term", *DOC, "part"]).where(F.abs(F.col("at") - F.col("pos")) <= span)
+    found = met.select(*DOC, "item", "pos", "n", "term").distinct().groupBy(*DOC, "item", "pos", "n").agg(F.count("*").alias("m")).where("m = n")
+    named = found.join(wanted.select("item", "item_id"), "item")
+    return docs.select("doc_id", *DOC).join(named, DOC).select("doc_id", "item_id", "pos")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Per row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and digest, the xxhash64 of its text.
 
     A word is hit if it stands in an occurrence of any window of any item.
     Null and empty texts have no words; items without words have no windows;
     an item whose item_id is null counts for hits but in no list of items.
-    Rows that repeat are judged each; a null doc_id is kept; an empty benchmark
-    leaves every document clean; columns beyond those named are ignored.
+    Rows that repeat are judged each, by their own text; a null doc_id is kept;
+    an empty benchmark leaves every document clean; columns beyond those named
+    are ignored.
     """
     scratch = Scratch(documents.sparkSession, "decontamination")
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = _keyed(documents.select("doc_id", F.col("text").cast("string").alias("text")))
     windows = scratch.save(item_windows(benchmark.select("item_id", "text"), width))
-    hits = scratch.save(phrase_matches(docs, windows, scratch))
-    key = ["doc_id", "digest"]
-    spans = hits.select(*key, "start", (F.col("start") + F.size("phrase")).alias("end")).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    phrases = scratch.save(windows.select("phrase").distinct().withColumn("phrase_id", F.monotonically_increasing_id()))
+    hits = scratch.save(phrase_matches(docs, phrases, scratch))
+    spans = hits.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")),
         lambda a: a["n"],
     )
-    hit_words = spans.select(*key, covered.cast("long").alias("n_hit"))
-    named = hits.select(*key, "phrase").distinct().join(windows, "phrase").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = hit_words.join(named.withColumnsRenamed({"doc_id": "d", "digest": "g"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select(F.col("d"), F.col("g"), "n_hit", "items")
-    sized = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sized.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
+    hit_words = spans.select(*DOC, covered.cast("long").alias("n_hit"))
+    holders = phrases.join(windows, "phrase").select("phrase_id", F.col("item_id").cast("string").alias("item"))
+    named = hits.select(*DOC, "phrase_id").distinct().join(_small(holders, windows.count()), "phrase_id").groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = scratch.save(hit_words.join(named, DOC))
+    sized = docs.select("doc_id", *DOC, F.xxhash64("text").alias("digest"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = sized.join(_small(found, found.count()), DOC, "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "digest")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``judged`` without the digest, which callers need only to find a row again by its text."""
+    return judged(documents, benchmark, width).drop("digest")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,11 @@ class QualityModel:
     bad: bytes
     weights: tuple[float, ...]
 
+    @property
+    def learnt(self) -> bool:
+        """Whether there was a label to learn from; without one all scores are 0.5."""
+        return any(self.weights)
+
     def scorer(self):
         """A function from text to probability, with its own compressors."""
         measure = _measure(self.good, self.bad)

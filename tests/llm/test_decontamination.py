@@ -64,6 +64,33 @@ def test_proximity(spark):
     assert got == [(0, 1)]
 
 
+def test_proximity_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    letters = [f"t{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(30)]
+    items = [(i, " ".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))) for i in range(12)]
+    count = {w: sum(t.split().count(w) for t in texts) for w in letters}
+    want = []
+    for i, item in items:
+        rarest = sorted({w for w in item.split() if count[w]}, key=lambda w: (count[w], w))[:3]
+        for d, text in enumerate(texts):
+            w = text.split()
+            want += [(d, i, p) for p, x in enumerate(w) if rarest and x == rarest[0] and set(rarest) <= set(w[max(0, p - 7) : p + 8])]
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in D.proximity_matches(docs, bench, terms=3, span=7).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    twice = documents(spark, ["alpha beta", "alpha beta", "beta"]).selectExpr("cast(5 as long) doc_id", "text")
+    assert [tuple(r) for r in D.proximity_matches(twice, spark.createDataFrame([(1, "beta alpha")], "item_id long, text string")).collect()] == [(5, 1, 0)] * 2
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    frame = spark.createDataFrame([(None, "short item"), (None, "clean"), (3, "clean"), (3, "a short item")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.contaminated) for r in D.contamination(frame, items).collect()) == [(0, False), (0, True), (3, False), (3, True)]
+
+
 def test_proximity_bears_words_the_corpus_lacks(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma Zyx42"), (2, "nowhere")], "item_id long, text string")
     docs = documents(spark, ["gamma x beta x alpha y altered", "alpha " + "x " * 30 + "beta gamma"])

@@ -48,3 +48,18 @@ def test_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
     write(spark, tmp_path / "none", [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_go_by_their_own_text(spark, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (2, base + " end"), (2, "a text of its own that nobody else has"), (None, passage), (None, "a clean text without an id"), (5, "x " + passage), (5, "a clean text that shares its id"), (6, None), (6, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: {(r.doc_id, r.text) for r in stages[name](spark, frame, str(tmp_path)).collect()}
+    assert set(rows) - left("near_duplicates") == {(2, base + " end")}
+    assert set(rows) - left("decontamination") == {(None, passage), (5, "x " + passage)}
+    assert left("quality") == set(rows)  # without labels nothing is known against a document
+    assert stages["secrets"](spark, frame, str(tmp_path)).count() == len(rows)
