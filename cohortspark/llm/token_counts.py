@@ -1,32 +1,38 @@
 """Token counts without token ids.
 
-A text's tokens are those of its pre-tokens, one after the other, so pieces are
-counted once for each distinct pre-token that a worker meets, and a document's
-count is the join of its pre-token frequencies with those counts, summed.  The
-join is local to a batch: counts are a pure function of the pre-token, so no
-row needs to move and no pre-token can become a hot key.
+A text's tokens are those of its pre-tokens, one after the other.  One pass
+over the texts writes each document's pre-token frequencies; every distinct
+pre-token's pieces are counted once; frequencies meet these counts by a join on
+the pre-token and are summed for each document.
+
+Pre-tokens that hold more than one part in FREQUENT of all frequencies, of
+which there can't be more than FREQUENT, meet their counts by broadcast, so
+that the shuffled join has no hot key.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 SEGMENT = 1 << 20
-MEMO = 400_000
-ROWS = 256
+MEMO = 200_000  # most pre-tokens of one text that are gathered before they are written
+ROWS = 65_536
+FREQUENT = 100_000
+OTHER = "\0"  # marks pre-tokens that the library has normalised and cut
 
 #: Characters on whose class, case and canonical form all Unicode versions and both regular-expression engines agree.
 _PLAIN = regex.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ž–—‘-„…]*")
@@ -34,7 +40,7 @@ _SPACE = regex.compile(r"\s")
 
 
 class PieceCounter:
-    """Counts of one tokenizer file of the library ``tokenizers``; its counts of pre-tokens are kept, up to MEMO of them."""
+    """Pre-tokens of a text, and pieces of a pre-token, by one tokenizer file of the library ``tokenizers``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,39 +56,42 @@ class PieceCounter:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.plain: dict[str, int] = {}
-        self.other: dict[str, int] = {}
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text as the library's encode(text, add_special_tokens=False) gives them."""
+    def frequencies(self, text: str) -> Iterator[tuple[int, Counter]]:
+        """Special tokens and pre-token frequencies of a whole text, in runs that add up."""
         parts = self.special.split(text) if self.special and "<" in text else [text]
-        total = len(parts) - 1
+        special, found = len(parts) - 1, Counter()
         for part in parts:
             for at, end in _cuts(part):
                 piece = part if end - at == len(part) else part[at:end]
-                total += self._plain(piece) if _PLAIN.fullmatch(piece) else self._other(piece)
+                if _PLAIN.fullmatch(piece):
+                    found.update(self.pattern.findall(piece.lower()))
+                else:
+                    normal = self.tokenizer.normalizer.normalize_str(piece)
+                    found.update(OTHER + x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+                if len(found) > MEMO:
+                    yield special, found
+                    special, found = 0, Counter()
+        yield special, found
+
+    def pieces(self, tokens: list[str]) -> list[int]:
+        """The number of pieces of each pre-token."""
+        plain = [x for x in tokens if not x.startswith(OTHER)]
+        known = dict(zip(plain, map(len, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)), strict=True))
+        return [known[x] if x in known else len(self.tokenizer.model.tokenize(x[1:])) for x in tokens]
+
+    def count(self, text: str) -> int:
+        """Tokens of a whole text as the library's encode(text, add_special_tokens=False) gives them."""
+        total = 0
+        for special, found in self.frequencies(text):
+            total += special + sum(map(int.__mul__, self.pieces(list(found)), found.values()))
         return total
 
-    def _plain(self, text: str) -> int:
-        frequency = Counter(self.pattern.findall(text.lower()))
-        new = [x for x in frequency if x not in self.plain]
-        if new:
-            if len(self.plain) + len(new) > MEMO:
-                self.plain = {}
-                new = list(frequency)
-            self.plain.update(zip(new, (len(x) for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known = self.plain
-        return sum(known[x] * n for x, n in frequency.items())
-
-    def _other(self, text: str) -> int:
-        normal = self.tokenizer.normalizer.normalize_str(text)
-        frequency = Counter(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
-        if len(self.other) + len(frequency) > MEMO:
-            self.other = {}
-        for x in frequency:
-            if x not in self.other:
-                self.other[x] = len(self.tokenizer.model.tokenize(x))
-        return sum(self.other[x] * n for x, n in frequency.items())
+
+@functools.lru_cache(4)
+def loaded(path: str) -> PieceCounter:
+    """One tokenizer a worker process and file."""
+    return PieceCounter(path)
 
 
 def _cuts(text: str) -> Iterator[tuple[int, int]]:
@@ -101,23 +110,60 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> Da
     """doc_id, n_bytes, n_tokens and over_limit of every row, in any order.
 
     ``tokenizer`` is a file that every executor can open at that path.  A null
-    text counts as empty: 0 bytes, 0 tokens.  Rows that repeat are returned
-    each; a null doc_id is kept; an empty table gives no rows; columns other
-    than doc_id and text are ignored.
+    text counts as empty: 0 bytes, 0 tokens.  Rows that repeat are counted and
+    returned each; a null doc_id is kept; texts of any length are read in
+    parts; an empty table gives no rows; columns other than doc_id and text are
+    ignored.
     """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "tokens")
+
+    def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, task = loaded(tokenizer), TaskContext.get()
+        row = (task.partitionId() if task else 0) << 40  # a number for each document, settled by being written
+        columns: tuple[list, ...] = ([], [], [], [], [])
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)]
+            for x in columns:
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_bytes", "token", "n"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                doc_id, text, size = doc_id.as_py(), text.as_py() or "", len(text.as_buffer() or b"") if text.is_valid else 0
+                row += 1
+                for special, found in counter.frequencies(text):
+                    # a document's first column entries stand beside a null token, with its special tokens
+                    n = len(found)
+                    for x, more in zip(columns, ([row] * (n + 1), [doc_id] + [None] * n, [size] + [None] * n, [None, *found], [special, *found.values()]), strict=True):
+                        x += more
+                    if len(columns[0]) > ROWS:
+                        yield flush()
+        yield flush()
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                text = batch.column("text").fill_null("")
-                size = pc.cast(pc.binary_length(text), pa.int64())
-                tokens = pa.array([counter.count(x.as_py()) for x in text], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, tokens], names=["doc_id", "n_bytes", "n_tokens"])
+        counter = loaded(tokenizer)
+        for batch in batches:
+            pieces = counter.pieces(batch.column("token").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("documents"), pa.array(pieces, pa.int64())], names=["token", "documents", "pieces"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    found = scratch.save(rows.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, token string, n long"), compression="zstd")
+    distinct = found.where("token is not null").groupBy("token").agg(F.count("*").alias("documents"))
+    counts = scratch.save(distinct.mapInArrow(counted, "token string, documents long, pieces long"))
+    total = counts.agg(F.sum("documents")).first()[0] or 0
+    share = total // FREQUENT + 1  # at most FREQUENT pre-tokens can have so many of ``total`` entries
+    frequent, rare = F.broadcast(counts.where(F.col("documents") >= share).select("token", "pieces")), counts.where(F.col("documents") < share).select("token", "pieces")
+    pairs = found.where("token is not null").select("row", "token", "n")
+    parts = [
+        found.where("token is null").select("row", "doc_id", "n_bytes", F.col("n").alias("tokens")),
+        pairs.join(frequent, "token").select("row", (F.col("n") * F.col("pieces")).alias("tokens")),
+        pairs.join(frequent, "token", "left_anti").join(rare, "token").select("row", (F.col("n") * F.col("pieces")).alias("tokens")),
+    ]
+    summed = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("row")
+    out = summed.agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
