@@ -53,3 +53,32 @@ def test_large_leaves_are_dealt_in_parts(spark, monkeypatch):
     got = {r.query_id: r.vec_id for r in N.nearest(frame, frame.where("vec_id % 50 = 0")).where("rank = 1").collect()}
     expected = brute(np.arange(300), x.astype(float), list(got))
     assert sum(got[q] == expected[q][0][0] for q in got) >= len(got) - 1
+
+
+def test_recall_holds_as_the_table_grows(spark, monkeypatch):
+    """The sample stays as it is, and trees go on below its leaves."""
+    monkeypatch.setattr(N, "SAMPLE", 600)
+    monkeypatch.setattr(N, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(2)
+    for n in (1000, 3000, 9000):
+        centres = rng.standard_normal((40, 24))
+        x = (centres[rng.integers(0, 40, n)] + 0.6 * rng.standard_normal((n, 24))).astype(np.float32)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in N.nearest(frame, frame.where(f"vec_id % {n // 50} = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        expected = brute(np.arange(n), x.astype(float), list(got))
+        hits = sum(len(got[q] & {v for v, _ in e}) for q, e in expected.items())
+        assert len(got) == 50 and hits / 250 >= 0.9, (n, hits)
+
+
+def test_a_deeper_forest_posts_where_it_probes():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = N.grow(x, trees=3, leaves=16).deepened(3)
+    leaves = forest.post(x)
+    for i in range(0, 500, 50):
+        order = forest.probe(x[i], 10**6)
+        assert len(order) == len(set(order)) == 8 * sum(forest.leaves)
+        assert {(t, int(leaf)) for t, leaf in enumerate(leaves[i])} <= set(order[:3])
