@@ -72,3 +72,23 @@ def test_long_attributes_are_read_whole(model):
             assert M._marks(f" {long} {names}") == M._marks(f" {names} {long}") == M._marks(f" {names}") != ()
         page = PAGE.replace('<div class="ad">', f'<div {long} class="ad">').replace('<div class="comments">', f'<div {long} class="comments">')
         assert page != PAGE and model.extract([page]) == model.extract([PAGE])
+
+
+def say(n):
+    return " ".join(f"This is sentence {k} of a paragraph that goes on, with words." for k in range(n))
+
+
+@pytest.mark.parametrize("inner", ['<div class="comment">I liked it very much, thanks.</div>', '<section id="comments"><p>Nice. I will read it again.</p></section>'])
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_a_short_article_keeps_its_text_without_the_comment_in_it(model, n, inner):
+    body = "".join(f"<p>{say(2)}</p>" for _ in range(n))
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><h1>A title of some words</h1>{body}{inner}</article><footer>c</footer></body></html>'
+    assert model.extract([page]) == ["\n".join(["A title of some words"] + [say(2)] * n)]
+
+
+@pytest.mark.parametrize("shape", ["<div>{}</div>", "<div><div>{}</div></div>", "<center>{}</center>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>"])
+def test_containers_without_a_name(model, shape):
+    """Layouts that say nothing but by where their prose stands."""
+    body = "".join(f"<p>{say(3)}</p>" for _ in range(3))
+    page = f'<html><body><ul class="menu"><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul>{shape.format(body)}<footer>&copy; site</footer></body></html>'
+    assert model.extract([page])[0].removeprefix("A title of some words\n") == "\n".join([say(3)] * 3)
