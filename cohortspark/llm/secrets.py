@@ -1,17 +1,25 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
-Candidates are long runs of key characters.  A text is split at its candidates
+Candidates are private key blocks of up to 20,000 characters, passwords in URLs, values of six or more
+characters that are assigned to a name of a secret, and runs of sixteen or more
+key characters anywhere; what is shorter, or stands in none of these places, is
+not looked at.  A text is split at its candidates
 once, so each candidate has its neighbours at hand and a redacted text is the
 parts joined again; every row is judged on its own and nothing is shuffled.
-The forest is grown from labelled findings, a bounded table made here, and
-applied as an expression.
+The forest is grown from labelled findings, a bounded table made here, which
+also give the log odds of character transitions, and applied as an expression.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import math
 import random
+import re
+from collections import Counter
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,15 +29,16 @@ from .common import table
 from .forest import forest_score, grow_forest
 
 THRESHOLD = 0.5
-FINDINGS = 2400
+FINDINGS = 3200
 MASK = "[SECRET]"
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+"
 
 # Words that tell in names, neighbours and paths, and frequent English letter pairs.
 KNOWN_PREFIX = r"^(AKIA|ASIA|gh[pousr]_|glpat-|sk[-_]|xox[abpr]-|eyJ|AIza|npm_|pypi-)"
 SECRET_WORDS = r"(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
 PLAIN_WORDS = r"(sha\d*|commit|checksum|md5|digest|hash|uuid|guid|etag|revision|integrity|version|base64|href|src|build|trace)"
 PLACEHOLDER = r"(?i)(example|your|xxxx|dummy|change.?me|placeholder|sample|0000|12345|abcdef|redacted)"
+SECRET_NAMES = r"passwords?|passwd|passphrase|pwd|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|auth|credentials?"
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----"
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/|readme)"
 DICTIONARY = (
     "about access account action after again application array author before block buffer build button cache check class client close code color column common component config connect "
@@ -41,23 +50,54 @@ DICTIONARY = (
     "source space stack start state static status storage store stream string style support switch system table target task template test text theme thing this thread time title token trace "
     "tree type unique update upload user utils value vector version view virtual where widget width window with word worker world write your"
 ).split()
+# a value after a secret's name and a colon or equals sign; the first two conditions only keep the third from being tried everywhere
+_ASSIGNED = rf"(?<=[:=\s\"'`])(?<=[:=]\s{{0,2}}[\"'`]?)(?<=(?i:{SECRET_NAMES})[\"'`]?\s{{0,2}}[:=]\s{{0,2}}[\"'`]?)[^\s\"'`,;<>()]{{6,}}+"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/@]{3,}+(?=@)"
+_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}+"
+CANDIDATE = "|".join((KEY_BLOCK, _ASSIGNED, _IN_URL, _RUN))
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
 FEATURES = (
-    "length", "digits", "upper", "lower", "hex", "transitions", "pairs", "vowels", "distinct", "dictionary", "secret_words", "plain_words", "assigned", "quoted", "in_path", "test_path", "goes_on", "prefix", "placeholder",
+    "length", "digits", "upper", "lower", "hex", "transitions", "pairs", "vowels", "distinct", "dictionary", "secret_words", "plain_words", "assigned", "quoted", "in_path", "test_path", "goes_on", "prefix", "placeholder", "symbols", "in_url", "odds",
 )
 _CLASSES = ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+# vowels, consonants, capitals, digits and all other characters
+_KINDS = ("aeiouybcdfghjklmnpqrstvwxzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "v" * 6 + "c" * 20 + "A" * 26 + "0" * 10)
+_OTHER = r"[^vcA0]"
+TRANSITIONS = [a + b for a in "vcA0-" for b in "vcA0-"]
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
+@dataclass(frozen=True)
+class SecretModel:
+    """A forest, the log odds of TRANSITIONS between secrets and other findings, and the dictionary."""
+
+    trees: list
+    odds: tuple[float, ...]
+    dictionary: tuple[str, ...] = tuple(DICTIONARY)
+
+
+def transition_odds(findings: Sequence[dict]) -> tuple[float, ...]:
+    """Log odds of each of TRANSITIONS in labelled findings, one added to every count."""
+    table = str.maketrans(*_KINDS)
+    counts = {0: Counter(), 1: Counter()}
+    for x in findings:
+        kinds = re.sub(_OTHER, "-", x["value"].translate(table))
+        counts[x["label"]].update(a + b for a, b in zip(kinds, kinds[1:]))
+    total = {y: sum(c.values()) + len(TRANSITIONS) for y, c in counts.items()}
+    return tuple(round(math.log((counts[1][t] + 1) / total[1]) - math.log((counts[0][t] + 1) / total[0]), 6) for t in TRANSITIONS)
+
+
+def features(value: Column, before: Column, after: Column, path: Column, odds: Sequence[float], dictionary: Sequence[str] = tuple(DICTIONARY)) -> list[Column]:
     """One double for each of FEATURES."""
     n = F.length(value).cast("double")
     kinds = F.translate(value, *_CLASSES)
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     near = F.lower(F.right(before, F.lit(32)))
     runs = F.length(F.regexp_replace(kinds, r"(.)\1*+", "$1"))
-    rest = F.length(F.regexp_replace(F.lower(value), "(" + "|".join(DICTIONARY) + ")", ""))
+    rest = F.length(F.regexp_replace(F.lower(value), "(" + "|".join(dictionary) + ")", ""))
     flag = lambda c: c.cast("double")
+    steps = F.regexp_replace(F.translate(value, *_KINDS), _OTHER, "-")
+    told = functools.reduce(lambda a, b: a + b, (F.regexp_count(steps, F.lit(f"(?={t})")) * F.lit(w) for t, w in zip(TRANSITIONS, odds, strict=True)))
     out = [
         n,
         share("[0-9]"),
@@ -78,6 +118,9 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         flag(after.rlike(r"^([.@:][A-Za-z]|/)")),
         flag(value.rlike(KNOWN_PREFIX)),
         flag(value.rlike(PLACEHOLDER)),
+        share(r"[^A-Za-z0-9+/_=\-]"),
+        flag(before.rlike(r"://[^\s/:@]{1,64}:$")),
+        told / F.greatest(n - 1, F.lit(1.0)),
     ]
     return [x.cast("double") for x in out]
 
@@ -90,10 +133,27 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[dict]:
     syllables = "the and ing ion ent ver lich keit ung eau ment aux que ción ado mente ed er re on an st ti or es".replace("ó", "o").split()
     speak = lambda k: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(k))
     name = lambda: rng.choice(["token", "api_key", "apikey", "secret", "client_secret", "password", "passwd", "access_key", "auth_token", "PRIVATE_KEY", "SECRET_KEY", "credential"])
-    paths = ["src/app.py", "config/settings.yml", "deploy/prod.env", "src3", "notes.txt", "", "src/main/App.java"]
+    paths = ["src/app.py", "config/settings.yml", "deploy/prod.env", "lib/client.rs", "notes.txt", "", "src/main/App.java"]
     odd = ["tests/test_auth.py", "docs/readme.md", "examples/sample.env", "fixtures/mock.json"]
 
+    def password() -> str:
+        word = rng.choice(DICTIONARY)
+        odd = "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "5"}.get(c, c) if rng.random() < 0.5 else c for c in word)
+        mixed = [word.title() + run("0123456789", rng.randint(2, 4)) + rng.choice("!#$%&*?"), odd + rng.choice("-_!.&") + run("0123456789", rng.randint(1, 4)), run(alnum + "!#$%&*?@^~", rng.randint(8, 15)), run(alnum, rng.randint(8, 14)), word + run("0123456789", 2) + "-" + rng.choice(["prod", "live", "db"])]
+        return rng.choice([x for x in mixed if len(x) >= 6])
+
+    def block() -> str:
+        kind = rng.choice(["RSA ", "EC ", "OPENSSH ", ""])
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(run(alnum + "+/", 64) for _ in range(rng.randint(2, 12))) + f"\n-----END {kind}PRIVATE KEY-----"
+
     def secret() -> tuple[str, str, str]:
+        kind = rng.random()
+        if kind < 0.25:
+            return speak(rng.randint(1, 6)) + " " + rng.choice(['password = "', "passwd: ", "DB_PASSWORD=", "pwd='", "Password: ", '"password": "', "secret: "]), password(), rng.choice(['" ', "' ", " ", "\n"]) + speak(3)
+        if kind < 0.33:
+            return speak(2) + " " + rng.choice(["postgres", "https", "redis", "mysql", "amqp"]) + f"://{rng.choice(DICTIONARY)}:", re.sub(r"[\s/@]", "x", password()), "@" + rng.choice(["db.example", "10.0.0.7", "host:5432/x"]) + " " + speak(2)
+        if kind < 0.38:
+            return speak(3) + rng.choice(["\n", " key: ", "\n\n"]), block(), "\n" + speak(2)
         value = rng.choice(
             [
                 lambda: run(hexa, rng.choice([32, 40, 48, 64])),
@@ -109,7 +169,16 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[dict]:
         lead = " " if bare else rng.choice([f'{name()} = "', f"{name()}='", f"{name()}: ", f"{name().upper()}=", "Authorization: Bearer ", f'"{name()}": "', f"export {name().upper()}="])
         return speak(rng.randint(1, 6)) + " " + lead, value, rng.choice(['" ', "' ", " ", "\n", '",\n']) + speak(3)
 
+    def blank() -> tuple[str, str]:
+        """What stands after the name of a secret without being one."""
+        word = rng.choice(DICTIONARY)
+        value = rng.choice(["required", "optional", "string", "undefined", "${DB_PASSWORD}", "{{password}}", "********", "xxxxxxxx", "changeme", "your-password", f"self.{word}", f"args.{word}", f"config.{word}", f"process.env.{word.upper()}", f"request.{word}", word * (1 + (len(word) < 6)), f"get_{word}", f"%{word}%", "[hidden]", "".join(rng.choice(syllables) for _ in range(rng.randint(4, 6)))])
+        return value, rng.choice(["password: ", "password = ", "token=", "secret: ", "passwd = '", "auth: ", '"token": "', "credentials: "])
+
     def plain() -> tuple[str, str, str]:
+        if rng.random() < 0.3:
+            value, lead = blank()
+            return speak(rng.randint(1, 6)) + " " + lead, value, rng.choice(["\n", " ", '" ', ", "]) + speak(3)
         word = lambda: rng.choice(DICTIONARY)
         value, lead = rng.choice(
             [
@@ -139,26 +208,30 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[dict]:
 
 
 @functools.cache
-def _forest(payload: str, app: str):
+def _model(payload: str, dictionary: tuple[str, ...], app: str) -> SecretModel:
     spark = SparkSession.getActiveSession()
+    odds = transition_odds(json.loads(payload))
     rows = spark.range(1).select(F.inline(F.from_json(F.lit(payload), "array<struct<before string, value string, after string, path string, label int>>")))
-    columns = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))
+    columns = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), odds, dictionary)
     found = np.array([[*r["f"], r["label"]] for r in rows.select(F.array(*columns).alias("f"), "label").collect()])
-    return grow_forest(found[:, :-1], found[:, -1])
+    return SecretModel(grow_forest(found[:, :-1], found[:, -1]), odds, dictionary)
 
 
-def train_forest(spark: SparkSession, findings: list[dict]):
-    """A forest from labelled findings (before, value, after, path, label); their number is the caller's bound."""
-    return _forest(json.dumps(findings, sort_keys=True), spark.sparkContext.applicationId)
+def train_forest(spark: SparkSession, findings: list[dict], dictionary: Sequence[str] = tuple(DICTIONARY)) -> SecretModel:
+    """A model from labelled findings (before, value, after, path, label); their number is the caller's bound."""
+    return _model(json.dumps(findings, sort_keys=True), tuple(dictionary), spark.sparkContext.applicationId)
 
 
-def scan(documents: DataFrame, forest, threshold: float = THRESHOLD, path: str = "source", names: tuple[str, str] = ("findings", "redacted")) -> DataFrame:
+def scan(documents: DataFrame, model: SecretModel, threshold: float = THRESHOLD, path: str = "source", names: tuple[str, str] = ("findings", "redacted")) -> DataFrame:
     """All columns of ``documents`` with ``findings`` and ``redacted`` (or other ``names``) added (replaced, if there).
 
     ``findings`` lists every candidate in order: value, at (its first
     character, from 0), score and secret.  ``redacted`` is the whole text with
     each secret masked.  A null text has no findings and stays null; an empty
-    one stays empty; where the column ``path`` is missing it counts as empty.
+    one stays empty; texts of any length are read whole; where the column
+    ``path`` is missing or null it counts as empty.  Rows that repeat are
+    scanned each; an empty table gives no rows.  Columns whose names begin with
+    two underscores are this function's own.
     """
     text = F.col("text").cast("string")
     where = F.col(path).cast("string") if path in documents.columns else F.lit("")
@@ -166,12 +239,12 @@ def scan(documents: DataFrame, forest, threshold: float = THRESHOLD, path: str =
 
     def judged(i: Column) -> Column:
         before, after = F.get("__parts", i), F.get("__parts", i + 1)
-        return F.array(*features(F.get("__values", i), before, after, where))
+        return F.array(*features(F.get("__values", i), before, after, where, model.odds, model.dictionary))
 
     some = F.size("__values") > 0
     places = F.when(some, F.sequence(F.lit(0), F.size("__values") - 1)).otherwise(F.array().cast("array<int>"))
     measured = split.withColumn("__x", F.transform(places, judged))
-    scored = measured.withColumn("__scores", F.transform("__x", lambda x: forest_score(forest, lambda k: F.get(x, F.lit(k)))))
+    scored = measured.withColumn("__scores", F.transform("__x", lambda x: forest_score(model.trees, lambda k: F.get(x, F.lit(k)))))
     ends = F.aggregate(
         places,
         F.array(F.lit(0)),
