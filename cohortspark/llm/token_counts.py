@@ -31,7 +31,7 @@ LIMIT = 2048
 SEGMENT = 1 << 20
 MEMO = 200_000  # most pre-tokens of one text that are gathered before they are written
 ROWS = 65_536
-FREQUENT = 100_000
+FREQUENT = 1_000_000
 OTHER = "\0"  # marks pre-tokens that the library has normalised and cut
 
 #: Characters on whose class, case and canonical form all Unicode versions and both regular-expression engines agree.
