@@ -190,9 +190,9 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows whose vector is there, not zero, and has neither null nor non-finite components."""
-    v = F.col("embedding").cast("array<double>")
+def usable(vectors: DataFrame, single: bool = False) -> DataFrame:
+    """(vec_id, v), v in ``single`` precision or double: rows whose vector is there, not zero, and has neither null nor non-finite components."""
+    v = F.col("embedding").cast("array<float>" if single else "array<double>")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0)
     return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -211,7 +211,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    good, asked = usable(vectors), usable(queries)
+    single = all(x.schema["embedding"].dataType.simpleString() == "array<float>" for x in (vectors, queries))
+    good, asked = usable(vectors, single), usable(queries, single)
     sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     length = sizes[0]["n"] if sizes else 0
     good, asked = good.where(F.size("v") == length), asked.where(F.size("v") == length)
@@ -287,9 +288,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("ids"), pa.array(_cosines(_matrix(batch.column("a")), _matrix(batch.column("b"))))], names=["q", "ids", "score"])
 
-    # equal queries are one entry, searched once
-    named = scratch.save(asked.distinct().withColumn("h", F.xxhash64("v")).join(entries.select("entry", "v", F.xxhash64("v").alias("h")), ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
-    distinct = entries.select(F.col("entry").alias("id"), "v").join(named.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
+    # equal queries are searched once
+    hashed = asked.distinct().withColumn("h", F.xxhash64("v"))
+    distinct = scratch.save(hashed.select("h", "v").distinct().withColumn("id", F.monotonically_increasing_id()))
+    named = scratch.save(hashed.join(distinct, ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")))
     postings = scratch.save(entries.select("entry", "v").mapInArrow(posted, "id long, code binary, step float, tree int, leaf long"))
     parts = scratch.save(postings.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"))  # seldom any
     n_parts = parts.count()
@@ -297,7 +299,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
     columns = ["tree", "leaf", "part", "id", "code", "step", "least", "is_query"]
     of = F.coalesce("parts", F.lit(1))
     held = postings.join(parts, ["tree", "leaf"], "left").withColumns({"part": F.pmod(F.xxhash64("id"), of).cast("int"), "least": F.lit(0.0).cast("float"), "is_query": F.lit(False)})
-    probes = distinct.mapInArrow(probing, "id long, code binary, step float, least float, tree int, leaf long").join(parts, ["tree", "leaf"], "left")
+    probes = distinct.select("id", "v").mapInArrow(probing, "id long, code binary, step float, least float, tree int, leaf long").join(parts, ["tree", "leaf"], "left")
     probes = probes.withColumns({"part": F.explode(F.sequence(F.lit(0), of - 1)), "is_query": F.lit(True)})
     groups = held.select(*columns).unionByName(probes.select(*columns)).repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
     found = groups.mapInArrow(candidates, "q long, entry long, near float").groupBy("q", "entry").agg(F.max("near").alias("near"))

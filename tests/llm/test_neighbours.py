@@ -82,3 +82,12 @@ def test_a_deeper_forest_posts_where_it_probes():
         order = forest.probe(x[i], 10**6)
         assert len(order) == len(set(order)) == 8 * sum(forest.leaves)
         assert {(t, int(leaf)) for t, leaf in enumerate(leaves[i])} <= set(order[:3])
+
+
+def test_queries_need_not_be_in_the_table(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 6)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1000, (x[7] * 3).astype(float).tolist()), (7, x[7].astype(float).tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in N.nearest(frame, asked).collect()}
+    assert got[1000, 1][0] == 7 and abs(got[1000, 1][1] - 1) < 1e-12 and got[7, 1][0] != 7 and len(got) == 10
