@@ -158,3 +158,9 @@ def base_run_id(run_id: Column) -> Column:
     """A run's identifier without the suffix of a step's file."""
     short = F.regexp_replace(run_id, r"_(?:step\d+(?:_response|_prompt)?|response|prompt|triage|clinical_summary|symptom_notes)$", "")
     return F.when(short != "", short).otherwise(run_id)
+
+
+def run_id(case_no: Column, now: Column) -> Column:
+    """A new identifier of a run: its case, if there is one, the second and six random letters."""
+    head = F.coalesce(F.concat(F.lit("case_"), case_no.cast("string")), F.lit("run"))
+    return F.concat(head, F.lit("_"), F.date_format(now, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 6))

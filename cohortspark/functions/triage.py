@@ -159,10 +159,19 @@ STATUS_MEANING = {
 }
 
 
+def _meaning(raw: Column, which: int) -> Column:
+    mapping = F.create_map(*[F.lit(x) for k, v in STATUS_MEANING.items() for x in (k, v[which])])
+    return F.element_at(mapping, F.lower(F.trim(F.coalesce(raw, F.lit("")))))
+
+
 def canonical_status(raw: Column, default: Column | None = None) -> Column:
     """The canonical status of a model's status word; the default for words that are not listed."""
-    mapping = F.create_map(*[x for k, (v, _) in STATUS_MEANING.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(mapping, F.lower(F.trim(F.coalesce(raw, F.lit(""))))), default if default is not None else F.lit(None).cast("string"))
+    return F.coalesce(_meaning(raw, 0), default if default is not None else F.lit(None).cast("string"))
+
+
+def displayed_status(raw: Column) -> Column:
+    """How a model's status word is shown; null for words that are not listed."""
+    return _meaning(raw, 1)
 
 
 def json_answer(text: Column) -> Column:

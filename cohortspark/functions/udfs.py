@@ -43,13 +43,24 @@ def hashed_ngrams(text: str, size: int) -> np.ndarray:
     return vector / length if length else vector
 
 
-def embedder(size: int = 64, encode=hashed_ngrams):
-    """A column function from text to a unit vector; ``encode(text, size)`` may be any model, loaded lazily on the worker."""
+@functools.cache
+def _loaded(load):
+    return load()
+
+
+def embedder(size: int = 64, encode=hashed_ngrams, load=None):
+    """A column function from text to a unit vector by ``encode(text, size)``.
+
+    ``load()`` may give that function instead: it is called when the first text
+    comes, once a worker process, so that a model is not sent with the tasks.
+    It must be a function of an importable module to be known as the same one.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda x: encode(x, size).tolist(), na_action="ignore")
+            model = _loaded(load) if load else encode
+            yield part.map(lambda x: model(x, size).tolist(), na_action="ignore")
 
     return embed
 

@@ -111,3 +111,17 @@ def call_cost(family: Column, tokens_in: Column, tokens_out: Column) -> Column:
     pro = F.lower(family).contains("pro")
     price = lambda n, a, b: n * F.when(pro, a).otherwise(b)
     return F.round((price(tokens_in, 1.25, 0.075) + price(tokens_out, 5.0, 0.3)) / 1_000_000, 6)
+
+
+def unit(a: Column) -> Column:
+    """A vector scaled to length 1; a vector without length stays as it is."""
+    size = norm(a)
+    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors whose mask is above 0, component by component; null where none is."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] > 0), lambda x: x["v"])
+    first = F.transform(F.get(kept, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, first, lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))

@@ -42,6 +42,28 @@ def newest_matching(encounters: DataFrame, terms: list[str], column: str, exclud
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def patient_history(visits: DataFrame, patients: DataFrame, complaints: DataFrame, diagnoses: DataFrame, prescriptions: DataFrame, case_no: int | None, before: Column | None = None) -> DataFrame:
+    """One case's visits with patient, complaints, diagnoses and medicines, oldest first; those on or after ``before`` are out.
+
+    A visit without a readable date stays, first in order.  The case number
+    reaches every source before it is joined.  Without a case there are no rows.
+    """
+    one = lambda df: df.where(F.lit(False) if case_no is None else F.col("case_no") == case_no)
+    key = ["case_no", "visit_date"]
+    out = one(visits).join(one(patients), "case_no", "left").join(one(complaints), key, "left")
+    out = out.join(ordered_text(one(diagnoses), key, "diagnosis", "diagnosis_names"), key, "left").join(ordered_text(one(prescriptions), key, "medicine", "medicine_names"), key, "left")
+    out = out if before is None else out.where(F.coalesce(F.col("visit_date") < before, F.lit(True)))
+    ties = ["visit_id"] if "visit_id" in visits.columns else []
+    return out.orderBy("visit_date", *ties)
+
+
+def first_case(cases: DataFrame, case_no: int, date: Column | None = None) -> DataFrame:
+    """The first row of a case, or of a case and date: a point lookup."""
+    rows = cases.where(F.col("case_no") == case_no)
+    rows = rows if date is None else rows.where(F.col("visit_date") == date)
+    return rows.limit(1)
+
+
 def past_visits(encounters: DataFrame, case_no: int, before: Column | None = None) -> DataFrame:
     """A case's encounters strictly before a date (now, if there is none), oldest first; unreadable dates are out."""
     return encounters.where((F.col("case_no") == case_no) & (F.col("visit_date") < F.coalesce(before if before is not None else F.lit(None), F.current_date()))).orderBy("visit_date")

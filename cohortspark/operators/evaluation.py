@@ -48,16 +48,17 @@ def filled_cohorts(summary: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def confusion(evaluated: DataFrame) -> DataFrame:
-    """TP, FP, FN and TN over sets of tokens (columns expected and predicted), TN against the catalogue of all tokens, with rates in percent."""
+    """TP, FP, FN and TN over sets of tokens (columns expected and predicted), TN against the catalogue of all tokens, with rates in percent.
+
+    A case's true negatives are the catalogue less the tokens it has, so their
+    sum needs only the sum of those sizes and the evaluated rows are read once.
+    """
     sets = evaluated.select(F.array_distinct("expected").alias("e"), F.array_distinct("predicted").alias("p"))
-    catalogue = sets.select(F.explode(F.array_union("e", "p")).alias("t")).agg(F.countDistinct("t").alias("catalogue"))
-    counted = sets.crossJoin(F.broadcast(catalogue)).agg(  # one row
-        F.sum(F.size(F.array_intersect("e", "p"))).alias("tp"),
-        F.sum(F.size(F.array_except("p", "e"))).alias("fp"),
-        F.sum(F.size(F.array_except("e", "p"))).alias("fn"),
-        F.sum(F.greatest(F.lit(0), F.col("catalogue") - F.size(F.array_union("e", "p")))).alias("tn"),
-    )
-    return with_rates(counted)
+    long = sets.select("e", "p", F.posexplode_outer(F.array_union("e", "p")).alias("pos", "t"))
+    first, in_e, in_p = F.coalesce(F.col("pos") == 0, F.lit(True)), F.array_contains("e", F.col("t")), F.array_contains("p", F.col("t"))
+    per = long.groupBy("t").agg(F.count_if(in_e & in_p).alias("tp"), F.count_if(~in_e).alias("fp"), F.count_if(~in_p).alias("fn"), F.count("t").alias("n"), F.count_if(first).alias("cases"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return with_rates(per.agg(total("tp").alias("tp"), total("fp").alias("fp"), total("fn").alias("fn"), (F.count("t") * total("cases") - total("n")).alias("tn")))
 
 
 def with_rates(counted: DataFrame) -> DataFrame:
@@ -125,3 +126,92 @@ def without_prompts(records: DataFrame, column: str = "res", fields: tuple[str,
     keep = [c for c in ("runId", "caseNo", "prompts") if c in records.columns]
     audit = records.select(*keep, *(F.col(f"{column}.{f}").alias(f) for f in there))
     return light.drop("prompts"), audit
+
+
+def _names(medicines: Column, field: str, lower: bool) -> Column:
+    value = lambda m: F.lower(m[field]) if lower else m[field]
+    return F.array_distinct(F.filter(F.transform(medicines, value), lambda x: F.coalesce(x != "", F.lit(False))))
+
+
+def compare_runs(old: DataFrame, new: DataFrame, key: str = "case_no") -> DataFrame:
+    """One row a case of both runs: recall of molecules and dosage groups, sizes, and what was matched, missed and extra.
+
+    Runs have the key, expected and medications (arrays of structs with
+    canonical_molecule and dosage_group_id); cases without medications in
+    either are left out.  What is expected, visit_type and past_count are the
+    old run's.
+    """
+    kept = [c for c in ("visit_type", "past_count") if c in old.columns]
+    a = old.where("medications is not null").select(key, "expected", F.col("medications").alias("old"), *kept)
+    both = a.join(new.where("medications is not null").select(key, F.col("medications").alias("new")), key)
+    empty = F.array().cast(old.schema["expected"].dataType)
+    both = both.withColumn("expected", F.coalesce("expected", empty))
+    for name, column in (("expected", "e"), ("old", "o"), ("new", "n")):
+        both = both.withColumns({f"__{column}": _names(F.col(name), "canonical_molecule", True), f"__{column}g": _names(F.col(name), "dosage_group_id", False)})
+    out = both.withColumns(
+        {
+            "recall_old": set_recall(F.col("__e"), F.col("__o")),
+            "recall_new": set_recall(F.col("__e"), F.col("__n")),
+            "group_recall_old": set_recall(F.col("__eg"), F.col("__og")),
+            "group_recall_new": set_recall(F.col("__eg"), F.col("__ng")),
+            "expected_n": F.size("expected"),
+            "old_n": F.size("old"),
+            "new_n": F.size("new"),
+            "matched": F.array_sort(F.array_intersect("__e", "__n")),
+            "missed": F.array_sort(F.array_except("__e", "__n")),
+            "extra": F.array_sort(F.array_except("__n", "__e")),
+            # without expected molecules all predicted ones are extra, as in a comparison of sets
+            "old_extra": F.size(F.array_except("__o", "__e")),
+            "new_extra": F.size(F.array_except("__n", "__e")),
+        }
+    )
+    return out.drop("expected", "old", "new", *(f"__{c}{g}" for c in "eon" for g in ("", "g")))
+
+
+def recall_by(compared: DataFrame, group: Column, name: str = "cohort") -> DataFrame:
+    """Mean recall of both runs, in percent, and cases by a grouping column; rows without a group are left out."""
+    return compared.where(group.isNotNull()).groupBy(group.alias(name)).agg(F.count("*").alias("cases"), F.round(F.avg("recall_old") * 100, 1).alias("recall_old"), F.round(F.avg("recall_new") * 100, 1).alias("recall_new"))
+
+
+def by_history(compared: DataFrame) -> DataFrame:
+    return recall_by(compared, F.when(F.coalesce("past_count", F.lit(0)) > 0, "with past cases").otherwise("without past cases"))
+
+
+def most_common(compared: DataFrame, column: str, n: int = 15) -> DataFrame:
+    """The ``n`` most frequent entries of an array column, missed or extra: (molecule, cases)."""
+    return compared.select(F.explode(column).alias("molecule")).groupBy("molecule").agg(F.count("*").alias("cases")).orderBy(F.desc("cases"), "molecule").limit(n)
+
+
+def size_mismatches(compared: DataFrame, key: str = "case_no", least: int = 3) -> DataFrame:
+    """Cases whose new regimen is larger or smaller than expected by ``least`` or more, the largest difference first."""
+    gap = F.col("new_n") - F.col("expected_n")
+    return compared.where(F.abs(gap) >= least).select(key, "expected_n", "new_n", gap.alias("difference")).orderBy(F.abs(F.col("difference")).desc(), key)
+
+
+def most_improved(compared: DataFrame, key: str = "case_no", n: int = 10) -> DataFrame:
+    change = F.col("recall_new") - F.col("recall_old")
+    return compared.where(change > 0).select(key, F.round(change, 4).alias("change"), "matched", "missed").orderBy(F.desc("change"), key).limit(n)
+
+
+def zero_scores(compared: DataFrame, key: str = "case_no") -> DataFrame:
+    """Cases of which the new run found nothing that was expected."""
+    return compared.where((F.col("recall_new") == 0) & (F.col("expected_n") > 0)).select(key, "expected_n", "new_n", "missed", "extra").orderBy(key)
+
+
+def run_summary(compared: DataFrame, epsilon: float = 0.0) -> DataFrame:
+    """``run_comparison`` with the mean recall of dosage groups beside it."""
+    groups = compared.agg(F.round(F.avg("group_recall_old"), 4).alias("group_recall_old"), F.round(F.avg("group_recall_new"), 4).alias("group_recall_new"))
+    return run_comparison(compared, epsilon).crossJoin(groups)  # one row each
+
+
+def top_items(items: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` of ``one_vs_rest`` by support."""
+    return items.orderBy(F.desc("support"), "item").limit(n)
+
+
+def split_sizes(records: DataFrame, light: DataFrame, audit: DataFrame) -> DataFrame:
+    """Bytes of JSON lines before and after a split, of the audit table, and the share saved: what a dry run reports."""
+    size = lambda df, name: df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias(name))
+    whole = size(records, "bytes_before").crossJoin(size(light, "bytes_light")).crossJoin(size(audit, "bytes_audit"))  # one row each
+    before = F.col("bytes_before")
+    return whole.withColumn("saved_percent", F.when(before > 0, F.round((before - F.col("bytes_light")) / before * 100, 1)).otherwise(0.0))

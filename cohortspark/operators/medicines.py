@@ -68,10 +68,30 @@ def with_digest(master: DataFrame) -> DataFrame:
     return master.withColumn("digest_text", X.digest_sentence(F.col("canonical_molecule"), F.col("brand_name"), F.col("clinical_dosing_indication")))
 
 
+def without_field(rows: DataFrame, field: str = "embedding") -> DataFrame:
+    """``rows`` without a field, wherever it stands: as a column, in structs and in arrays of structs, at any depth."""
+    from pyspark.sql import types as T
+
+    def holds(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return holds(kind.elementType)
+        return isinstance(kind, T.StructType) and any(f.name == field or holds(f.dataType) for f in kind)
+
+    def strip(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: strip(x, kind.elementType)) if holds(kind) else value
+        if not holds(kind):
+            return value
+        parts = [strip(value[f.name], f.dataType).alias(f.name) for f in kind if f.name != field]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else F.lit(None)
+
+    return rows.select(*(strip(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema if f.name != field))
+
+
 def vector_search(master: DataFrame, query: list[float], k: int, min_score: float = 0.0, ident: str = "brand_name") -> DataFrame:
     """The nearest entries of unit vectors by dot product, scores to four decimals, without their vectors."""
     score = V.dot(F.col("embedding"), F.array(*map(F.lit, query)))
-    rows = master.withColumn("score", score).where(F.col("score") >= min_score).withColumn("score", F.round("score", 4)).drop("embedding")
+    rows = without_field(master.withColumn("score", score).where(F.col("score") >= min_score).withColumn("score", F.round("score", 4)))
     return rows.orderBy(F.desc("score"), ident).limit(k)
 
 
@@ -79,3 +99,34 @@ def text_search(master: DataFrame, query: str, k: int) -> DataFrame:
     """Entries by weighted token overlap of brand, molecule and indication."""
     fields = list(zip(map(F.col, ("brand_name", "canonical_molecule", "clinical_dosing_indication")), SEARCH_WEIGHTS, strict=True))
     return master.withColumn("score", F.round(X.weighted_text_score(F.lit(query), fields), 4)).where("score > 0").orderBy(F.desc("score"), "brand_name", "canonical_molecule").limit(k)
+
+
+def medicine_name(m: Column, fields: list[str]) -> Column:
+    """What a medicine is called: term, original term, brand or name, the first that is there and not blank."""
+    there = [m[f] for f in ("term", "original_term", "brand_name", "name") if f in fields]
+    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in there)) if there else F.lit(None).cast("string")
+
+
+def medicine_names(column: str, rows: DataFrame) -> Column:
+    """The names in an array of medicines, structs of any of their shapes or plain texts, or in one plain text; an empty array for null."""
+    kind = rows.schema[column].dataType
+    empty = F.array().cast("array<string>")
+    if kind.typeName() == "string":
+        return F.when(F.trim(column) != "", F.array(F.trim(column))).otherwise(empty)
+    inner = kind.elementType
+    name = (lambda m: F.trim(m)) if inner.typeName() == "string" else (lambda m: medicine_name(m, inner.fieldNames()))
+    return F.coalesce(F.filter(F.transform(column, name), lambda x: F.coalesce(x != "", F.lit(False))), empty)
+
+
+def molecules_of(text: Column) -> Column:
+    """The molecules of a combination: parts between plus signs, trimmed, empty ones dropped."""
+    return F.coalesce(F.filter(F.transform(F.split(text, r"\+"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def prescribed(medicines: DataFrame, master: DataFrame, fields: list[str]) -> DataFrame:
+    """Prescribed medicines filled in from the master, with a molecule and whether they are a combination in any case."""
+    rows = enrich(medicines, master, fields)
+    molecule = F.coalesce(F.when(F.trim("canonical_molecule") != "", F.col("canonical_molecule")), F.when(F.trim("brand_name") != "", F.col("brand_name")), F.lit("Unknown"))
+    rows = rows.withColumn("canonical_molecule", molecule)
+    known = F.when(F.lower(F.trim(F.col("is_fdc").cast("string"))).isin("true", "1", "yes"), True).when(F.col("is_fdc").isNotNull(), False) if "is_fdc" in rows.columns else F.lit(None).cast("boolean")
+    return rows.withColumn("is_fdc", F.coalesce(known, F.col("canonical_molecule").contains("+")))

@@ -12,10 +12,11 @@ GENERIC_DEPTH = 2
 
 
 def edges_of(terms: DataFrame) -> DataFrame:
-    """(child, parent) of terms that are not obsolete; parents that are no term are dropped."""
+    """(child, parent) of terms that are not obsolete; parents may be named by alternative ids, those that are no term are dropped."""
     live = terms.where(~F.col("is_obsolete"))
-    pairs = live.select(F.col("id").alias("child"), F.explode("parents").alias("parent"))
-    return pairs.join(live.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
+    pairs = live.select(F.col("id").alias("child"), F.explode("parents").alias("given"))
+    codes = canonical_codes(live) if "alt_ids" in terms.columns else live.select(F.col("id").alias("given"), F.col("id").alias("code"))
+    return pairs.join(codes, "given").select("child", F.col("code").alias("parent")).where("child <> parent").distinct()
 
 
 def ancestor_closure(nodes: DataFrame, edges: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -46,8 +47,17 @@ def specific_ancestors(closure: DataFrame, generic_depth: int = GENERIC_DEPTH) -
 
 
 def canonical_codes(terms: DataFrame) -> DataFrame:
-    """(given, code): every id and alternative id with the id it stands for."""
-    return terms.select(F.col("id").alias("given"), F.col("id").alias("code")).unionByName(terms.select(F.explode("alt_ids").alias("given"), F.col("id").alias("code")))
+    """(given, code): every id and alternative id with the id it stands for; an id stands for itself, whatever lists it as alternative."""
+    own = terms.select(F.col("id").alias("given"), F.col("id").alias("code"))
+    other = terms.select(F.explode("alt_ids").alias("given"), F.col("id").alias("code")).groupBy("given").agg(F.min("code").alias("code"))
+    return own.unionByName(other.join(own.select("given"), "given", "left_anti"))
+
+
+def canonicalized(rows: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """``rows`` with the codes in ``column`` replaced by the ids they stand for; unknown codes stay."""
+    codes = canonical_codes(terms).select(F.col("given").alias("__given"), F.col("code").alias("__code"))
+    joined = rows.join(codes, F.col(column) == F.col("__given"), "left")
+    return joined.withColumn(column, F.coalesce("__code", column)).drop("__given", "__code")
 
 
 def wu_palmer(pairs: DataFrame, closure: DataFrame, generic_depth: int = GENERIC_DEPTH) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def last_per_key(rows: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
-    """One row a key: the last by ``ordinal``, which is dropped; without it, rows must be distinct by key already."""
+    """One row a key: the last by ``ordinal``, which is dropped; without it, the last by the rows' own values, as JSON."""
     if ordinal is None:
-        return rows.dropDuplicates(keys)
+        rows, ordinal = rows.withColumn("__ordinal", F.to_json(F.struct(*rows.columns))), "__ordinal"
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))
     return rows.withColumn("__n", newest).where("__n = 1").drop("__n", ordinal)
 

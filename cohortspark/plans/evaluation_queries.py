@@ -109,3 +109,81 @@ def t20_split_combo(spark, d):
     strengths = F.when(kind == 0, F.create_map(F.initcap("p_name"), F.lit(5.0), F.col("p_type"), F.lit(1.0))).when(kind == 2, F.create_map(F.upper("p_name"), F.lit(2.0)))
     molecule = F.when(kind == 1, F.concat(F.col("p_brand"), F.lit(" + "), F.col("p_name"))).otherwise(F.col("p_name"))
     return p.select("p_partkey", F.array_join(X.component_tokens(F.col("p_brand"), molecule, strengths, "fdc_broken"), "|").alias("tokens"))
+
+
+def _runs(spark, d):
+    """Two runs over the same cases: what was expected and what each predicted, as medicines with dosage groups; some cases have no answer."""
+    rows = W.medicines(spark, d)
+    medicine = F.struct(F.col("molecule").alias("canonical_molecule"), F.col("form").alias("dosage_group_id"))
+    listed = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct("pos", medicine.alias("m"))))), lambda x: x["m"])
+    base = rows.groupBy(F.col("visit_id").alias("case_no")).agg(listed(F.col("l_returnflag") != "R").alias("expected"), listed(F.col("l_linestatus") == "O").alias("new"), listed((F.col("l_linestatus") == "O") & (F.col("pos") > 1)).alias("old"))
+    base = base.join(W.visits(spark, d).select(F.col("visit_id").alias("case_no"), F.col("visit_reason").alias("visit_type")), "case_no").withColumn("past_count", F.col("case_no") % 3)
+    old = base.select("case_no", "expected", F.when(F.col("case_no") % 10 != 0, F.col("old")).alias("medications"), "visit_type", "past_count")
+    new = base.where("case_no % 7 <> 0").select("case_no", F.col("new").alias("medications"))
+    return A.compare_runs(old, new)
+
+
+_RUNS = f"""WITH {W.VISITS_SQL}, {W.MEDICINES_SQL}, b AS (SELECT visit_id AS case_no, coalesce(list(lower(molecule)) FILTER (l_returnflag <> 'R'), []) AS e, coalesce(list(lower(molecule)) FILTER (l_linestatus = 'O'), []) AS n, coalesce(list(lower(molecule)) FILTER (l_linestatus = 'O' AND pos > 1), []) AS o,
+coalesce(list(form) FILTER (l_returnflag <> 'R'), []) AS eg, coalesce(list(form) FILTER (l_linestatus = 'O'), []) AS ng, coalesce(list(form) FILTER (l_linestatus = 'O' AND pos > 1), []) AS og FROM medicines GROUP BY 1),
+u AS (SELECT case_no, len(e) AS expected_n, len(o) AS old_n, len(n) AS new_n, list_distinct(e) AS e, list_distinct(n) AS n, list_distinct(o) AS o, list_distinct(eg) AS eg, list_distinct(ng) AS ng, list_distinct(og) AS og FROM b WHERE case_no % 7 <> 0 AND case_no % 10 <> 0),
+r AS (SELECT u.*, visit_reason AS visit_type, u.case_no % 3 AS past_count, """ + ", ".join(f"CASE WHEN len({e}) > 0 THEN len(list_intersect({e}, {p})) / len({e}) WHEN len({p}) = 0 THEN 1.0 ELSE 0.0 END AS {name}" for e, p, name in (("e", "o", "recall_old"), ("e", "n", "recall_new"), ("eg", "og", "group_recall_old"), ("eg", "ng", "group_recall_new"))) + """,
+list_sort(list_filter(e, lambda x: NOT list_contains(n, x))) AS missed, list_sort(list_filter(n, lambda x: NOT list_contains(e, x))) AS extra, list_sort(list_intersect(e, n)) AS matched, len(list_filter(o, lambda x: NOT list_contains(e, x))) AS old_extra FROM u JOIN visits ON u.case_no = visit_id)
+"""
+
+
+@query(_RUNS + "SELECT case_no, round(recall_old, 4) AS recall_old, round(recall_new, 4) AS recall_new, expected_n, old_n, new_n, array_to_string(matched, '|') AS matched, array_to_string(missed, '|') AS missed, array_to_string(extra, '|') AS extra FROM r")
+def j12_run_join(spark, d):
+    """An old run joined with a new one, case by case."""
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return _runs(spark, d).select("case_no", F.round("recall_old", 4).alias("recall_old"), F.round("recall_new", 4).alias("recall_new"), n("expected_n"), n("old_n"), n("new_n"), *(F.array_join(c, "|").alias(c) for c in ("matched", "missed", "extra")))
+
+
+@query(_RUNS + """SELECT count(*) AS cases, round(avg(recall_old), 4) AS recall_old, round(avg(recall_new), 4) AS recall_new, round(avg(recall_new - recall_old), 4) AS recall_change, round(avg(abs(old_n - expected_n)), 4) AS size_error_old, round(avg(abs(new_n - expected_n)), 4) AS size_error_new, round(avg(old_extra), 4) AS extra_old, round(avg(len(extra)), 4) AS extra_new,
+count(*) FILTER (recall_new > recall_old) AS improved, count(*) FILTER (recall_new < recall_old) AS regressed, count(*) FILTER (recall_new = recall_old) AS unchanged, round(avg(group_recall_old), 4) AS group_recall_old, round(avg(group_recall_new), 4) AS group_recall_new FROM r""")
+def h6_run_summary(spark, d):
+    """The summary of two runs, dosage groups included."""
+    return A.run_summary(_runs(spark, d))
+
+
+@query(_RUNS + "SELECT visit_type AS cohort, count(*) AS cases, round(avg(recall_old) * 100, 1) AS recall_old, round(avg(recall_new) * 100, 1) AS recall_new FROM r GROUP BY 1")
+def a14_recall_by_visit_type(spark, d):
+    return A.recall_by(_runs(spark, d), F.col("visit_type"))
+
+
+@query(_RUNS + "SELECT CASE WHEN past_count > 0 THEN 'with past cases' ELSE 'without past cases' END AS cohort, count(*) AS cases, round(avg(recall_old) * 100, 1) AS recall_old, round(avg(recall_new) * 100, 1) AS recall_new FROM r GROUP BY 1")
+def a14_recall_by_history(spark, d):
+    return A.by_history(_runs(spark, d))
+
+
+@query(_RUNS + "SELECT molecule, count(*) AS cases FROM (SELECT unnest(extra) AS molecule FROM r) GROUP BY 1 ORDER BY cases DESC, molecule LIMIT 15")
+def w12_top_extra(spark, d):
+    return A.most_common(_runs(spark, d), "extra")
+
+
+@query(_RUNS + "SELECT case_no, expected_n, new_n, new_n - expected_n AS difference FROM r WHERE abs(new_n - expected_n) >= 3")
+def w12_size_mismatches(spark, d):
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return A.size_mismatches(_runs(spark, d)).select("case_no", n("expected_n"), n("new_n"), n("difference"))
+
+
+@query(_RUNS + "SELECT case_no, round(recall_new - recall_old, 4) AS change, array_to_string(missed, '|') AS missed FROM r WHERE recall_new > recall_old ORDER BY change DESC, case_no LIMIT 10")
+def w12_most_improved(spark, d):
+    return A.most_improved(_runs(spark, d)).select("case_no", "change", F.array_join("missed", "|").alias("missed"))
+
+
+@query(_RUNS + "SELECT case_no, expected_n, new_n, array_to_string(missed, '|') AS missed FROM r WHERE recall_new = 0 AND expected_n > 0")
+def w12_zero_scores(spark, d):
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return A.zero_scores(_runs(spark, d)).select("case_no", n("expected_n"), n("new_n"), F.array_join("missed", "|").alias("missed"))
+
+
+@query(_OVR + "SELECT item, support, f1 FROM r ORDER BY support DESC, item LIMIT 10")
+def w13_ovr_top(spark, d):
+    return A.top_items(A.one_vs_rest(_evaluated(spark, d), "visit_id"), 10).select("item", "support", "f1")
+
+
+@query(_EVAL + """, s AS (SELECT gender AS cohort, count(*) AS cases, CAST(sum(matched_count) AS BIGINT) AS matched FROM c GROUP BY 1) SELECT 'gender' AS dimension, x AS cohort, coalesce(cases, 0) AS cases, coalesce(matched, 0) AS matched FROM (SELECT unnest(['BUILDING', 'NOBODY', 'MACHINERY']) AS x) LEFT JOIN s ON x = cohort""")
+def a7_zero_filled_cohorts(spark, d):
+    """Cohorts that are asked for, those without a case with zeros."""
+    wanted = spark.createDataFrame([("gender", x) for x in ("BUILDING", "NOBODY", "MACHINERY")], "dimension string, cohort string")
+    return A.filled_cohorts(A.cohort_summary(_evaluated(spark, d)), wanted).select("dimension", "cohort", "cases", "matched")

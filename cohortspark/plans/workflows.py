@@ -48,7 +48,8 @@ def ontology_resolver(entries: DataFrame, postings: DataFrame, policy: str = "le
 
 
 def medicine_resolver(master: DataFrame, fields: list[str]) -> Callable[[DataFrame], DataFrame]:
-    return lambda terms: M.match_medicines(terms, master).select("term", *fields)
+    """Master fields of each medicine term; combinations also as ``molecules``, the list of their parts."""
+    return lambda terms: M.match_medicines(terms, master).select("term", *fields, M.molecules_of(F.col("canonical_molecule")).alias("molecules"))
 
 
 def migrate(sources: dict[str, DataFrame], table: DataFrame | None, resolvers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -113,15 +114,27 @@ def accuracy_report(records: DataFrame, mode: str) -> tuple[DataFrame, DataFrame
 
 
 def offline_answer(prompt: Column) -> Column:
-    """A stand-in for a language model: the same answer to every prompt, in the form that the parsers read."""
-    return F.concat(F.lit('```json\n{"patient_condition": "not assessed", "entity_medication_check": [], "medications": [], "explanation": "offline answer to a prompt of '), F.length(prompt).cast("string"), F.lit(' characters"}\n```'))
+    """A stand-in for a language model: an answer in the form that the parsers read, by what the prompt asks for."""
+    field = lambda name: F.trim(F.regexp_extract(prompt, rf"- {name}:[ \t]*([^\n]*)", 1))
+    symptoms, disease = field("Symptoms"), field("Diagnosis")
+    given = lambda c, none: F.when((c != "") & (c != none), c)
+    s, d = given(symptoms, "None reported"), given(disease, "None specified")
+    query = F.concat(F.lit("Clinical dosing indication for management of "), F.coalesce(d, F.lit("clinical condition")), F.coalesce(F.concat(F.lit(" with "), s), F.lit("")), F.lit("."))
+    words = F.array_distinct(F.concat(F.coalesce(F.array(d), F.array().cast("array<string>")), X.comma_terms(s), F.array(F.lit("Pharmacotherapy"))))
+    search = F.to_json(F.struct(F.array(query).alias("vector_semantic_queries"), F.filter(words, lambda w: w.isNotNull()).alias("bm25_keywords")))
+    review = F.lit('{"whats_changed": "not assessed offline", "deprescribing_recommendations": [], "triaged_items": []}')
+    plain = F.concat(F.lit('```json\n{"patient_condition": "not assessed", "entity_medication_check": [], "medications": [], "explanation": "offline answer to a prompt of '), F.length(prompt).cast("string"), F.lit(' characters"}\n```'))
+    low = F.lower(prompt)
+    return F.when(low.contains("vector_semantic_queries") | low.contains("bm25_keywords"), search).when(low.contains("deprescrib"), review).otherwise(plain)
 
 
 def call_log(prompts: DataFrame, family: str, model: Callable[[Column], Column] = offline_answer) -> DataFrame:
-    """Prompts (call_name, prompt) with answers, sizes and cost: the table that replaces trace files."""
+    """Prompts (prompt, and call_name where it is known) with answers, sizes and cost: the table that replaces trace files."""
+    from ..functions.answers import call_name
     from ..functions.vectors import call_cost
 
-    answered = prompts.withColumn("answer", model(F.col("prompt"))).withColumns({"tokens_in": F.ceil(F.length("prompt") / 4), "tokens_out": F.ceil(F.length("answer") / 4)})
+    named = F.coalesce("call_name", call_name(F.col("prompt"))) if "call_name" in prompts.columns else call_name(F.col("prompt"))
+    answered = prompts.withColumn("call_name", named).withColumn("answer", model(F.col("prompt"))).withColumns({"tokens_in": F.ceil(F.length("prompt") / 4), "tokens_out": F.ceil(F.length("answer") / 4)})
     return answered.withColumn("cost", call_cost(F.lit(family), F.col("tokens_in"), F.col("tokens_out")))
 
 

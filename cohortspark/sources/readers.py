@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,15 +50,99 @@ def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
-    """The objects of a file that holds one JSON array; ``strict`` fails on malformed input, otherwise it gives no row."""
+    """The objects of files that hold one JSON array each.
+
+    ``strict`` fails on malformed input and on a file that holds anything but
+    an array; otherwise what does not fit gives no row, and a path without
+    files an empty table, if ``schema`` is given.
+    """
+    try:
+        heads = spark.read.text(path, wholetext=True).select(F.ltrim(F.regexp_replace("value", r"^[\s\ufeff]+", "")).startswith("[").alias("ok"))
+    except AnalysisException as error:
+        if strict or schema is None or "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+    whole = heads.agg(F.coalesce(F.every("ok"), F.lit(True))).first()[0]
+    if not whole and strict:
+        raise ValueError(f"{path}: expected a JSON array")
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).json(path)
+    rows = (reader.schema(schema) if schema else reader).json(path)
+    return rows if whole else rows.limit(0)
 
 
 def medicine_master(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return json_array(spark, path, MEDICINE_SCHEMA, strict)
 
 
+#: A result record's request and expected medicines.
+CASE_SCHEMA = T.StructType(
+    [
+        T.StructField(
+            "req",
+            T.StructType(
+                [
+                    T.StructField(
+                        "case",
+                        T.StructType(
+                            [
+                                T.StructField("caseNo", T.LongType()),
+                                T.StructField("caseDate", T.StringType()),
+                                T.StructField("visitType", T.StringType()),
+                                T.StructField("patientInfo", T.StructType([T.StructField("age", T.DoubleType()), T.StructField("gender", T.StringType())])),
+                                T.StructField("symptoms", T.ArrayType(T.StringType())),
+                                T.StructField("diagnosis", T.ArrayType(T.StringType())),
+                            ]
+                        ),
+                    )
+                ]
+            ),
+        ),
+        T.StructField("expectedMeds", T.ArrayType(MEDICINE_SCHEMA)),
+    ]
+)
+
+
+def batch_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of a batch file: a JSON array of request and expected medicines, flattened, numbered by their place."""
+    rows = json_array(spark, path, CASE_SCHEMA)
+    case = F.col("req.case")
+    age, gender = case["patientInfo"]["age"], case["patientInfo"]["gender"]
+    return rows.select(case["caseNo"].alias("case_no"), case["caseDate"].alias("case_date"), case["visitType"].alias("visit_type"), age.alias("age"), gender.alias("gender"), case["symptoms"].alias("symptoms"), case["diagnosis"].alias("diagnoses"), F.col("expectedMeds").alias("expected"))
+
+
+def result_path(spark: SparkSession, given: str | None, folders: list[str], pattern: str = "prescribe_pipeline_*.json") -> str:
+    """The result file to read: the one given, as it is or in one of the folders, or else the newest of a pattern there."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = make(path)
+        return p.getFileSystem(conf).exists(p)
+
+    if given:
+        for path in [given, *(f"{folder}/{given}" for folder in folders)]:
+            if there(path):
+                return path
+        raise FileNotFoundError(given)
+    for folder in folders:
+        p = make(f"{folder}/{pattern}")
+        if p.getFileSystem(conf).globStatus(p):
+            return newest_file(spark, f"{folder}/{pattern}")
+    raise FileNotFoundError(pattern)
+
+
+def ping(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(store, ok, detail): whether each store answers a read of one row."""
+    rows = []
+    for name, path in sorted(paths.items()):
+        try:
+            spark.read.parquet(path).limit(1).count()
+            rows.append((name, True, None))
+        except Exception as error:  # the report says what went wrong
+            rows.append((name, False, str(error).splitlines()[0]))
+    return spark.createDataFrame(rows, "store string, ok boolean, detail string")
+
+
 def newest_file(spark: SparkSession, pattern: str) -> str | None:
     """The path of the newest file that matches a glob, by modification time, in any store."""
     found = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import last_per_key, upsert
-from ..sources.sinks import swap_in
+from ..sources.sinks import read_table, swap_in
 
 
 def stream_upserts(source: DataFrame, path: str, keys: list[str], ordinal: str, checkpoint: str, decorate: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
     """Starts a stream that keeps the newest row of each key in the table at ``path``.
 
     ``ordinal`` orders rows of a key within a batch.  A batch that is run again
-    after a failure gives the same table.  ``once`` ends when the input that is
+    after a failure, at whatever step, gives the same table.  ``once`` ends when the input that is
     there has been read.
     """
 
@@ -23,13 +23,8 @@ def stream_upserts(source: DataFrame, path: str, keys: list[str], ordinal: str,
         spark: SparkSession = batch.sparkSession
         rows = last_per_key(batch, keys, ordinal)
         rows = decorate(rows) if decorate else rows
-        try:
-            table = spark.read.parquet(path)
-        except Exception as error:  # no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            table = rows.limit(0)
-        swap_in(spark, upsert(table, rows, keys), path)
+        table = read_table(spark, path)
+        swap_in(spark, upsert(rows.limit(0) if table is None else table, rows, keys), path)
 
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
