@@ -38,6 +38,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         self.count += 1
@@ -45,14 +46,23 @@ class Scratch:
         df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes saved tables that nothing will read again."""
-        jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete([df._scratch_path for df in tables])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all saved tables but these, which a result still reads."""
+        kept = {df._scratch_path for df in tables}
+        self._delete([path for path in self.paths if path not in kept])
+
+    def _delete(self, paths: list[str]) -> None:
+        for name in paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [path for path in self.paths if path not in set(paths)]
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -151,6 +151,7 @@ def judged(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> D
     holders = phrases.join(windows, "phrase").select("phrase_id", F.col("item_id").cast("string").alias("item"))
     named = hits.select(*DOC, "phrase_id").distinct().join(_small(holders, windows.count()), "phrase_id").groupBy(*DOC).agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = scratch.save(hit_words.join(named, DOC))
+    scratch.keep_only(found)
     sized = docs.select("doc_id", *DOC, F.xxhash64("text").alias("digest"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = sized.join(_small(found, found.count()), DOC, "left")
     items = F.coalesce("items", F.array().cast("array<string>"))

@@ -248,7 +248,7 @@ def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = SIMILARI
     named = classes.select("d1", "d2", "node", "doc_id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     named = scratch.save(named.select("d1", "d2", "root").join(first, "root").select("d1", "d2", "first"))
-    scratch.drop(classes, roots, hidden)
+    scratch.keep_only(signed, named)
     out = signed.select("doc_id", "digest", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))

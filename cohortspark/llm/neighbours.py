@@ -306,7 +306,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "entry"))).where(F.col("r") <= best_few).select("q", "entry")
     pairs = best.join(entries.select("entry", "ids", F.col("v").alias("b")), "entry").join(distinct.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
     exact = scratch.save(pairs.select("q", "ids", "a", "b").mapInArrow(reranked, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id")))
-    scratch.drop(postings)
+    scratch.keep_only(named, exact)
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     each = named.join(exact, "q").where("vec_id <> query_id")
     return each.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

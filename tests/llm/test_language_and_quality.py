@@ -73,3 +73,35 @@ def test_quality_with_a_very_long_text_first(spark):
     model = Q.train_quality(documents(spark, texts), labels, most_bytes=10)  # shorter than any text
     score = model.scorer()
     assert model.good and model.bad and score(texts[1]) > 0.5 > score(texts[0])
+
+
+def test_scores_equal_plain_python(spark):
+    """The score by its definition, and rows that repeat scored each, alike."""
+    import math
+
+    import zstandard
+
+    rng = random.Random(5)
+    texts = [prose(rng, "aa", rng.randint(1, 400)) if i % 2 else " | ".join(f"{rng.randint(0, 9)}$$$!!" for _ in range(rng.randint(1, 300))) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    docs = documents(spark, texts)
+    model = Q.train_quality(docs, labels)
+    tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad, b"")]
+    got = Q.score_quality(docs.unionByName(docs.where("doc_id < 3")), model).collect()
+    assert len(got) == 163
+    for r in got:
+        data = texts[r.doc_id].encode()
+        cut = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+        good, bad = (sum(len(tool.compress(x)) for x in cut) for tool in tools[:2])
+        plain = len(tools[2].compress(data)) / (len(data) + 16)
+        z = sum(w * x for w, x in zip(model.weights, (1, 20 * (bad - good) / max(1, bad + good), plain, plain**2)))
+        assert abs(r.quality_score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_repeated_rows_have_one_language(spark):
+    rng = random.Random(6)
+    train = spark.createDataFrame([(i, prose(rng, lang, 40), lang) for i, lang in enumerate(list(SOUNDS) * 20)], "doc_id long, text string, lang string")
+    prototypes = L.language_prototypes(train.unionByName(train))
+    docs = documents(spark, [prose(rng, "bb", 30), None])
+    got = sorted((r.doc_id, r.lang_pred) for r in L.predict_languages(docs.unionByName(docs), prototypes).collect())
+    assert got == [(0, "bb"), (0, "bb"), (1, "und"), (1, "und")]

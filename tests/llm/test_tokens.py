@@ -104,3 +104,21 @@ def test_operators(spark, counter, pieces):
     assert all(r.round_trip for r in sentencepieces.round_trips(docs, model).collect())
     for f, arg in ((token_counts.token_counts, public.path(token_counts.TOKENIZER)), (sentencepieces.encoded, model), (sentencepieces.round_trips, model)):
         assert f(empty(spark), arg).collect() == []
+
+
+def test_rows_that_repeat_and_null_ids(spark, counter):
+    texts = [(None, "one two"), (None, "one two"), (1, "one two"), (1, "x" * 3000), (None, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(frame, public.path(token_counts.TOKENIZER)).collect())
+    assert got == sorted((i or 0, len((t or "").encode()), counter.count(t or "")) for i, t in texts)
+    model = public.path(sentencepieces.MODEL)
+    ids = spark.createDataFrame([(None, None), (None, []), (2, [450])], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id or 0, r.text) for r in sentencepieces.decoded(ids, model).collect()) == [(0, ""), (0, ""), (2, sentencepieces.Pieces(model).decode([450]))]
+
+
+def test_rare_and_frequent_pre_tokens_add_up(spark, counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", 3)  # all but the most frequent are joined by shuffle
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["the", "a", f"w{rng.randint(0, 400)}", "É", "日本"]) for _ in range(rng.randint(0, 50))) for _ in range(200)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(documents(spark, texts), public.path(token_counts.TOKENIZER)).collect()}
+    assert got == {i: counter.count(t) for i, t in enumerate(texts)}
