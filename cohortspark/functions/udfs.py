@@ -43,6 +43,10 @@ def hashed_ngrams(text: str, size: int) -> np.ndarray:
     return vector / length if length else vector
 
 
+def default_encoder():
+    return hashed_ngrams
+
+
 @functools.cache
 def _loaded(load):
     return load()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def ordered_text(df: DataFrame, keys: list[str], value: str, name: str, separator: str = ", ") -> DataFrame:
     """One text a key with the values in ascending order; nulls are left out."""
@@ -69,10 +71,40 @@ def past_visits(encounters: DataFrame, case_no: int, before: Column | None = Non
     return encounters.where((F.col("case_no") == case_no) & (F.col("visit_date") < F.coalesce(before if before is not None else F.lit(None), F.current_date()))).orderBy("visit_date")
 
 
+def first_mentions(rows: DataFrame, ident: str, case: str, columns: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with each array column cut to the values that the case's earlier rows, in ``order``, do not have.
+
+    Their sizes add up to a case's distinct values, however many rows it has.
+    """
+    out = rows
+    for column in columns:
+        long = rows.select(ident, case, *[c for c in order if c not in (ident, case)], F.posexplode(column).alias("__pos", "__v"))
+        first = F.row_number().over(Window.partitionBy(case, "__v").orderBy(*order, "__pos"))
+        new = long.withColumn("__n", first).where("__n = 1").groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__v"))), lambda x: x["__v"]).alias("__new"))
+        out = out.join(new, ident, "left").withColumn(column, F.coalesce("__new", F.array().cast(rows.schema[column].dataType))).drop("__new")
+    return out
+
+
 def with_history(encounters: DataFrame, value: str, name: str, order: list[str]) -> DataFrame:
     """Each encounter with the values of its case's earlier encounters, oldest first, repeated values once."""
-    earlier = Window.partitionBy("case_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return encounters.withColumn(name, F.array_distinct(F.collect_list(value).over(earlier)))
+    empty = F.array().cast(f"array<{encounters.schema[value].dataType.simpleString()}>")
+    listed = encounters.withColumn("__list", F.when(F.col(value).isNotNull(), F.array(value)).otherwise(empty))
+    return histories(listed, {name: "__list"}, order).drop("__list")
+
+
+def histories(encounters: DataFrame, columns: dict[str, str], order: list[str], case: str = "case_no") -> DataFrame:
+    """``encounters`` with a column for each of ``columns`` (new name: array column): the values of the case's earlier encounters.
+
+    Values come in order of first mention, each once.  Only first mentions are
+    gathered, so a row holds no more than its case's distinct values.
+    """
+    ensure_checkpoint_dir(encounters.sparkSession)
+    numbered = encounters.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    parts = numbered.select("__row", case, *[c for c in order if c != case], *(F.coalesce(c, F.array().cast(numbered.schema[c].dataType)).alias(f"__h_{i}") for i, c in enumerate(columns.values())))
+    new = first_mentions(parts, "__row", case, [f"__h_{i}" for i in range(len(columns))], [*order, "__row"])
+    earlier = Window.partitionBy(case).orderBy(*order, "__row").rowsBetween(Window.unboundedPreceding, -1)
+    past = new.select("__row", *(F.flatten(F.collect_list(F.when(F.size(f"__h_{i}") > 0, F.col(f"__h_{i}"))).over(earlier)).alias(name) for i, name in enumerate(columns)))
+    return numbered.join(past, "__row").drop("__row")
 
 
 def latest_value(encounters: DataFrame, value: str, order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import ensure_checkpoint_dir
 
 SEARCH_WEIGHTS = (10.0, 10.0, 5.0)
 SMALL_MASTER = 200_000
@@ -26,22 +27,48 @@ def match_tier(term: Column, brand: Column, molecule: Column) -> Column:
     return F.when(t == "", F.lit(None)).when((t == b) | (t == m), 1).when(heads(ub), 2).when(heads(um), 3).when(inside, 4)
 
 
+def _trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text; none for shorter ones."""
+    n = F.length(text)
+    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def _candidates(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """(term, id): master rows that some tier below the first may match.
+
+    Every such match means that one squeezed name holds the other, so the first
+    three characters of the one are among the trigrams of the other; names that
+    are shorter than that are few and meet every term.
+    """
+    asked = terms.select("term", squeezed(F.upper(X.strip_dose_forms(F.col("term")))).alias("t"))
+    held = names.select("id", F.explode(F.array(squeezed(F.col("brand_name")), squeezed(F.col("canonical_molecule")))).alias("m"))
+    heads = held.where(F.length("m") >= 3).select("id", F.substring("m", 1, 3).alias("g"))
+    inside = asked.select("term", F.explode(_trigrams(F.col("t"))).alias("g")).join(heads.distinct(), "g").select("term", "id")
+    around = asked.where(F.length("t") >= 4).select("term", F.substring("t", 1, 3).alias("g")).join(held.select("id", F.explode(_trigrams(F.col("m"))).alias("g")).distinct(), "g").select("term", "id")
+    raw = F.coalesce(F.length("brand_name"), F.lit(0)) + F.coalesce(F.length("canonical_molecule"), F.lit(0))
+    short = held.where("length(m) < 3").join(names.where(raw > 0).select("id"), "id", "left_semi").select("id").distinct()
+    n = short.count()
+    every = asked.select("term").join(F.broadcast(short) if n <= SMALL_MASTER else short, F.lit(True)) if n else asked.select("term", F.lit(0).cast("long").alias("id")).limit(0)
+    return inside.unionByName(around).unionByName(every).distinct()
+
+
 def match_medicines(terms: DataFrame, master: DataFrame, first_only: bool = True) -> DataFrame:
     """Distinct terms with the master rows of their first tier that matches (the first of them by ordinal).
 
-    Equal names meet by a join; only terms without one are compared with all
-    names, against a master that is broadcast while its count allows.
+    Equal names meet by a join; only terms without one are compared with the
+    names that share three characters with them in the right place.
     """
+    ensure_checkpoint_dir(master.sparkSession)
+    names = master.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     named = terms.select("term").where(F.trim("term") != "").distinct().withColumn("__t", squeezed(X.strip_dose_forms(F.col("term"))))
     keys = F.explode(F.array_distinct(F.array(squeezed(F.col("brand_name")), squeezed(F.col("canonical_molecule")))))
-    by_name = master.withColumn("__t", keys)
-    exact = named.where("__t <> ''").join(by_name, "__t").withColumn("tier", F.lit(1)).drop("__t")
-    rest = named.join(exact.select("term").distinct(), "term", "left_anti").select("term")
-    small = F.broadcast(master) if master.count() <= SMALL_MASTER else master
+    exact = named.where("__t <> ''").join(names.withColumn("__t", keys), "__t").withColumn("tier", F.lit(1)).drop("__t")
+    rest = named.join(exact.select("term").distinct(), "term", "left_anti").select("term").checkpoint()
+    pairs = _candidates(rest, names.select(F.col("__id").alias("id"), "brand_name", "canonical_molecule")).withColumnRenamed("id", "__id")
     tier = match_tier(F.col("term"), F.col("brand_name"), F.col("canonical_molecule"))
-    loose = rest.join(small, tier.isNotNull()).withColumn("tier", tier)
+    loose = pairs.join(names, "__id").withColumn("tier", tier).where("tier is not null")
     best = Window.partitionBy("term")
-    found = exact.unionByName(loose).withColumn("__m", F.min("tier").over(best)).where(F.col("tier") == F.col("__m")).drop("__m")
+    found = exact.unionByName(loose).drop("__id").withColumn("__m", F.min("tier").over(best)).where(F.col("tier") == F.col("__m")).drop("__m")
     if not first_only:
         return found
     return found.withColumn("__n", F.row_number().over(best.orderBy("ordinal"))).where("__n = 1").drop("__n")

@@ -85,15 +85,8 @@ def encounter_context(encounters: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     past = Window.partitionBy("case_no").orderBy("visit_date").rowsBetween(Window.unboundedPreceding, -1)
-    gathered = lambda c: F.array_distinct(F.flatten(F.collect_list(c).over(past)))
-    rows = encounters.withColumns(
-        {
-            "past_symptoms": gathered("symptoms"),
-            "past_diagnoses": gathered("diagnoses"),
-            "historical_prescription": gathered("medications"),
-            "latest_documented_prescription": F.last("medications", ignorenulls=True).over(past),
-        }
-    )
+    rows = E.histories(encounters, {"past_symptoms": "symptoms", "past_diagnoses": "diagnoses", "historical_prescription": "medications"}, ["visit_date"])
+    rows = rows.withColumn("latest_documented_prescription", F.last("medications", ignorenulls=True).over(past))
     return D.summary_text(D.encounter_delta(rows))
 
 
