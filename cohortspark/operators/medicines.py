@@ -122,10 +122,10 @@ def vector_search(master: DataFrame, query: list[float], k: int, min_score: floa
     return rows.orderBy(F.desc("score"), ident).limit(k)
 
 
-def text_search(master: DataFrame, query: str, k: int) -> DataFrame:
-    """Entries by weighted token overlap of brand, molecule and indication."""
+def text_search(master: DataFrame, query: str, k: int, ident: str | None = None) -> DataFrame:
+    """Entries by weighted token overlap of brand, molecule and indication; ties by names, then by ``ident``."""
     fields = list(zip(map(F.col, ("brand_name", "canonical_molecule", "clinical_dosing_indication")), SEARCH_WEIGHTS, strict=True))
-    return master.withColumn("score", F.round(X.weighted_text_score(F.lit(query), fields), 4)).where("score > 0").orderBy(F.desc("score"), "brand_name", "canonical_molecule").limit(k)
+    return master.withColumn("score", F.round(X.weighted_text_score(F.lit(query), fields), 4)).where("score > 0").orderBy(F.desc("score"), "brand_name", "canonical_molecule", *([ident] if ident else [])).limit(k)
 
 
 def medicine_name(m: Column, fields: list[str]) -> Column:

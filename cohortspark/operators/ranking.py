@@ -71,11 +71,6 @@ def rank_medicines(pairs: DataFrame, cases: DataFrame, medicines: DataFrame, by:
     return top_molecules(molecule_usage(top, medicines, by), by, k)
 
 
-def missing_molecules(entities: DataFrame, ranked: DataFrame, by: list[str]) -> DataFrame:
-    """Entities for which no molecule was found."""
-    return entities.join(ranked.select(*by).distinct(), by, "left_anti")
-
-
 def merged_checks(matrix: DataFrame, checks: DataFrame) -> DataFrame:
     """Matrix rows (entity, molecules) with the molecules of an answer's checks (entity, molecules) that they lack appended."""
     asked = checks.groupBy(F.lower("entity").alias("__e")).agg(F.array_distinct(F.flatten(F.collect_list("molecules"))).alias("__more"))

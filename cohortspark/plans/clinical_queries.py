@@ -49,16 +49,9 @@ def t4_clean_term(spark, d):
     return W.table(spark, d, "part").select("p_partkey", X.clean_diagnosis(F.concat(F.lit("- ? "), F.col("p_name"), F.lit(" with "), F.lower("p_type"), F.lit(" . "))).alias("term"))
 
 
-@query(r"""SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_transform(t, lambda x: regexp_replace(x, '(ing|ed|es|s)$', ''))[1:8], ' ') AS stems FROM (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñçß', '__________________________'), '\b([a-z0-9]+)\b', 1) AS t FROM conversations)""")
-def t7_tokenise_stem(spark, d):
-    plain = F.translate(F.lower("text"), "áàâäãéèêëíìîïóòôöõúùûüñçß", "_" * 26)
-    toks = X.tokens(plain)
-    return W.table(spark, d, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.slice(F.transform(toks, X.stem), 1, 8), " ").alias("stems"))
-
-
 @query(r"""SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_transform(t, lambda x: regexp_replace(x, '(ing|ed|es|s)$', '')), ' ') AS stems FROM (SELECT conv_id, turn, regexp_extract_all(translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñçß', '__________________________'), '\b([a-z0-9]+)\b', 1) AS t FROM conversations)""")
 def t7_tokenise_stem_all(spark, d):
-    """As t7_tokenise_stem, with the stems of all tokens."""
+    """The stems of all tokens of every text."""
     plain = F.translate(F.lower("text"), "áàâäãéèêëíìîïóòôöõúùûüñçß", "_" * 26)
     toks = X.tokens(plain)
     return W.table(spark, d, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.array_join(F.transform(toks, X.stem), " ").alias("stems"))
@@ -87,10 +80,8 @@ def t14_strip_strength(spark, d):
 
 @query("""SELECT p_partkey, p_brand AS brand_name, score FROM (SELECT *, round((10.0 * len(list_intersect(['brand', '12', 'red', 'bolt'], regexp_extract_all(lower(p_brand), '[a-z0-9]+'))) + 10.0 * len(list_intersect(['brand', '12', 'red', 'bolt'], regexp_extract_all(lower(p_name), '[a-z0-9]+'))) + 5.0 * len(list_intersect(['brand', '12', 'red', 'bolt'], regexp_extract_all(lower(p_type), '[a-z0-9]+')))) / 4, 4) AS score FROM part) WHERE score > 0 ORDER BY score DESC, p_brand, p_name, p_partkey LIMIT 25""")
 def t24_text_search(spark, d):
-    p = W.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand_name"), F.concat(F.col("p_name")).alias("canonical_molecule"), F.col("p_type").alias("clinical_dosing_indication"))
-    fields = [(F.col("brand_name"), 10.0), (F.col("canonical_molecule"), 10.0), (F.col("clinical_dosing_indication"), 5.0)]
-    scored = p.withColumn("score", F.round(X.weighted_text_score(F.lit("Brand#12 red bolt"), fields), 4)).where("score > 0")
-    return scored.orderBy(F.desc("score"), "brand_name", "canonical_molecule", "p_partkey").limit(25).select("p_partkey", "brand_name", "score")
+    p = W.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand_name"), F.col("p_name").alias("canonical_molecule"), F.col("p_type").alias("clinical_dosing_indication"))
+    return medicines.text_search(p, "Brand#12 red bolt", 25, "p_partkey").select("p_partkey", "brand_name", "score")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS visit_date FROM orders""")
@@ -147,7 +138,7 @@ def n12_condition(spark, d):
 @query("""WITH v AS (SELECT o_orderkey AS visit_id, o_custkey AS case_no, CAST(o_orderdate AS DATE) AS visit_date, substr(o_orderpriority, 3) AS dx FROM orders), h AS (SELECT visit_id, lower(dx) AS cur, list_distinct(coalesce(list(lower(dx)) OVER (PARTITION BY case_no ORDER BY visit_date, visit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])) AS past, dx FROM v)
 SELECT visit_id, 'diagnosis' AS entity_type, CASE WHEN list_contains(past, cur) THEN 'maintained' ELSE 'new' END AS status, dx AS entity FROM h UNION ALL SELECT visit_id, 'diagnosis', 'stop', p FROM (SELECT visit_id, cur, unnest(past) AS p FROM h) WHERE p <> cur""")
 def n13_delta_long(spark, d):
-    v = W.visits(spark, d).select("visit_id", "case_no", "visit_date", F.substring("visit_reason", 3, 99).alias("dx"))
+    v = W.visits(spark, d).select("visit_id", "case_no", "visit_date", F.expr("substring(visit_reason, 3)").alias("dx"))
     order = Window.partitionBy("case_no").orderBy("visit_date", "visit_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = v.select("visit_id", F.array().cast("array<string>").alias("symptoms"), F.array("dx").alias("diagnoses"), F.array().cast("array<string>").alias("past_symptoms"), F.collect_set("dx").over(order).alias("past_diagnoses"))
     return delta.long_form(delta.encounter_delta(rows), ["visit_id"])
@@ -229,3 +220,25 @@ def m1_tiered_match(spark, d):
 def j9_enrichment(spark, d):
     rows = W.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat(F.col("p_brand"), F.lit(" 50 mg"))).alias("brand_name"), F.col("p_name").alias("canonical_molecule"), F.when(F.col("p_partkey") % 2 == 0, "given").alias("form"))
     return medicines.enrich(rows, _master(spark, d), ["form"]).select("p_partkey", "form")
+
+
+_ASSERTED = (
+    ("no {}", "negated"), ("{} denied", "negated"), ("without any {}", "negated"), ("negative for {}", "negated"), ("never had {}", "negated"), ("lack of sleep, {}", "affirmed"), ("h/o {}", "historical"), ("previous {}", "historical"),
+    ("suspected {}", "uncertain"), ("r/o {}", "uncertain"), ("might be {}", "uncertain"), ("sister has {}", "family"), ("family history of {}", "historical"), ("no family history of {}", "negated"), ("nothing but {}", "affirmed"), ("knows {}", "affirmed"),
+)
+
+
+@query("SELECT event_id, CASE event_id % 16 " + " ".join(f"WHEN {i} THEN '{status}'" for i, (_, status) in enumerate(_ASSERTED)) + " END AS status FROM events")
+def n2_assertion_phrases(spark, d):
+    """More phrases of each class, words that only look like triggers, and phrases of two classes."""
+    phrase = F.element_at(F.array(*(F.lit(p) for p, _ in _ASSERTED)), (F.col("event_id") % len(_ASSERTED) + 1).cast("int"))
+    return W.table(spark, d, "events").select("event_id", R.assertion_status(F.replace(phrase, F.lit("{}"), F.col("event_type"))).alias("status"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Unknown' ELSE upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) END AS gender, CASE c_custkey % 5 WHEN 0 THEN 'New Consultation' WHEN 1 THEN 'Follow-up' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'Home Visit' ELSE 'Unknown' END AS visit FROM customer""")
+def t19_labels(spark, d):
+    """How genders and kinds of consultation are shown in reports."""
+    k = F.col("c_custkey")
+    gender = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")))
+    visit = F.when(k % 5 == 0, "a NEW patient").when(k % 5 == 1, "Follow up").when(k % 5 == 2, " ").when(k % 5 == 3, "home visit")
+    return W.table(spark, d, "customer").select("c_custkey", I.display_gender(gender).alias("gender"), I.consultation_type(visit).alias("visit"))

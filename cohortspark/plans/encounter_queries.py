@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import vectors as V
 from ..operators import encounters as E
 from ..operators import similarity as S
@@ -48,6 +49,14 @@ def p4_date_guard(spark, d):
     return E.before_encounter(W.visits(spark, d), F.lit("1997-01-01").cast("date")).select("visit_id", "case_no", "visit_date")
 
 
+@query(f"""WITH {W.VISITS_SQL} SELECT visit_id FROM visits WHERE visit_date < DATE '1997-01-01' OR visit_id % 4 = 0""")
+def p4_unreadable_dates(spark, d):
+    """Candidates before a date; every fourth has a date that can't be read, and stays."""
+    raw = F.when(F.col("visit_id") % 8 == 0, "31/02/1999").when(F.col("visit_id") % 8 == 4, F.lit(None)).otherwise(F.date_format("visit_date", "dd/MM/yyyy"))
+    rows = W.visits(spark, d).withColumn("visit_date", D.clinical_date(raw))
+    return E.before_encounter(rows, F.lit("1997-01-01").cast("date")).select("visit_id")
+
+
 @query(f"""WITH {W.PATIENTS_SQL} SELECT case_no, age FROM patients WHERE abs(({W.band_sql('age')}) - ({W.band_sql('41')})) < 3""")
 def p6_age_band_filter(spark, d):
     return W.patients(spark, d).where(V.ages_compatible(F.lit(41.0), F.col("age"))).select("case_no", "age")

@@ -23,20 +23,11 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), e) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(e, e))), 4) AS score FROM embeddings, q WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10""")
-def v1_cosine_topk(spark, d):
-    rows = W.table(spark, d, "embeddings")
-    q = rows.where("vec_id = 0").select(F.col("embedding").alias("e")).limit(1)
-    scored = rows.where("vec_id <> 0").join(F.broadcast(q), F.lit(True)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("e")), 4).alias("score"))  # one row
-    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
-
-
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(r.e, q.e) / (sqrt(list_dot_product(r.e, r.e)) * sqrt(list_dot_product(q.e, q.e))), 4) AS score FROM v AS q JOIN v AS r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def v1_cosine_topk_all(spark, d):
-    """As v1_cosine_topk, for every row whose vec_id is divisible by 20."""
+    """The nearest rows of every row whose vec_id is divisible by 20."""
     rows = W.table(spark, d, "embeddings")
     return S.cosine_topk(rows, rows.where("vec_id % 20 = 0"))
 
@@ -175,3 +166,12 @@ def v3_wu_palmer(spark, d):
 def v13_call_cost(spark, d):
     family = F.when(F.col("event_id") % 2 == 0, "x-pro").otherwise("x-light")
     return W.table(spark, d, "events").select("event_id", V.call_cost(family, 40 * F.col("event_id"), 10 * F.col("user_id")).alias("cost"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.5 WHEN 4 THEN 1.0 ELSE 0.5 END::DOUBLE AS similarity FROM orders""")
+def v10_visit_synonyms(spark, d):
+    """Kinds of visits under their several names, blank ones being like no other."""
+    k = F.col("o_orderkey") % 6
+    pairs = (("FU visit", "Follow-Up"), ("First contact", "new consultation"), ("follow up", "New"), ("", ""), (" Home ", "home"), (None, "home"))
+    side = lambda n: F.element_at(F.array(*(F.lit(p[n]) for p in pairs)), (k + 1).cast("int"))
+    return W.table(spark, d, "orders").select("o_orderkey", V.visit_type_similarity(side(0), side(1)).alias("similarity"))

@@ -65,3 +65,43 @@ def q9_encounter_context(spark, d):
     stamp = F.timestamp_micros(F.unix_micros(F.col("visit_date").cast("timestamp")) + F.col("visit_id"))
     rows = v.select("visit_id", "case_no", stamp.alias("visit_date"), F.array(F.col("visit_reason")).alias("symptoms"), F.array().cast("array<string>").alias("diagnoses"), F.array("visit_reason").alias("medications"))
     return P.encounter_context(rows).select("visit_id", F.coalesce(F.array_join("latest_documented_prescription", ", "), F.lit("")).alias("latest"))
+
+
+@query(f"""WITH {W.VISITS_SQL}, {W.MEDICINES_SQL}, v AS (SELECT visit_id, case_no, visit_date, visit_reason, coalesce(list(DISTINCT form) FILTER (form IS NOT NULL), []) AS forms FROM visits LEFT JOIN medicines USING (visit_id) GROUP BY ALL),
+h AS (SELECT *, list_distinct(coalesce(flatten(list(forms) OVER w), [])) AS past_dx, list_distinct(coalesce(list(lower(visit_reason)) OVER w, [])) AS past_s FROM v WINDOW w AS (PARTITION BY case_no ORDER BY visit_date, visit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT visit_id, len(past_dx) AS n_past, array_to_string(list_sort(list_filter(forms, lambda x: NOT list_contains(past_dx, x))), ',') AS new_diagnoses, array_to_string(list_sort(list_transform(list_filter(past_dx, lambda x: NOT list_contains(forms, x)), lambda x: lower(x))), ',') AS stop_diagnoses, array_to_string(list_sort(list_intersect(forms, past_dx)), ',') AS maintained_diagnoses FROM h""")
+def q9_context_delta(spark, d):
+    """Every visit against all earlier visits of its case: diagnoses that are new, kept or gone."""
+    forms = W.medicines(spark, d).groupBy("visit_id").agg(F.array_sort(F.collect_set("form")).alias("diagnoses"))
+    v = W.visits(spark, d).join(forms, "visit_id", "left")
+    stamp = F.timestamp_micros(F.unix_micros(F.col("visit_date").cast("timestamp")) + F.col("visit_id"))
+    none = F.array().cast("array<string>")
+    rows = v.select("visit_id", "case_no", stamp.alias("visit_date"), none.alias("symptoms"), F.coalesce("diagnoses", none).alias("diagnoses"), none.alias("medications"))
+    out = P.encounter_context(rows)
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return out.select("visit_id", F.size("past_diagnoses").cast("long").alias("n_past"), joined("new_diagnoses"), joined("stop_diagnoses"), joined("maintained_diagnoses"))
+
+
+@query(f"""WITH {W.VISITS_SQL}, {W.MEDICINES_SQL}, {_MASTER_SQL}, names AS (SELECT p_name AS label, 'HP:' || lpad(CAST(min(p_partkey) AS VARCHAR), 7, '0') AS id FROM part GROUP BY 1),
+v AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY case_no, visit_date ORDER BY visit_id) = 1), rx AS (SELECT case_no, visit_date, string_agg(n.id, ',' ORDER BY molecule) AS codes, string_agg(brand_name || '/' || canonical_molecule, ',' ORDER BY molecule || ' 5mg') AS meds FROM medicines JOIN visits USING (visit_id) JOIN names n ON n.label = molecule JOIN master ON canonical_molecule = molecule GROUP BY ALL)
+SELECT case_no, visit_date, coalesce(codes, '') AS codes, coalesce(codes, '') AS negated_codes, coalesce(meds, '') AS medicines FROM v LEFT JOIN rx USING (case_no, visit_date)""")
+def q7_migration_resolved(spark, d):
+    """Ingestion with real resolvers: diagnoses by an ontology, symptoms that are denied by what they deny, medicines by the master."""
+    from ..operators import ontology as O
+
+    none = F.array().cast("array<string>")
+    terms = W.table(spark, d, "part").groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("k")).select(F.concat(F.lit("HP:"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("id"), "label", none.alias("synonyms"), F.lit("").alias("definition"), none.alias("alt_ids"))
+    entries = O.search_entries(terms)
+    resolver = P.ontology_resolver(entries, O.token_postings(entries), "strict")
+    visits = W.visits(spark, d)
+    keyed = W.medicines(spark, d).join(visits.select("visit_id", "case_no", "visit_date"), "visit_id")
+    first = visits.groupBy("case_no", "visit_date").agg(F.min_by(F.struct("visit_reason", "visit_id"), "visit_id").alias("s")).select("case_no", "visit_date", "s.*")
+    complaints = keyed.groupBy("case_no", "visit_date").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("denies "), "molecule"))), "\n").alias("chief_complaints"))
+    sources = {
+        "visits": first, "patients": W.patients(spark, d), "complaints": complaints,
+        "diagnoses": keyed.select("case_no", "visit_date", F.col("molecule").alias("diagnosis")), "prescriptions": keyed.select("case_no", "visit_date", F.concat("molecule", F.lit(" 5mg")).alias("medicine")),
+    }
+    cases = P.migrate(sources, None, {"symptoms": resolver, "diagnosis": resolver, "medications": P.medicine_resolver(_master(spark, d), ["brand_name", "canonical_molecule"])})
+    listed = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ","), F.lit(""))
+    denied = F.filter("symptoms", lambda s: s["is_negated"])
+    return cases.select("case_no", "visit_date", listed("diagnosis", lambda s: s["curie"]).alias("codes"), listed(denied, lambda s: s["curie"]).alias("negated_codes"), listed("medications", lambda m: F.concat(m["brand_name"], F.lit("/"), m["canonical_molecule"])).alias("medicines"))
