@@ -50,9 +50,12 @@ def rank_medicines(queries: DataFrame, case_entities: DataFrame, cases: DataFram
 
 
 def frequency_matrix(queries: DataFrame, case_entities: DataFrame, medicines: DataFrame, by: list[str], closure: DataFrame | None = None, k: int = 5, **options) -> DataFrame:
-    """The older matrix: molecules of the ``k`` cases most like each single entity, every mention counted, most frequent first."""
+    """The older matrix: molecules of the ``k`` cases most like each single entity, every mention counted, most frequent first.
+
+    Scores that agree in nine digits are ties, which go to the smaller case_id.
+    """
     scored = P.set_similarities(queries, case_entities, by, ["case_id"], closure, **options).withColumnRenamed("set_similarity", "case_score")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("case_score"), "case_id"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("case_score", 9).desc(), "case_id"))
     top = scored.where("case_score > 0").withColumn("place", place).where(F.col("place") <= k)
     usage = K.molecule_usage(top, medicines, by, once_per_case=False)
     order = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("frequency"), F.desc("avg_similarity"), "molecule"))

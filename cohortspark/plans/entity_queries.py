@@ -128,7 +128,7 @@ def q2_rank_molecules_from_entities(spark, d):
 
 
 @query(f"""WITH {W.MEDICINES_SQL}, {_ENTITIES}, {_pairs_sql('x', 'e', SYMPTOMS)}, c AS (SELECT qk AS query_id, case_id, 0.5 * max(sim) + 0.5 * avg(sim) AS s FROM x_s GROUP BY ALL),
-top AS (SELECT * FROM c WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, case_id) <= 5), agg AS (SELECT query_id, molecule, count(*) AS frequency, round(avg(s), 4) AS avg_similarity FROM top JOIN medicines ON case_id = visit_id GROUP BY ALL)
+top AS (SELECT * FROM c WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, case_id) <= 5), agg AS (SELECT query_id, molecule, count(*) AS frequency, round(avg(s), 4) AS avg_similarity FROM top JOIN medicines ON case_id = visit_id GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, avg_similarity DESC, molecule) AS INTEGER) AS rank, molecule, frequency, avg_similarity FROM agg""")
 def q4_frequency_matrix(spark, d):
     asked = _asked(spark, d, SYMPTOMS).withColumnRenamed("p_partkey", "query_id")
