@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -177,7 +177,7 @@ def language_prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     Bundles are summed on the executors; the driver gets one vector a language.
     """
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    parts = rows.mapInArrow(_training, "lang string, bundle array<long>")
+    parts = map_arrow(rows, _training, "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for row in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).orderBy("lang").collect():
@@ -211,7 +211,7 @@ def predict_languages(documents: DataFrame, prototypes: dict[str, np.ndarray]) -
                 scores[known] = np.clip(cosines.max(axis=1), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(best, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "score"])
 
-    return documents.select(*kept).mapInArrow(run, schema)
+    return map_arrow(documents.select(*kept), run, schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

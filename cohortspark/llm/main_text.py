@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 TRAINING_PAGES = 600
 PAGES, BYTES = 64, 1 << 20
@@ -431,7 +431,7 @@ def main_text(pages: DataFrame, model: TextModel) -> DataFrame:
                 )
                 at = end
 
-    return pages.select(*kept).mapInArrow(run, schema)
+    return map_arrow(pages.select(*kept), run, schema)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, table, whole_groups
+from .common import Scratch, map_arrow, table, whole_groups
 from .components import connected_components
 
 COORDINATES, WIDTH, LEAST = 32, 4, 3
@@ -179,10 +179,18 @@ def _links(edges: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
     return pairs.where(denominator * F.col("both") >= numerator * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v")
 
 
-def _hidden_links(edges: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Links between parts of one component of the edges that confirmed links (their ``roots``) leave apart."""
-    clusters = scratch.save(connected_components(edges, scratch).select("node", F.col("root").alias("cluster")))
-    parts = clusters.join(roots, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("label"))
+def _by_root(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): the components that edges connect, ``roots`` being those known so far; edges within one are left out."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    joined = edges.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return joined.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v").distinct()
+
+
+def _hidden_links(apart: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links between components of confirmed links (``roots``) that failed edges (``apart``, by components) bring together."""
+    clusters = scratch.save(connected_components(apart, scratch).select(F.col("node").alias("label"), F.col("root").alias("cluster")))
+    labels = sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+    parts = scratch.save(labels.join(clusters, "label").select("cluster", "node", "label"))
     weights = parts.join(sets.select("node", "n"), "node").groupBy("cluster", "label").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
     open_ = weights.groupBy("cluster").agg(F.max_by("label", F.struct("members", "label")).alias("largest"), F.max(F.struct("members", "label", "n"))["n"].alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / SET_BLOCK)).cast("long")
@@ -194,7 +202,7 @@ def _hidden_links(edges: DataFrame, roots: DataFrame, sets: DataFrame, classes:
     outside = members.where("label <> largest").withColumns({"lo": own("outer"), "side": F.lit(0)}).select(*columns, "lo", every("inner").alias("hi"), "side")
     inside = members.withColumns({"hi": own("inner"), "side": F.lit(1)}).select(*columns, every("outer").alias("lo"), "hi", "side")
     dealt = outside.unionByName(inside).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "node")
-    return dealt.mapInArrow(lambda x: _confirmed(x, similarity), "u long, v long")
+    return map_arrow(dealt, lambda x: _confirmed(x, similarity), "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -218,7 +226,7 @@ def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = SIMILARI
     spark = documents.sparkSession
     scratch = Scratch(spark, "near")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
-    signed = scratch.save(docs.mapInArrow(_signatures, _SIGNED))
+    signed = scratch.save(map_arrow(docs, _signatures, _SIGNED))
     # a class is one set; its node number is settled by being written
     classes = scratch.save(
         signed.where("n_shingles > 0 and doc_id is not null")
@@ -234,17 +242,19 @@ def near_duplicates(documents: DataFrame, similarity: tuple[int, int] = SIMILARI
     dealt = _dealt(shared.join(classes.select("node", "signature"), "node"), "blocks")
     # in order of nodes, so that lists of the same documents give the same edges
     ordered = dealt.repartition("post", "lo", "hi").sortWithinPartitions("post", "lo", "hi", "node")
-    edges = scratch.save(ordered.mapInArrow(lambda x: _list_edges(x, least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    edges = scratch.save(map_arrow(ordered, lambda x: _list_edges(x, least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     texts = docs.join(ends.join(classes.select("node", "doc_id", "digest"), "node"), ["doc_id", "digest"]).select("node", "text")
-    sets = scratch.save(texts.mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
+    sets = scratch.save(map_arrow(texts, _sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
     links = scratch.save(_links(edges, sets, similarity))
     roots = scratch.save(connected_components(links, scratch))
-    hidden = scratch.save(_hidden_links(edges, roots, sets, classes, similarity, scratch))
-    scratch.drop(edges, links, sets)
-    if not hidden.isEmpty():
-        stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = scratch.save(connected_components(stars.unionByName(hidden), scratch))
+    apart = scratch.save(_by_root(edges.join(links, ["u", "v"], "left_anti"), roots))
+    if not apart.isEmpty():
+        hidden = scratch.save(_by_root(_hidden_links(apart, roots, sets, classes, similarity, scratch), roots))
+        if not hidden.isEmpty():
+            joined = scratch.save(connected_components(hidden, scratch).select(F.col("node").alias("before"), F.col("root").alias("after")))
+            every = classes.select("node").join(roots, "node", "left").withColumn("before", F.coalesce("root", "node"))
+            roots = scratch.save(every.join(joined, "before", "left").select("node", F.coalesce("after", "before").alias("root")))
     named = classes.select("d1", "d2", "node", "doc_id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     named = scratch.save(named.select("d1", "d2", "root").join(first, "root").select("d1", "d2", "first"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, whole_groups
+from .common import Scratch, map_arrow, table, whole_groups
 
 TREES, LEAVES, SAMPLE = 8, 256, 16_384
 LEAF_ROWS = 2048
@@ -292,20 +292,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float | N
     hashed = asked.distinct().withColumn("h", F.xxhash64("v"))
     distinct = scratch.save(hashed.select("h", "v").distinct().withColumn("id", F.monotonically_increasing_id()))
     named = scratch.save(hashed.join(distinct, ["h", "v"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")))
-    postings = scratch.save(entries.select("entry", "v").mapInArrow(posted, "id long, code binary, step float, tree int, leaf long"))
+    postings = scratch.save(map_arrow(entries.select("entry", "v"), posted, "id long, code binary, step float, tree int, leaf long"))
     parts = scratch.save(postings.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"))  # seldom any
     n_parts = parts.count()
     parts = F.broadcast(parts) if n_parts <= PART else parts
     columns = ["tree", "leaf", "part", "id", "code", "step", "least", "is_query"]
     of = F.coalesce("parts", F.lit(1))
     held = postings.join(parts, ["tree", "leaf"], "left").withColumns({"part": F.pmod(F.xxhash64("id"), of).cast("int"), "least": F.lit(0.0).cast("float"), "is_query": F.lit(False)})
-    probes = distinct.select("id", "v").mapInArrow(probing, "id long, code binary, step float, least float, tree int, leaf long").join(parts, ["tree", "leaf"], "left")
+    probes = map_arrow(distinct.select("id", "v"), probing, "id long, code binary, step float, least float, tree int, leaf long").join(parts, ["tree", "leaf"], "left")
     probes = probes.withColumns({"part": F.explode(F.sequence(F.lit(0), of - 1)), "is_query": F.lit(True)})
     groups = held.select(*columns).unionByName(probes.select(*columns)).repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
-    found = groups.mapInArrow(candidates, "q long, entry long, near float").groupBy("q", "entry").agg(F.max("near").alias("near"))
+    found = map_arrow(groups, candidates, "q long, entry long, near float").groupBy("q", "entry").agg(F.max("near").alias("near"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "entry"))).where(F.col("r") <= best_few).select("q", "entry")
     pairs = best.join(entries.select("entry", "ids", F.col("v").alias("b")), "entry").join(distinct.select(F.col("id").alias("q"), F.col("v").alias("a")), "q")
-    exact = scratch.save(pairs.select("q", "ids", "a", "b").mapInArrow(reranked, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id")))
+    exact = scratch.save(map_arrow(pairs.select("q", "ids", "a", "b"), reranked, "q long, ids array<long>, score double").select("q", "score", F.explode("ids").alias("vec_id")))
     scratch.keep_only(named, exact)
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     each = named.join(exact, "q").where("vec_id <> query_id")

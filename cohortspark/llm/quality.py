@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 4 << 20
 LEAST_TEXTS = 16  # of a class, however long they are
@@ -149,7 +149,7 @@ def score_quality(documents: DataFrame, model: QualityModel, column: str = "qual
             scores = pa.array([score(x.as_py() or "") for x in batch.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, column])
 
-    return documents.select(*kept).mapInArrow(run, schema)
+    return map_arrow(documents.select(*kept), run, schema)
 
 
 def _held_out() -> F.Column:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, map_arrow, table
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -149,9 +149,9 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("documents"), pa.array(pieces, pa.int64())], names=["token", "documents", "pieces"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scratch.save(rows.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, token string, n long"), compression="zstd")
+    found = scratch.save(map_arrow(rows, frequencies, "row long, doc_id long, n_bytes long, token string, n long"), compression="zstd")
     distinct = found.where("token is not null").groupBy("token").agg(F.count("*").alias("documents"))
-    counts = scratch.save(distinct.mapInArrow(counted, "token string, documents long, pieces long"))
+    counts = scratch.save(map_arrow(distinct, counted, "token string, documents long, pieces long"))
     total = counts.agg(F.sum("documents")).first()[0] or 0
     share = total // FREQUENT + 1  # at most FREQUENT pre-tokens can have so many of ``total`` entries
     frequent, rare = F.broadcast(counts.where(F.col("documents") >= share).select("token", "pieces")), counts.where(F.col("documents") < share).select("token", "pieces")
