@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .triage import json_answer
 
 NAMES = "array<string>"
+
+# The fields of the contracts.
 ITEM = "raw_text string, complaint string, category string, canonical_entity string, status string, change_description string, notes string"
 RECOMMENDATION = "medicine string, drug string, target_symptom string, symptom string, status_change string, status string, action string, rationale string, taper_plan string"
 MEDICINE = "brand_name string, canonical_molecule string, is_fdc string, dosage_group_id string, release_form string, dosage_tier string, dose string, frequency string, duration string, rationale string"

@@ -9,8 +9,23 @@ from ..functions import answers as N
 from ..functions import triage as R
 from . import delta as D
 
-#: How a status is shown.
+# How a status is shown.
 SHOWN = {"decreased": "improved", "increased": "worsened", "stop": "resolved", "new": "new", "maintained": "maintained"}
+# Sentences and headings of the reports.
+ADMINISTRATIVE = "Administrative metadata or clinical directive (non-symptom)"
+WHOLE_PATIENT = "Whole-patient condition statement (global status)"
+FOLLOW_UP = "Follow-up consultation review"
+BASELINE = "Initial baseline consultation"
+NO_ACTIVE = "No active symptoms reported."
+NO_COMPLAINTS = "No chief complaints recorded for current visit."
+NOTHING_TO_ASSESS = "No symptoms to assess."
+NO_SYMPTOMS = "No symptoms recorded at this visit."
+NO_CHANGES = "No medication changes required; continuing current clinical management."
+NONE_ACTIVE = "- no active symptoms reported"
+COMPLAINTS_HEAD = "current visit chief complains:"
+DIAGNOSES_HEAD = "current diagnosis:"
+NOTES_HEAD = "clinical notes:"
+NONE_RECORDED = "none recorded"
 CATEGORIES = ("symptom", "negated_symptom", "global_status", "non_symptom")
 
 
@@ -36,8 +51,8 @@ def keyword_marks(rows: DataFrame, symptoms: str = "symptoms", past: str = "past
         condition = R.symptom_condition(entity, F.col("__history"))
         status = F.when(denied, "stop").when(active, R.change_class(text, F.col("__history")))
         note = (
-            F.when(category == "non_symptom", "Administrative metadata or clinical directive (non-symptom)")
-            .when(category == "global_status", "Whole-patient condition statement (global status)")
+            F.when(category == "non_symptom", ADMINISTRATIVE)
+            .when(category == "global_status", WHOLE_PATIENT)
             .when(denied, F.concat(F.lit("Negated/denied symptom, canonical entity '"), entity, F.lit("'")))
             .otherwise(condition["note"])
         )
@@ -78,8 +93,8 @@ def keyword_assessment(rows: DataFrame, marks: str = "marks") -> DataFrame:
     out = out.withColumns({"active_symptoms": _named(F.col("triaged_items"), "symptom"), "resolved_symptoms": _named(F.col("triaged_items"), "negated_symptom"), "global_status_notes": F.array_distinct(F.transform(F.filter("triaged_items", lambda i: i["category"] == "global_status"), lambda i: i["raw_text"]))})
     told = F.filter(F.transform("triaged_items", line), lambda x: x.isNotNull())
     seen = F.size(F.coalesce("past_symptoms", F.array().cast("array<string>"))) > 0
-    condition = F.when(F.size("global_status_notes") > 0, F.concat(F.lit("Overall status: "), F.array_join("global_status_notes", ", "))).when(seen, "Follow-up consultation review").otherwise("Initial baseline consultation")
-    return out.withColumns({"patient_condition": condition, "symptom_notes": F.when(F.size(told) > 0, F.array_join(told, " | ")).otherwise("No active symptoms reported.")})
+    condition = F.when(F.size("global_status_notes") > 0, F.concat(F.lit("Overall status: "), F.array_join("global_status_notes", ", "))).when(seen, FOLLOW_UP).otherwise(BASELINE)
+    return out.withColumns({"patient_condition": condition, "symptom_notes": F.when(F.size(told) > 0, F.array_join(told, " | ")).otherwise(NO_ACTIVE)})
 
 
 def answered_items(marks: Column, items: Column) -> Column:
@@ -122,9 +137,9 @@ def assessed(rows: DataFrame, answer: str | None = None, marks: str = "marks") -
             "active_symptoms": _named(F.col("triaged_items"), "symptom"),
             "resolved_symptoms": _named(F.col("triaged_items"), "negated_symptom"),
             "global_status_notes": F.array_distinct(F.transform(F.filter("triaged_items", lambda i: i["category"] == "global_status"), lambda i: i["raw_text"])),
-            "patient_condition": F.when(none, "No chief complaints recorded for current visit.").otherwise(prefer("patient_condition", F.col("patient_condition"))),
-            "symptom_notes": F.when(none, "No symptoms to assess.").otherwise(prefer("symptom_notes", F.col("symptom_notes"))),
-            "whats_changed": F.when(none, "No symptoms recorded at this visit.").when(used, F.col("__a.whats_changed")).otherwise(""),
+            "patient_condition": F.when(none, NO_COMPLAINTS).otherwise(prefer("patient_condition", F.col("patient_condition"))),
+            "symptom_notes": F.when(none, NOTHING_TO_ASSESS).otherwise(prefer("symptom_notes", F.col("symptom_notes"))),
+            "whats_changed": F.when(none, NO_SYMPTOMS).when(used, F.col("__a.whats_changed")).otherwise(""),
             "deprescribing_recommendations": F.when(used, F.col("__a.deprescribing_recommendations")).otherwise(F.array().cast(out.schema["__a"].dataType["deprescribing_recommendations"].dataType)),
             "answered_use": F.when(used & (F.size("__a.patient_reported_current_use") > 0), F.col("__a.patient_reported_current_use")),
             "answered_discontinuation": F.when(used & (F.size("__a.actual_discontinuation") > 0), F.col("__a.actual_discontinuation")),
@@ -198,7 +213,7 @@ def with_stopped(rows: DataFrame) -> DataFrame:
     """actual_discontinuation with the medicines that recommendations stop, in order, and whats_changed filled from them where it is empty."""
     stops = F.transform(F.filter("deprescribing_recommendations", lambda r: (r["action"] == "stop") | r["status_change"].isin("resolved", "stop")), lambda r: r["medicine"])
     said = F.transform(F.slice("deprescribing_recommendations", 1, 4), lambda r: F.concat(r["action"], F.lit(" "), r["medicine"], F.lit(" for "), r["target_symptom"]))
-    told = F.when(F.size(said) > 0, F.concat(F.lit("Medication actions recommended: "), F.array_join(said, ", "), F.lit("."))).otherwise("No medication changes required; continuing current clinical management.")
+    told = F.when(F.size(said) > 0, F.concat(F.lit("Medication actions recommended: "), F.array_join(said, ", "), F.lit("."))).otherwise(NO_CHANGES)
     return rows.withColumns({"actual_discontinuation": F.array_union("actual_discontinuation", stops), "whats_changed": F.when(F.coalesce(F.col("whats_changed") != "", F.lit(False)), F.col("whats_changed")).otherwise(told)})
 
 
@@ -214,11 +229,11 @@ def case_summary(rows: DataFrame, name: str = "clinical_summary") -> DataFrame:
     head = F.array(F.when(visit.isin("follow-up", "follow_up", "followup"), "case type: follow up visit").otherwise("case type: new consultation"), F.when(F.col("age").isNotNull(), age), F.when(F.trim("gender") != "", F.concat(F.lit("patient gender: "), F.lower("gender"))), F.lower(F.trim(informant)))
     shown = F.transform("triaged_items", lambda i: F.when(i["category"] == "symptom", F.concat(F.lit("- "), i["raw_text"], F.when(F.coalesce(i["display_status"], F.lit("")) != "", F.concat(F.lit(" ("), i["display_status"], F.lit(")"))).otherwise(""))).when(i["category"] == "negated_symptom", F.concat(F.lit("- "), F.coalesce(i["canonical_entity"], i["raw_text"]), F.lit(" (resolved / denied)"))))
     present = lambda xs: F.filter(xs, lambda x: x.isNotNull())
-    complaints = F.when(F.size(present(shown)) > 0, present(shown)).otherwise(F.array(F.lit("- no active symptoms reported")))
+    complaints = F.when(F.size(present(shown)) > 0, present(shown)).otherwise(F.array(F.lit(NONE_ACTIVE)))
     from ..functions import text as X
 
     cleaned = F.filter(F.transform("diagnoses", lambda d: F.lower(X.clean_diagnosis(d))), lambda d: d != "")
-    diagnoses = F.when(F.size("diagnoses") > 0, F.transform(cleaned, lambda d: F.concat(F.lit("- "), d))).otherwise(F.array(F.lit("none recorded")))
-    notes = F.when(F.coalesce("symptom_notes", F.lit("")) != "", F.array(F.lit(""), F.lit("clinical notes:"), F.col("symptom_notes"))).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(present(head), F.array(F.lit(""), F.lit("current visit chief complains:")), complaints, F.array(F.lit(""), F.lit("current diagnosis:")), diagnoses, notes)
+    diagnoses = F.when(F.size("diagnoses") > 0, F.transform(cleaned, lambda d: F.concat(F.lit("- "), d))).otherwise(F.array(F.lit(NONE_RECORDED)))
+    notes = F.when(F.coalesce("symptom_notes", F.lit("")) != "", F.array(F.lit(""), F.lit(NOTES_HEAD), F.col("symptom_notes"))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(present(head), F.array(F.lit(""), F.lit(COMPLAINTS_HEAD)), complaints, F.array(F.lit(""), F.lit(DIAGNOSES_HEAD)), diagnoses, notes)
     return rows.withColumn(name, F.array_join(lines, "\n"))

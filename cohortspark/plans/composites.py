@@ -18,6 +18,10 @@ from ..operators import similarity as S
 
 NAMES = "array<string>"
 
+# Sentences of the reports.
+NO_GAPS = "All clinical entities have existing candidate medication matches; no missing medications required from formulary."
+REFUSED = "At least 1 symptom and 1 diagnosis is required."
+
 
 def _similarity(queries: DataFrame, cases: DataFrame, case_entities: DataFrame, closure: DataFrame | None, **options) -> DataFrame:
     """(case_id, set_similarity): null for cases without entities or an empty query set, 0 where nothing is alike."""
@@ -108,7 +112,7 @@ def med_check_step(matrix: DataFrame, answers: DataFrame, keys: list[str] | None
     per = (matrix.groupBy(*keys) if keys else matrix).agg(holes.alias("filled_entities"))
     said = read.select(*keys, F.col("a.whats_changed").alias("__said"))
     report = per.join(said, keys, "left") if keys else per.crossJoin(said)  # one row
-    none = F.lit("All clinical entities have existing candidate medication matches; no missing medications required from formulary.")
+    none = F.lit(NO_GAPS)
     told = F.when(F.size("filled_entities") == 0, none).when(F.coalesce(F.col("__said") != "", F.lit(False)), F.col("__said"))
     counted = F.concat(F.lit("Assigned candidate formulary medications for "), F.size("filled_entities").cast("string"), F.lit(" gap entities: "), F.array_join("filled_entities", ", "), F.lit("."))
     return filled, report.withColumn("whats_changed", F.coalesce(told, counted)).drop("__said")
@@ -166,7 +170,7 @@ def prescribe_v1(requests: DataFrame, history: DataFrame, similar: DataFrame, mo
     diagnosis are refused: error says so, and no model is asked.
     """
     blank = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast(NAMES)), lambda x: F.trim(x) != "")) == 0
-    checked = requests.withColumn("error", F.when(blank("symptoms") | blank("diagnoses"), "At least 1 symptom and 1 diagnosis is required."))
+    checked = requests.withColumn("error", F.when(blank("symptoms") | blank("diagnoses"), REFUSED))
     gathered = lambda df, name: df.groupBy("request_id").agg(F.count("*").alias(f"{name}_count"), F.array_join(F.array_sort(F.collect_list("text")), "\n").alias(f"__{name}"))
     rows = checked.join(gathered(history, "past"), "request_id", "left").join(gathered(similar, "similar"), "request_id", "left")
     text = lambda c: F.coalesce(c, F.lit("none"))
