@@ -36,29 +36,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node of its own to a root, so that the edges are stars around least nodes."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``, root being the smallest node reachable.
 
     Self loops and nulls are ignored; an empty edge table gives an empty result.
     Raises when ``rounds`` do not suffice, rather than return wrong roots.
     """
-    tidy = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    now = scratch.save(tidy)
-    state = _state(now)
+    now = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     for _ in range(rounds):
-        if not state[0]:
+        if _settled(now):
             break
         after = scratch.save(_small_star(_large_star(now)))
-        then = _state(after)
         scratch.drop(now)
-        now, same, state = after, then == state, then
-        if same:
-            break
+        now = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -17,8 +17,6 @@ remembered.
 
 from __future__ import annotations
 
-import contextlib
-import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -98,10 +96,6 @@ class Pieces:
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def forget(self) -> None:
-        """Drops what is remembered of words."""
-        self.words, self.older = {}, {}
-
     def _text(self, piece: int) -> str:
         return self.pieces[piece] if piece >= 0 else chr(-1 - piece)
 
@@ -303,21 +297,6 @@ class Pieces:
             yield _utf8(bytes(run))
 
 
-@functools.lru_cache(4)
-def _loaded(model: str) -> Pieces:
-    return Pieces(model)
-
-
-@contextlib.contextmanager
-def loaded(model: str) -> Iterator[Pieces]:
-    """The vocabulary, one a worker process and model; what it remembered of words goes with the task."""
-    pieces = _loaded(model)
-    try:
-        yield pieces
-    finally:
-        pieces.forget()
-
-
 def _utf8(run: bytes) -> str:
     return run.decode("utf-8", "replace")
 
@@ -338,13 +317,13 @@ def encoded(documents: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(model) as pieces:
-            for batch in _small(batches, 64):
-                texts = [x or "" for x in batch.column("text").to_pylist()]
-                ids = [np.array(pieces.encode(x), dtype=np.int32) for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "n_chars", "ids", "n_tokens"]
-                )
+        pieces = Pieces(model)  # goes with the task, and what it remembers with it
+        for batch in _small(batches, 64):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            ids = [np.array(pieces.encode(x), dtype=np.int32) for x in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "n_chars", "ids", "n_tokens"]
+            )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, n_chars long, ids array<int>, n_tokens long")
@@ -354,10 +333,10 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
     """doc_id and text of rows with ``ids``; null ids give an empty text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(model) as pieces:
-            for batch in _small(batches, 64):
-                texts = [pieces.decode(x or []) for x in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        pieces = Pieces(model)  # goes with the task, and what it remembers with it
+        for batch in _small(batches, 64):
+            texts = [pieces.decode(x or []) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_arrow(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
@@ -369,19 +348,19 @@ def round_trips(documents: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(model) as pieces:
-            for batch in _small(batches, 64):
-                texts = [x or "" for x in batch.column("text").to_pylist()]
-                chars, tokens, digests, same = [], [], [], []
-                for text in texts:
-                    ids = pieces.encode(text)
-                    chars.append(len(text))
-                    tokens.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(pieces.written.__getitem__, ids)).encode()).hexdigest())
-                    same.append(pieces.decode(ids) == text.replace(MARK, " "))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_tokens", "ids_sha256", "round_trip"]
-                )
+        pieces = Pieces(model)  # goes with the task, and what it remembers with it
+        for batch in _small(batches, 64):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            chars, tokens, digests, same = [], [], [], []
+            for text in texts:
+                ids = pieces.encode(text)
+                chars.append(len(text))
+                tokens.append(len(ids))
+                digests.append(hashlib.sha256(",".join(map(pieces.written.__getitem__, ids)).encode()).hexdigest())
+                same.append(pieces.decode(ids) == text.replace(MARK, " "))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_chars", "n_tokens", "ids_sha256", "round_trip"]
+            )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, n_chars long, n_tokens long, ids_sha256 string, round_trip boolean")

@@ -105,6 +105,23 @@ def test_links_hidden_behind_a_failed_edge_are_found(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute(texts)]
 
 
+def test_components_of_random_graphs(spark):
+    from cohortspark.llm.common import Scratch
+    from cohortspark.llm.components import connected_components
+
+    rng = random.Random(7)
+    graphs = [[], [(5, 5)], [(i + 1, i) for i in range(30)], [(0, i) for i in range(1, 9)] + [(9, 3)], [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)]]
+    for edges in graphs:
+        frame = spark.createDataFrame([*edges, (None, 3)], "u long, v long")
+        got = {r.node: r.root for r in connected_components(frame, Scratch(spark, "test")).collect()}
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for u, v in edges:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        assert got == root
+
+
 def test_signature_positions():
     column = pa.array(["a b c d e f g", None, "a b c d e f h"])
     (_, data, offsets) = next(shingles.chunks(column))
