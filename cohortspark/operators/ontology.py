@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.udfs import ratio
 from ..session import ensure_checkpoint_dir
+from . import similar_strings as S
 
 # Words that do not count, and everyday names of phenotypes.
 STOPWORDS = "a an the and or of in to for with on at by from as is are was were be".split()
@@ -17,6 +18,8 @@ ALIASES = {
     "lack of concentration": "poor concentration",
 }
 MIN_SCORE = 0.70
+#: Ratios from which tokens and whole names are like each other; below LEAST_RATIO a name's ratio decides nothing.
+FUZZY_TOKEN, FUZZY_NAME, LEAST_RATIO = 0.78, 0.72, 0.6
 
 
 def search_entries(terms: DataFrame) -> DataFrame:
@@ -43,16 +46,65 @@ def queries_of(terms: DataFrame, aliases: dict[str, str] | None = None) -> DataF
     toks = X.tokens(norm)
     strong = F.filter(toks, lambda x: ~x.isin(STOPWORDS))
     alias = F.element_at(F.create_map(*[x for p in aliases.items() for x in map(F.lit, p)]), norm) if aliases else F.lit(None).cast("string")
-    return terms.select("term").where(F.trim("term") != "").distinct().select("term", norm.alias("q"), F.when(F.size(strong) > 0, strong).otherwise(toks).alias("q_tokens"), alias.alias("alias"))
+    return terms.select("term").where(norm != "").distinct().select("term", norm.alias("q"), F.when(F.size(strong) > 0, strong).otherwise(toks).alias("q_tokens"), alias.alias("alias"))
 
 
-def candidate_pairs(queries: DataFrame, entries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Queries with the entries that share a key with them; queries without any meet all entries."""
+def candidate_pairs(queries: DataFrame, entries: DataFrame, postings: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """Queries with the entries that share a key with them; queries without any get all entries that a rung of the ladder may fit.
+
+    ``grams`` may give the stored ``definition_grams`` of the entries.
+    """
+    ensure_checkpoint_dir(queries.sparkSession)
     heads = F.flatten(F.transform(F.array_distinct(F.concat("q_tokens", F.coalesce(X.tokens(F.col("alias")), F.array().cast("array<string>")))), _keys))
-    found = queries.select("term", F.explode(F.array_distinct(heads)).alias("key")).join(postings, "key").select("term", "ordinal").distinct()
-    rest = queries.join(found.select("term").distinct(), "term", "left_anti")
-    every = rest.select("term").join(entries.select("ordinal"), F.lit(True))
-    return found.unionByName(every).join(queries, "term").join(entries, "ordinal")
+    found = queries.select("term", F.explode(F.array_distinct(heads)).alias("key")).join(postings, "key").select("term", "ordinal").distinct().checkpoint()
+    rest = queries.join(found.select("term").distinct(), "term", "left_anti").checkpoint()
+    if not rest.isEmpty():
+        found = found.unionByName(near_entries(rest, entries, grams))
+    return found.join(queries, "term").join(entries, "ordinal")
+
+
+def names_of(entries: DataFrame) -> DataFrame:
+    """(ordinal, name): the labels and synonyms of the entries."""
+    return entries.select("ordinal", F.explode(F.concat(F.array("label_norm"), "synonyms_norm")).alias("name"))
+
+
+def definition_grams(entries: DataFrame) -> DataFrame:
+    """The trigrams of names and definitions with their places; a name or definition is one text, told by its hash."""
+    texts = names_of(entries).select("name").unionByName(entries.select(F.col("definition_norm").alias("name"))).where("name <> ''").distinct()
+    return S.gram_postings(texts.withColumn("text", F.xxhash64("name")), "text", "name")
+
+
+def near_entries(rest: DataFrame, entries: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """(term, ordinal): the entries that a rung may fit for terms that share no key with any.
+
+    A name or definition contains the term, or a name is its alias; a name's
+    ratio may reach the fuzzy rungs; or a token is like one of the term's.
+    """
+    grams = definition_grams(entries) if grams is None else grams
+    names = names_of(entries)
+    texts = names.unionByName(entries.select("ordinal", F.col("definition_norm").alias("name"))).select("ordinal", F.xxhash64("name").alias("text")).distinct()
+    asked = rest.select("term", F.col("q")).unionByName(rest.where("alias is not null").select("term", F.col("alias").alias("q")))
+    inside = asked.join(S.containing(asked, grams, "text"), "q").join(texts, "text").select("term", "ordinal")
+    fuzzy = S.similar_strings(rest.select(F.col("q").alias("a")), names.select(F.col("name").alias("b")), FUZZY_NAME)
+    by_name = rest.join(fuzzy, F.col("q") == F.col("a")).join(names, F.col("b") == F.col("name")).select("term", "ordinal")
+    return inside.unionByName(by_name).unionByName(_by_tokens(rest, entries)).distinct()
+
+
+def _by_tokens(rest: DataFrame, entries: DataFrame) -> DataFrame:
+    """(term, ordinal) with a token of each that are like each other on any scale, words that do not count included."""
+    own = rest.select("term", F.explode("q_tokens").alias("a")).distinct()
+    every = F.array_distinct(F.concat(X.tokens(F.col("label_norm")), F.flatten(F.transform("synonyms_norm", X.tokens)), X.tokens(F.col("definition_norm"))))
+    held = entries.select("ordinal", F.explode(every).alias("b"))
+    left, right = own.select("a").distinct(), held.select("b").distinct()
+    alike = left.select("a", F.explode(_every_key(F.col("a"))).alias("key")).join(right.select("b", F.explode(_every_key(F.col("b"))).alias("key")), "key").select("a", "b")
+    long = S.similar_strings(left.where(F.length("a") >= 4), right.where(F.length("b") >= 4), FUZZY_TOKEN)
+    return own.join(alike.unionByName(long).distinct(), "a").join(held, "b").select("term", "ordinal")
+
+
+def _every_key(token: Column) -> Column:
+    """What two tokens have in common if they are equal, plurals, of one stem, or one begins with the other."""
+    bare = F.concat(F.lit("s "), F.rtrim(token, F.lit("s")))
+    return F.array_distinct(F.concat(F.array(token, bare), _keys(token)))
 
 
 def token_similarity(a: Column, b: Column, fuzzy: Column | None = None) -> Column:
@@ -61,7 +113,7 @@ def token_similarity(a: Column, b: Column, fuzzy: Column | None = None) -> Colum
     sa, sb = X.stem(a), X.stem(b)
     long = (F.length(a) >= 4) & (F.length(b) >= 4)
     out = F.when(a == b, 1.0).when(bare(a) == bare(b), 0.95).when((F.length(sa) >= 3) & (sa == sb), 0.90).when(long & (a.startswith(b) | b.startswith(a)), 0.85)
-    return out.when(long & (fuzzy >= 0.78), fuzzy).otherwise(0.0) if fuzzy is not None else out.otherwise(0.0)
+    return out.when(long & (fuzzy >= FUZZY_TOKEN), fuzzy).otherwise(0.0) if fuzzy is not None else out.otherwise(0.0)
 
 
 def token_score(query: Column, target: Column, fuzzy=None) -> Column:
@@ -71,18 +123,22 @@ def token_score(query: Column, target: Column, fuzzy=None) -> Column:
 
 
 def _with_fuzzy(pairs: DataFrame) -> DataFrame:
-    """Adds label_ratio, synonym_ratio and the map of token-pair ratios: Arrow calls on distinct string pairs only."""
+    """Adds label_ratio, synonym_ratio and the map of token-pair ratios.
+
+    Arrow calls are made on distinct string pairs whose shared letters allow a
+    ratio that decides something; a ratio that is not computed counts as 0.
+    """
     texts = pairs.select("q", F.explode(F.array_distinct(F.concat(F.array("label_norm"), "synonyms_norm"))).alias("t")).distinct()
     long = lambda c: F.filter(c, lambda x: F.length(x) >= 4)
     every = F.array_distinct(F.concat(X.tokens(F.col("label_norm")), F.flatten(F.transform("synonyms_norm", X.tokens)), X.tokens(F.col("definition_norm"))))
     toks = pairs.select(F.explode(long(F.col("q_tokens"))).alias("q"), long(every).alias("ts")).select("q", F.explode("ts").alias("t")).distinct()
-    scored = texts.select("q", "t", ratio("q", "t").alias("r"))
-    near = toks.where("q <> t").select("q", "t", ratio("q", "t").alias("r")).where("r >= 0.78")
+    scored = texts.where(S.within_bound(F.col("q"), F.col("t"), LEAST_RATIO)).select("q", "t", ratio("q", "t").alias("r"))
+    near = toks.where((F.col("q") != F.col("t")) & S.within_bound(F.col("q"), F.col("t"), FUZZY_TOKEN)).select("q", "t", ratio("q", "t").alias("r")).where(F.col("r") >= FUZZY_TOKEN)
     by_label = scored.select("q", F.col("t").alias("label_norm"), F.col("r").alias("label_ratio"))
     synonyms = pairs.select("term", "q", "ordinal", F.explode("synonyms_norm").alias("t")).join(scored, ["q", "t"]).groupBy("term", "ordinal").agg(F.max("r").alias("synonym_ratio"))
     maps = near.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("t", "r"))).alias("m"))
     per_term = pairs.select("term", "q_tokens").distinct().select("term", F.explode("q_tokens").alias("q")).distinct().join(maps, "q").groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("q", "m"))).alias("near"))
-    return pairs.join(by_label, ["q", "label_norm"]).join(synonyms, ["term", "ordinal"], "left").join(per_term, "term", "left")
+    return pairs.join(by_label, ["q", "label_norm"], "left").join(synonyms, ["term", "ordinal"], "left").join(per_term, "term", "left")
 
 
 def ladder(pairs: DataFrame) -> DataFrame:
@@ -120,8 +176,8 @@ def ladder(pairs: DataFrame) -> DataFrame:
     fuzzy = (
         F.when((lt >= 0.6) & (lt >= st) & (lt >= lr), F.struct(F.lit("token_label"), 0.70 * lt + 0.15))
         .when((st >= 0.6) & (st >= lr), F.struct(F.lit("token_synonym"), 0.65 * st + 0.15))
-        .when(lr >= 0.72, F.struct(F.lit("fuzzy_label"), 0.60 * lr + 0.10))
-        .when(sr >= 0.72, F.struct(F.lit("fuzzy_synonym"), 0.55 * sr + 0.10))
+        .when(lr >= FUZZY_NAME, F.struct(F.lit("fuzzy_label"), 0.60 * lr + 0.10))
+        .when(sr >= FUZZY_NAME, F.struct(F.lit("fuzzy_synonym"), 0.55 * sr + 0.10))
         .when(defined & F.col("definition_norm").contains(q), F.struct(F.lit("substring_definition"), F.lit(0.50)))
         .when(defined & (dt >= 0.75), F.struct(F.lit("token_definition"), 0.40 + 0.10 * dt))
     )
