@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
+from .cosine_join import cosine_pairs
 from .similarity import deduplicated, entity_key
-from .taxonomy import wu_palmer
-
-BROADCAST_ROWS, BLOCK = 20_000, 20_000
+from .taxonomy import related_codes
 
 
 def entities(rows: DataFrame, owner: list[str], column: str) -> DataFrame:
@@ -36,39 +35,47 @@ def _distinct(rows: DataFrame, side: str) -> DataFrame:
     return first
 
 
-def distinct_pairs(left: DataFrame, right: DataFrame, closure: DataFrame | None = None, generic_depth: int = 2) -> DataFrame:
-    """(l, r, same_term, same_code, both_codes, cos, lca) of all distinct entities of ``left`` with those of ``right``.
+def distinct_pairs(left: DataFrame, right: DataFrame, closure: DataFrame | None = None, generic_depth: int = 2, least: float = 0.0) -> DataFrame:
+    """(l, r, same_term, same_code, both_codes, cos, lca) of distinct entities of ``left`` and ``right`` that are like each other.
 
-    ``left`` is a stated query set; beyond BROADCAST_ROWS distinct entities it
-    meets the others block by block.  ``lca`` is Wu-Palmer over ``closure``,
-    null where a code is missing or there is no taxonomy.
+    Pairs have an equal term or code, a specific common ancestor in
+    ``closure``, or a cosine of at least ``least`` (above 0 if that is 0); all
+    others have neither likeness.  Each of these is a join of its own, by
+    term, code, ancestor or the rings of ``cosine_pairs``.  ``lca`` is
+    Wu-Palmer, null where a code is missing or there is no taxonomy.
     """
-    a, b = _distinct(left, "l"), _distinct(right, "r")
     ensure_checkpoint_dir(left.sparkSession)
-    a = a.checkpoint()
-    n = a.count()
-    if n <= BROADCAST_ROWS:
-        met = b.join(F.broadcast(a), F.lit(True))
-    else:
-        blocks = -(-n // BLOCK)
-        every = b.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = every.join(a.withColumn("__block", F.pmod(F.xxhash64("l"), F.lit(blocks)).cast("int")), "__block").drop("__block")
+    a, b = _distinct(left, "l").checkpoint(), _distinct(right, "r").checkpoint()
+    met = cosine_pairs(a.select("l", "l_e.embedding"), b.select("r", "r_e.embedding"), least).where("cos > 0").checkpoint()
     low = lambda c: F.lower(F.trim(c))
-    both = F.col("l_e.code").isNotNull() & F.col("r_e.code").isNotNull()
-    pairs = met.select(
+    terms = a.select("l", low("l_e.term").alias("t")).join(b.select("r", low("r_e.term").alias("t")), "t").select("l", "r")
+    a_codes, b_codes = a.select("l", F.col("l_e.code").alias("a")).where("a is not null"), b.select("r", F.col("r_e.code").alias("b")).where("b is not null")
+    codes = a_codes.join(b_codes, F.col("a") == F.col("b")).select("l", "r")
+    named = terms.unionByName(codes)
+    related = None
+    if closure is not None:
+        related = related_codes(a_codes.select("a").distinct(), b_codes.select("b").distinct(), closure, generic_depth).checkpoint()
+        named = named.unionByName(a_codes.join(related, "a").join(b_codes, "b").select("l", "r"))
+    # pairs found by name only have a cosine below ``least``, which still counts in the mean with an ontology's likeness
+    rest = named.distinct().join(met.select("l", "r"), ["l", "r"], "left_anti")
+    vectors = lambda df, side: df.select(side, f"{side}_e")
+    measured = rest.join(vectors(a, "l"), "l").join(vectors(b, "r"), "r").withColumn("cos", V.cosine(F.col("l_e.embedding"), F.col("r_e.embedding")))
+    plain = lambda df, side: df.select(side, F.struct(f"{side}_e.term", f"{side}_e.code").alias(f"{side}_e"))
+    every = met.join(plain(a, "l"), "l").join(plain(b, "r"), "r").unionByName(measured.withColumns({f"{s}_e": F.struct(f"{s}_e.term", f"{s}_e.code") for s in "lr"}))
+    pairs = every.select(
         "l",
         "r",
         F.coalesce(low("l_e.term") == low("r_e.term"), F.lit(False)).alias("same_term"),
         F.coalesce(F.col("l_e.code") == F.col("r_e.code"), F.lit(False)).alias("same_code"),
-        both.alias("both_codes"),
-        V.cosine(F.col("l_e.embedding"), F.col("r_e.embedding")).alias("cos"),
+        (F.col("l_e.code").isNotNull() & F.col("r_e.code").isNotNull()).alias("both_codes"),
+        "cos",
         F.col("l_e.code").alias("a"),
         F.col("r_e.code").alias("b"),
     )
-    if closure is None:
+    if related is None:
         return pairs.withColumn("lca", F.lit(None).cast("double")).drop("a", "b")
-    codes = wu_palmer(pairs.where("both_codes and not same_code").select("a", "b").distinct(), closure, generic_depth)
-    return pairs.join(codes, ["a", "b"], "left").withColumnRenamed("wu_palmer", "lca").drop("a", "b")
+    lca = F.when(F.col("both_codes") & ~F.col("same_code"), F.coalesce("wu_palmer", F.lit(0.0)))
+    return pairs.join(related, ["a", "b"], "left").withColumn("lca", lca).drop("a", "b", "wu_palmer")
 
 
 def similar_entities(pairs: DataFrame, alpha: float = V.ALPHA, tau: float = V.TAU) -> DataFrame:
@@ -86,7 +93,7 @@ def set_similarities(queries: DataFrame, cases: DataFrame, query: list[str], cas
     document frequency (``document_frequency``: key, df; 1 where missing), and
     the two covers are mixed by ``beta``, the cases' share.
     """
-    similar = similar_entities(distinct_pairs(queries, cases, closure, generic_depth), alpha, tau)
+    similar = similar_entities(distinct_pairs(queries, cases, closure, generic_depth, least=max(tau, 0.0)), alpha, tau)
 
     def weighted(rows: DataFrame, side: str) -> DataFrame:
         named = rows.withColumn(side, _identity()).withColumn("key", entity_key(F.col("term"), F.col("code")))

@@ -75,3 +75,16 @@ def wu_palmer(pairs: DataFrame, closure: DataFrame, generic_depth: int = GENERIC
     known = F.col("da").isNotNull() & F.col("db").isNotNull()
     value = F.when(~known, 0.0).when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(2.0 * F.col("common") / (F.col("da") + F.col("db")), F.lit(0.0)))
     return joined.withColumn("wu_palmer", value).drop("common", "da", "db")
+
+
+def related_codes(left: DataFrame, right: DataFrame, closure: DataFrame, generic_depth: int = GENERIC_DEPTH) -> DataFrame:
+    """(a, b, wu_palmer) of the codes of ``left`` (a) and ``right`` (b) with a common ancestor that is not generic; all others have 0.
+
+    Codes meet at their common ancestors, so that those with none are never paired.
+    """
+    d, up = depths(closure), specific_ancestors(closure, generic_depth)
+    a = left.distinct().join(up.withColumnRenamed("code", "a"), "a")
+    b = right.distinct().join(up.select(F.col("code").alias("b"), "ancestor"), "b")
+    common = a.join(b, "ancestor").groupBy("a", "b").agg(F.max("ancestor_depth").alias("common"))
+    joined = common.join(d.withColumnsRenamed({"code": "a", "depth": "da"}), "a").join(d.withColumnsRenamed({"code": "b", "depth": "db"}), "b")
+    return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0 * F.col("common") / (F.col("da") + F.col("db"))).alias("wu_palmer"))

@@ -121,13 +121,15 @@ def test_set_similarity_of_entities(spark):
 
 
 def test_blocks_of_queries_give_the_same_pairs(spark, monkeypatch):
+    from cohortspark.operators import cosine_join
+
     rows = [(i, f"t{i % 7}", f"c{i % 5}" if i % 2 else None, [float(i % 3), 1.0]) for i in range(40)]
     frame = spark.createDataFrame(rows, "case_id int, term string, code string, embedding array<double>")
     asked = frame.where("case_id < 20").withColumnRenamed("case_id", "q")
-    want = sorted(map(str, pairs.evidence(asked, frame, ["q"], ["case_id"]).collect()))
-    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 3)
-    monkeypatch.setattr(pairs, "BLOCK", 4)
-    assert sorted(map(str, pairs.evidence(asked, frame, ["q"], ["case_id"]).collect())) == want and want
+    shown = lambda: sorted((r.q, r.case_id, r.lca, round(r.cos, 9)) for r in pairs.evidence(asked, frame, ["q"], ["case_id"]).collect())
+    want = shown()
+    monkeypatch.setattr(cosine_join.cosine_pairs, "__defaults__", (*cosine_join.cosine_pairs.__defaults__[:-1], 4))
+    assert shown() == want and want
 
 
 @pytest.fixture(scope="module")
