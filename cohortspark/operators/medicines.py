@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
+from . import text_index
+from . import upsert
+from .cosine_join import cosine_pairs
 
 SEARCH_WEIGHTS = (10.0, 10.0, 5.0)
+MASTER_FIELDS = tuple(zip(("brand_name", "canonical_molecule", "clinical_dosing_indication"), SEARCH_WEIGHTS, strict=True))
 SMALL_MASTER = 200_000
 
 
@@ -128,6 +134,40 @@ def text_search(master: DataFrame, query: str, k: int, ident: str | None = None)
     return master.withColumn("score", F.round(X.weighted_text_score(F.lit(query), fields), 4)).where("score > 0").orderBy(F.desc("score"), "brand_name", "canonical_molecule", *([ident] if ident else [])).limit(k)
 
 
+def index_master(master: DataFrame, path: str, ident: str) -> None:
+    """Stores the text index of a master whose rows ``ident`` tells apart."""
+    text_index.write_index(master, path, ident, MASTER_FIELDS)
+
+
+def text_search_all(master: DataFrame, path: str, queries: DataFrame, k: int, ident: str) -> DataFrame:
+    """(query, rank, id, score) for a table of queries: ``text_search`` for each, over the index stored at ``path``."""
+    return text_index.search_all(master, path, queries, k, ident, MASTER_FIELDS, ("brand_name", "canonical_molecule"))
+
+
+def vector_search_all(master: DataFrame, queries: DataFrame, k: int, min_score: float = 0.3, ident: str = "brand_name", query: str = "query") -> DataFrame:
+    """(query, rank, id, score): the nearest entries by cosine of each row of ``queries`` (query, embedding), from ``min_score`` on.
+
+    Entries are met by the rings that a query may reach at ``min_score``;
+    scores have four digits, ties go by ``ident``.
+    """
+    found = cosine_pairs(queries.select(F.col(query).alias("query"), "embedding"), master.select(F.col(ident).alias("id"), "embedding"), min_score, "query", "id")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("score", F.round("cos", 4)).withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+
+
+def refreshed_master(master: DataFrame, updates: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """The master (with digest_text and embedding) after an upsert of ``updates``, the last row of each key.
+
+    Digests that the master has keep their vectors; each other distinct digest
+    is embedded once.
+    """
+    keys = ["brand_name", "canonical_molecule", "dosage_group_id"]
+    rows = upsert.last_per_key(with_digest(updates), keys)
+    known = master.select("digest_text", "embedding").where("embedding is not null").groupBy("digest_text").agg(F.first("embedding").alias("embedding"))
+    fresh = rows.select("digest_text").distinct().join(known, "digest_text", "left_anti").withColumn("embedding", embed(F.col("digest_text")).cast(master.schema["embedding"].dataType))
+    return upsert.upsert_medicines(master, rows.join(known.unionByName(fresh), "digest_text", "left").select(*master.columns))
+
+
 def medicine_name(m: Column, fields: list[str]) -> Column:
     """What a medicine is called: term, original term, brand or name, the first that is there and not blank."""
     there = [m[f] for f in ("term", "original_term", "brand_name", "name") if f in fields]
