@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import context as C
 from ..functions import text as X
 from ..functions import triage as R
 from . import ontology as O
@@ -82,6 +83,13 @@ def note_segments(notes: DataFrame, keys: list[str], note: str = "note", normali
     return long.withColumns({"assertion_status": status, "is_pheno": (status == "affirmed") & entity_span(F.col("segment")).isNotNull()})
 
 
+def note_findings(notes: DataFrame, keys: list[str], note: str = "note", normalize: bool = True) -> DataFrame:
+    """(keys, pos, at, finding, assertion_status, is_pheno): the findings of each segment, each with the status that its scope gives it."""
+    long = notes.select(*keys, F.posexplode(X.segment(F.col(note), normalize)).alias("pos", "segment"))
+    each = long.select(*keys, "pos", F.posexplode(C.scoped_findings(F.col("segment"))).alias("at", "f"))
+    return each.select(*keys, "pos", "at", "f.finding", F.col("f.status").alias("assertion_status"), (F.col("f.status") == "affirmed").alias("is_pheno"))
+
+
 def processed_notes(notes: DataFrame, keys: list[str], entries: DataFrame, postings: DataFrame, embed: Callable[[str], Column] | None = None, note: str = "note", normalize: bool = True) -> DataFrame:
     """Segments of notes with is_pheno and, for phenotypes only, the vector and the code and id of the best hit.
 

@@ -1,4 +1,4 @@
-"""Queries over searches and joins by likeness: stored text index, vectors in rings, shared letters, strings inside texts."""
+"""Queries over searches, joins by likeness and scoped assertion: stored text index, vectors in rings, shared letters, strings inside texts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import context
 from ..operators import cosine_join, medicines
 from ..operators import similar_strings as S
 from ..session import ensure_checkpoint_dir
@@ -96,3 +97,27 @@ def t10_inside_texts(spark, d):
     turns = W.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.lower("text").alias("text"))
     asked = W.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("q"))
     return S.containing(asked, S.gram_postings(turns, "id", "text"), "id").groupBy("q").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+#: Frequent words of the texts, in the part of trigger phrases.
+_SCOPES = {
+    "negated>": "of, de, der", "<negated": "by, du", "historical>": "on the, la", "<historical": "with", "uncertain>": "that", "<uncertain": "que", "family>": "is, les", "<family": "in",
+    "stop": "and, et, und, ., ;", "gap": "the, an, or, le, ,", "pseudo": "of the, de la",
+}
+_STATUS_SQL = "CASE " + " ".join(f"WHEN bool_or(kind = '{s}>') OVER b OR bool_or(kind = '<{s}') OVER a THEN '{s}'" for s in context.STATUSES) + " ELSE 'affirmed' END"
+
+
+@query(f"""WITH v(phrase, kind) AS (VALUES {", ".join(f"('{p}', '{k}')" for p, k in context.vocabulary(_SCOPES).items())}),
+l AS (SELECT doc_id, unnest(t) AS line, unnest(range(len(t))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+w AS (SELECT doc_id, n, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT doc_id, n, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}''/-]+|[,;:.!?]') AS t FROM l)),
+p AS (SELECT *, w || ' ' || lead(w) OVER (PARTITION BY doc_id, n ORDER BY i) IN (SELECT phrase FROM v) AS p1, lag(w) OVER (PARTITION BY doc_id, n ORDER BY i) || ' ' || w IN (SELECT phrase FROM v) AS p2, w || ' ' || lead(w) OVER (PARTITION BY doc_id, n ORDER BY i) AS pair FROM w),
+m AS (SELECT doc_id, n, i, w, coalesce(kind, 'word') AS kind FROM p LEFT JOIN v ON phrase = CASE WHEN coalesce(p1, FALSE) THEN pair ELSE w END WHERE NOT coalesce(p2, FALSE)),
+c AS (SELECT *, count(*) FILTER (kind = 'stop') OVER (PARTITION BY doc_id, n ORDER BY i) AS scope, count(*) FILTER (kind <> 'word') OVER (PARTITION BY doc_id, n ORDER BY i) AS g FROM m),
+s AS (SELECT *, {_STATUS_SQL} AS status FROM c WINDOW b AS (PARTITION BY doc_id, n, scope ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY doc_id, n, scope ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT doc_id, n, g, string_agg(w, ' ' ORDER BY i) || '=' || any_value(status) AS f FROM s WHERE kind = 'word' GROUP BY ALL)
+SELECT doc_id, CAST(n AS INTEGER) AS n, string_agg(f, '|' ORDER BY g) AS found FROM f GROUP BY ALL""")
+def n2_scoped_findings(spark, d):
+    """The findings of every line of the documents with their status, frequent words standing for triggers."""
+    lines = W.table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
+    found = lines.select("doc_id", "n", context.scoped_findings(F.col("line"), context.vocabulary(_SCOPES)).alias("f")).where(F.size("f") > 0)
+    return found.select("doc_id", "n", F.array_join(F.transform("f", lambda x: F.concat_ws("=", x["finding"], x["status"])), "|").alias("found"))
