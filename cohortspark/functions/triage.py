@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,34 +42,49 @@ def _any(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once, however often ``f`` names it.
+
+    A column that is used in several places is an expression in each of them,
+    also inside a lambda, so that nested uses multiply; a lambda's variable
+    isn't.
+    """
+    return F.transform(F.array(value), f)[0]
+
+
 def negated_entity(text: Column) -> Column:
     """What a negated phrase denies, in lower case, without time words and punctuation; null if nothing is denied."""
-    clean = F.trim(text)
-    found = []
-    for pattern in NEGATED:
-        hit = F.trim(F.regexp_extract(clean, f"(?i){pattern}", 1))
-        hit = F.trim(F.regexp_replace(F.trim(F.regexp_replace(hit, TIME_WORDS, "")), r"[^\w\s-]", ""))
-        found.append(F.when(F.length(hit) > 1, F.lower(hit)))
-    return F.coalesce(*found)
-
-
-def complaint_category(text: Column) -> Column:
-    """non_symptom, global_status, negated_symptom or symptom; the first family that fits."""
-    clean = F.trim(F.coalesce(text, F.lit("")))
-    return (
-        F.when(clean == "", "non_symptom")
-        .when(_any(clean, NON_SYMPTOM), "non_symptom")
-        .when(_any(clean, GLOBAL_STATUS), "global_status")
-        .when(negated_entity(clean).isNotNull(), "negated_symptom")
-        .when(F.lower(clean).isin(*NOTHING), "global_status")
-        .otherwise("symptom")
-    )
+
+    def found(clean: Column) -> Column:
+        hits = F.array(*(F.trim(F.regexp_extract(clean, f"(?i){pattern}", 1)) for pattern in NEGATED))
+        bare = F.transform(hits, lambda hit: F.trim(F.regexp_replace(F.trim(F.regexp_replace(hit, TIME_WORDS, "")), r"[^\w\s-]", "")))
+        return F.lower(F.get(F.filter(bare, lambda hit: F.length(hit) > 1), F.lit(0)))
+
+    return bound(F.trim(text), found)
+
+
+def complaint_category(text: Column, denied: Column | None = None) -> Column:
+    """non_symptom, global_status, negated_symptom or symptom; the first family that fits.  ``denied`` may give the text's negated entity."""
+
+    def category(clean: Column) -> Column:
+        return (
+            F.when(clean == "", "non_symptom")
+            .when(_any(clean, NON_SYMPTOM), "non_symptom")
+            .when(_any(clean, GLOBAL_STATUS), "global_status")
+            .when((negated_entity(clean) if denied is None else denied).isNotNull(), "negated_symptom")
+            .when(F.lower(clean).isin(*NOTHING), "global_status")
+            .otherwise("symptom")
+        )
+
+    return bound(F.trim(F.coalesce(text, F.lit(""))), category)
 
 
 def complaint_entity(text: Column) -> Column:
-    clean = F.trim(text)
-    category = complaint_category(text)
-    return F.when(category == "negated_symptom", negated_entity(clean)).when(category == "symptom", clean)
+    def entity(m: Column) -> Column:
+        category = complaint_category(m["clean"], m["denied"])
+        return bound(category, lambda c: F.when(c == "negated_symptom", m["denied"]).when(c == "symptom", m["clean"]))
+
+    return bound(F.struct(F.trim(text).alias("clean"), negated_entity(text).alias("denied")), entity)
 
 
 def words(text: Column) -> Column:
@@ -88,40 +103,56 @@ def has_word(text: Column, vocabulary: Sequence[str]) -> Column:
 
 def seen_before(term: Column, past: Column) -> Column:
     """Whether a term equals, holds, is held by, or shares a core word with one of the past terms."""
-    low = F.lower(F.trim(term))
-    mine = core_tokens(low)
-    return F.exists(past, lambda p: F.lower(F.trim(p)).contains(low) | low.contains(F.lower(F.trim(p))) | F.coalesce(F.arrays_overlap(mine, core_tokens(p)), F.lit(False)))
+
+    def seen(m: Column) -> Column:
+        alike = lambda p: F.lower(F.trim(p)).contains(m["low"]) | m["low"].contains(F.lower(F.trim(p))) | F.coalesce(F.arrays_overlap(m["mine"], core_tokens(p)), F.lit(False))
+        return F.exists(past, alike)
+
+    return bound(F.lower(F.trim(term)), lambda low: bound(F.struct(low.alias("low"), core_tokens(low).alias("mine")), seen))
+
+
+def _said(words_: Column, vocabulary: Sequence[str]) -> Column:
+    return F.arrays_overlap(words_, F.array(*map(F.lit, vocabulary)))
 
 
 def change_class(term: Column, past: Column) -> Column:
     """stop, new, decreased, increased or maintained, by the term's words and whether it was seen before."""
-    resolved = has_word(term, RESOLUTION)
-    return (
-        F.when(~F.coalesce(seen_before(term, past), F.lit(False)), F.when(resolved, "stop").otherwise("new"))
-        .when(resolved, "stop")
-        .when(has_word(term, IMPROVEMENT), "decreased")
-        .when(has_word(term, WORSENING), "increased")
-        .otherwise("maintained")
-    )
+
+    def change(m: Column) -> Column:
+        resolved = _said(m["words"], RESOLUTION)
+        return (
+            F.when(~F.coalesce(m["seen"], F.lit(False)), F.when(resolved, "stop").otherwise("new"))
+            .when(resolved, "stop")
+            .when(_said(m["words"], IMPROVEMENT), "decreased")
+            .when(_said(m["words"], WORSENING), "increased")
+            .otherwise("maintained")
+        )
+
+    return bound(F.struct(words(term).alias("words"), seen_before(term, past).alias("seen")), change)
 
 
 def symptom_condition(term: Column, past: Column) -> Column:
     """(matched, note) of a current term against the past terms in order: the first that holds or is held by it, else the largest core overlap."""
-    low = F.lower(F.trim(term))
-    mine = core_tokens(low)
-    direct = F.get(F.filter(past, lambda p: F.lower(F.trim(p)).contains(low) | low.contains(F.lower(F.trim(p)))), F.lit(0))
-    ranked = F.transform(past, lambda p, i: F.struct(F.size(F.array_intersect(mine, core_tokens(p))).alias("n"), (-i).alias("at"), p.alias("p")))
-    best = F.array_max(F.filter(ranked, lambda x: x["n"] > 0))
-    matched = F.coalesce(direct, best["p"])
-    now, then = (lambda v: has_word(term, v)), (lambda v: has_word(matched, v))
-    note = (
-        F.when(matched.isNull(), "new symptom")
-        .when(now(RESOLUTION), F.concat(F.lit("condition resolved/stopped, changed from "), matched))
-        .when((now(IMPROVEMENT) & ~then(IMPROVEMENT)) | (then(WORSENING) & ~now(WORSENING)), F.concat(F.lit("condition improved, changed from "), matched))
-        .when((now(WORSENING) & ~then(WORSENING)) | (then(IMPROVEMENT) & ~now(IMPROVEMENT)), F.concat(F.lit("condition worsened, changed from "), matched))
-        .otherwise("no change")
-    )
-    return F.struct(matched.alias("matched"), note.alias("note"))
+
+    def match(low: Column) -> Column:
+        direct = F.get(F.filter(past, lambda p: F.lower(F.trim(p)).contains(low) | low.contains(F.lower(F.trim(p)))), F.lit(0))
+        ranked = lambda mine: F.transform(past, lambda p, i: F.struct(F.size(F.array_intersect(mine, core_tokens(p))).alias("n"), (-i).alias("at"), p.alias("p")))
+        best = bound(core_tokens(low), lambda mine: F.array_max(F.filter(ranked(mine), lambda x: x["n"] > 0)))
+        return F.coalesce(direct, best["p"])
+
+    def note(m: Column) -> Column:
+        now, then = (lambda v: _said(m["now"], v)), (lambda v: _said(m["then"], v))
+        said = (
+            F.when(m["matched"].isNull(), "new symptom")
+            .when(now(RESOLUTION), F.concat(F.lit("condition resolved/stopped, changed from "), m["matched"]))
+            .when((now(IMPROVEMENT) & ~then(IMPROVEMENT)) | (then(WORSENING) & ~now(WORSENING)), F.concat(F.lit("condition improved, changed from "), m["matched"]))
+            .when((now(WORSENING) & ~then(WORSENING)) | (then(IMPROVEMENT) & ~now(IMPROVEMENT)), F.concat(F.lit("condition worsened, changed from "), m["matched"]))
+            .otherwise("no change")
+        )
+        return F.struct(m["matched"].alias("matched"), said.alias("note"))
+
+    matched = bound(F.lower(F.trim(term)), match)
+    return bound(matched, lambda found: bound(F.struct(found.alias("matched"), words(term).alias("now"), words(found).alias("then")), note))
 
 
 def _medicine(text: Column, pattern: str) -> Column:

@@ -42,24 +42,29 @@ def keyword_marks(rows: DataFrame, symptoms: str = "symptoms", past: str = "past
     """
     history = F.array_distinct(F.filter(F.transform(F.coalesce(past, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
 
-    def mark(raw: Column) -> Column:
-        text = F.trim(raw)
-        category = R.complaint_category(text)
-        denied = category == "negated_symptom"
-        active = category == "symptom"
-        entity = F.when(denied, F.coalesce(R.negated_entity(text), text)).when(active, text)
-        condition = R.symptom_condition(entity, F.col("__history"))
-        status = F.when(denied, "stop").when(active, R.change_class(text, F.col("__history")))
+    def told(m: Column, text: Column, past_terms: Column) -> Column:
+        denied, active = m["category"] == "negated_symptom", m["category"] == "symptom"
+        entity = F.when(denied, F.coalesce(m["denied"], text)).when(active, text)
+        return F.struct(m["category"].alias("category"), entity.alias("entity"), R.symptom_condition(entity, past_terms).alias("condition"), F.when(denied, "stop").when(active, R.change_class(text, past_terms)).alias("status"))
+
+    def mark(text: Column, m: Column) -> Column:
+        denied, category = m["category"] == "negated_symptom", m["category"]
         note = (
             F.when(category == "non_symptom", ADMINISTRATIVE)
             .when(category == "global_status", WHOLE_PATIENT)
-            .when(denied, F.concat(F.lit("Negated/denied symptom, canonical entity '"), entity, F.lit("'")))
-            .otherwise(condition["note"])
+            .when(denied, F.concat(F.lit("Negated/denied symptom, canonical entity '"), m["entity"], F.lit("'")))
+            .otherwise(m["condition"]["note"])
         )
-        return F.struct(text.alias("complaint"), category.alias("category"), entity.alias("canonical_entity"), F.when(denied | active, condition["matched"]).alias("matched_past"), note.alias("condition_note"), status.alias("status"), F.coalesce(_shown(status), category).alias("display_status"))
+        matched = F.when(category.isin("negated_symptom", "symptom"), m["condition"]["matched"])
+        return F.struct(text.alias("complaint"), category.alias("category"), m["entity"].alias("canonical_entity"), matched.alias("matched_past"), note.alias("condition_note"), m["status"].alias("status"), F.coalesce(_shown(m["status"]), category).alias("display_status"))
+
+    # each step names the last one's values as often as it likes, and they are computed once
+    def marked(text: Column, past_terms: Column) -> Column:
+        categorised = lambda denied: F.struct(denied.alias("denied"), R.complaint_category(text, denied).alias("category"))
+        return R.bound(R.negated_entity(text), lambda d: R.bound(categorised(d), lambda m: R.bound(told(m, text, past_terms), lambda t: mark(text, t))))
 
-    listed = F.filter(F.coalesce(symptoms, F.array().cast("array<string>")), lambda s: F.trim(s) != "")
-    return rows.withColumn("__history", history).withColumn(name, F.transform(listed, mark)).drop("__history")
+    listed = F.filter(F.transform(F.coalesce(symptoms, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
+    return rows.withColumn(name, R.bound(F.struct(listed.alias("listed"), history.alias("history")), lambda r: F.transform(r["listed"], lambda text: marked(text, r["history"]))))
 
 
 def _item(raw: Column, category: Column, entity: Column, status: Column, shown: Column, change: Column, notes: Column, mark: Column) -> Column:
