@@ -53,11 +53,13 @@ def test_lists_that_cannot_matter_are_not_read(spark, tmp_path):
     frame = spark.createDataFrame(rows, KIND)
     M.index_master(frame, f"{tmp_path}/i", "ident")
     asked = spark.createDataFrame([("name7 everywhere",), ("common everywhere",), ("name7 common",)], "query string")
-    lists = {(r.query, r.term): r.essential for r in T.essential_lists(spark, f"{tmp_path}/i", asked, 3).collect()}
-    # eight rows hold name7 with weight 10; what only the other word finds gets 5
+    planned = T.plan_lists(spark, f"{tmp_path}/i", asked, 3, M.MASTER_FIELDS)
+    lists = {(r.query, r.term): r.essential for r in planned.lists.join(planned.queries, "qid").collect()}
+    # eight rows hold name7 and the other word; what only that finds gets less
     assert lists["name7 everywhere", "name7"] and not lists["name7 everywhere", "everywhere"]
-    assert lists["common everywhere", "common"] or lists["common everywhere", "everywhere"]
-    some = T.essential_lists(spark, f"{tmp_path}/i", asked.where("query = 'name7 everywhere'"), 3).where("essential")
+    assert lists["name7 common", "name7"] and not lists["name7 common", "common"]
+    assert lists["common everywhere", "common"]
+    some = T.plan_lists(spark, f"{tmp_path}/i", asked.where("query = 'name7 everywhere'"), 3, M.MASTER_FIELDS).lists.where("essential")
     plan = T.read_postings(spark, f"{tmp_path}/i", some)._jdf.queryExecution().executedPlan().toString()
     (shard,) = {r.shard for r in some.collect()}
     assert "shard#" in plan and f"= {shard})" in plan.split("PartitionFilters")[1]
