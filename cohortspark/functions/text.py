@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,3 +164,25 @@ def run_id(case_no: Column, now: Column) -> Column:
     """A new identifier of a run: its case, if there is one, the second and six random letters."""
     head = F.coalesce(F.concat(F.lit("case_"), case_no.cast("string")), F.lit("run"))
     return F.concat(head, F.lit("_"), F.date_format(now, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 6))
+
+
+class SegmentNote:
+    """The segments of one note with their places: a table function for lateral joins, by the rules of ``segment``."""
+
+    def eval(self, note: str):
+        import regex
+
+        if note is None:
+            return
+        place = 0
+        for line in regex.split(r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", unicodedata.normalize("NFKC", note).replace("●", "\n")):
+            bare = regex.sub(rf"^(?:[ \t\n\x0B\f\r]|(?![{KEPT_MARKS}])[\p{{S}}\p{{P}}])+", "", line)
+            bare = regex.sub(r"[ \t\n\x0B\f\r]+$", "", bare).strip(" .")
+            if bare:
+                yield place, bare
+                place += 1
+
+
+def register_segments(spark: SparkSession, name: str = "segment_note") -> None:
+    """Makes ``segment_note(note)`` known to a session's SQL: ``FROM notes, LATERAL segment_note(note)``."""
+    spark.udtf.register(name, F.udtf(SegmentNote, returnType="pos int, segment string"))

@@ -88,3 +88,35 @@ def related_codes(left: DataFrame, right: DataFrame, closure: DataFrame, generic
     common = a.join(b, "ancestor").groupBy("a", "b").agg(F.max("ancestor_depth").alias("common"))
     joined = common.join(d.withColumnsRenamed({"code": "a", "depth": "da"}), "a").join(d.withColumnsRenamed({"code": "b", "depth": "db"}), "b")
     return joined.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0 * F.col("common") / (F.col("da") + F.col("db"))).alias("wu_palmer"))
+
+
+def updated_closure(closure: DataFrame, nodes: DataFrame, edges: DataFrame, old_edges: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """``ancestor_closure(nodes, edges)``, made from the ``closure`` of an earlier release with ``old_edges``.
+
+    Only codes at or below a changed edge, new codes and those below a removed
+    one get their ancestors anew; they climb the new edges until they meet a
+    code that is none of these, whose stored ancestors are taken over whole.
+    All other rows stay as they are.  A cycle makes it fail.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    # each is read in every round
+    closure, now = closure.checkpoint(), edges.select("child", "parent").distinct().checkpoint()
+    before = old_edges.select("child", "parent").distinct()
+    changed = now.exceptAll(before).unionByName(before.exceptAll(now)).select(F.col("child").alias("ancestor")).distinct()
+    known = closure.where("steps = 0").select("code")
+    gone = known.join(nodes.select("code"), "code", "left_anti").select(F.col("code").alias("ancestor"))
+    below = closure.join(changed.unionByName(gone).distinct(), "ancestor", "left_semi").select("code")
+    fresh = nodes.select("code").join(known, "code", "left_anti")
+    affected = below.unionByName(fresh).distinct().join(nodes.select("code"), "code", "left_semi").checkpoint()
+    kept = closure.join(below.distinct(), "code", "left_anti").checkpoint()
+    climbing = affected.select("code", F.col("code").alias("at"))
+    found = affected.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("steps"))
+    mark = affected.select(F.col("code").alias("at"), F.lit(True).alias("open"))
+    for level in range(1, levels + 1):
+        above = climbing.join(now, F.col("at") == F.col("child")).select("code", F.col("parent").alias("at")).distinct().join(mark, "at", "left").checkpoint()
+        if above.isEmpty():
+            return kept.unionByName(found.groupBy("code", "ancestor").agg(F.max("steps").alias("steps")))
+        climbing = above.where("open").select("code", "at")
+        settled = above.where("open is null").join(kept.withColumnRenamed("code", "at"), "at").select("code", "ancestor", (F.col("steps") + level).alias("steps"))
+        found = found.unionByName(climbing.select("code", F.col("at").alias("ancestor"), F.lit(level).alias("steps"))).unionByName(settled)
+    raise ValueError(f"the taxonomy is deeper than {levels} levels or has a cycle")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
 def last_per_key(rows: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
-    """One row a key: the last by ``ordinal``, which is dropped; without it, the last by the rows' own values, as JSON."""
+    """One row a key: the last by ``ordinal``, which is dropped.
+
+    Without an ordinal nothing says which row is newest; the choice is then the
+    largest by the rows' own values, as JSON, the same in every run.
+    """
     if ordinal is None:
         rows, ordinal = rows.withColumn("__ordinal", F.to_json(F.struct(*rows.columns))), "__ordinal"
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ordinal)))
@@ -62,3 +66,30 @@ def upsert_medicines(table: DataFrame, updates: DataFrame) -> DataFrame:
 def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has: what a unique index would refuse."""
     return table.groupBy(*keys).count().where("count > 1")
+
+
+def counted_upsert(table: DataFrame, updates: DataFrame, keys: list[str], path: str, columns: list[str] | None = None) -> dict[str, int]:
+    """Writes the table's next state to ``path`` and counts what the write does: upserted, matched and modified rows.
+
+    The counts are observed in the write itself, in one pass over the joined
+    rows.  A row is modified if a column that the update sets has another
+    value than before, null included.  Updates have one row a key.
+    """
+    changed = [c for c in (columns or updates.columns) if c not in keys]
+    u = updates.select(*(F.col(k).alias(f"__k_{k}") for k in keys), *(F.col(c).alias(f"__u_{c}") for c in changed), F.lit(True).alias("__new"))
+    t = table.withColumn("__old", F.lit(True))
+    joined = t.join(u, [t[k].eqNullSafe(u[f"__k_{k}"]) for k in keys], "full_outer")
+    old, new = F.col("__old").isNotNull(), F.col("__new").isNotNull()
+    other = F.lit(False)
+    for c in changed:
+        other = other | ~F.col(c).eqNullSafe(F.col(f"__u_{c}"))
+    watch = Observation()
+    watched = joined.observe(watch, F.count_if(new & ~old).alias("upserted"), F.count_if(new & old).alias("matched"), F.count_if(new & old & other).alias("modified"))
+
+    def value(c: str) -> Column:
+        if c in keys:
+            return F.when(old, F.col(c)).otherwise(F.col(f"__k_{c}"))
+        return F.when(new, F.col(f"__u_{c}")).otherwise(F.col(c)) if c in changed else F.col(c)
+
+    watched.select(*(value(c).alias(c) for c in table.columns)).write.parquet(path)
+    return dict(watch.get)
