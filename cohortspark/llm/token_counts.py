@@ -7,7 +7,8 @@ the pre-token and are summed for each document.
 
 Pre-tokens that hold more than one part in FREQUENT of all frequencies, of
 which there can't be more than FREQUENT, meet their counts by broadcast, so
-that the shuffled join has no hot key.
+that the shuffled join has no hot key; the most frequent ones only, where
+these would take more than FREQUENT_BYTES.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ LIMIT = 2048
 SEGMENT = 1 << 20
 MEMO = 200_000  # most pre-tokens of one text that are gathered before they are written
 ROWS = 65_536
-FREQUENT = 1_000_000
+FREQUENT, FREQUENT_BYTES = 1_000_000, 64 << 20
 OTHER = "\0"  # marks pre-tokens that the library has normalised and cut
 
 #: Characters on whose class, case and canonical form all Unicode versions and both regular-expression engines agree.
@@ -106,6 +107,22 @@ def _cuts(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
+def _share(counts: DataFrame, most: int = FREQUENT, most_bytes: int = FREQUENT_BYTES) -> int:
+    """In how many documents a pre-token stands that meets its count by broadcast.
+
+    At most ``most`` pre-tokens can have so many of all entries, and those
+    that do have ``most_bytes`` together; the longer they are, the more
+    frequent they have to be.
+    """
+    classes = counts.groupBy((F.length(F.bin("documents")) - 1).alias("c")).agg(F.sum("documents").alias("n"), F.sum(F.octet_length("token") + 16).alias("b")).collect()  # a row for each power of two
+    share, size = sum(x.n for x in classes) // most + 1, 0
+    for x in sorted(classes, key=lambda x: -x.c):
+        size += x.b
+        if size > most_bytes:
+            return max(share, 2 << x.c)
+    return share
+
+
 def token_counts(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row, in any order.
 
@@ -152,8 +169,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> Da
     found = scratch.save(map_arrow(rows, frequencies, "row long, doc_id long, n_bytes long, token string, n long"), compression="zstd")
     distinct = found.where("token is not null").groupBy("token").agg(F.count("*").alias("documents"))
     counts = scratch.save(map_arrow(distinct, counted, "token string, documents long, pieces long"))
-    total = counts.agg(F.sum("documents")).first()[0] or 0
-    share = total // FREQUENT + 1  # at most FREQUENT pre-tokens can have so many of ``total`` entries
+    share = _share(counts)
     frequent, rare = F.broadcast(counts.where(F.col("documents") >= share).select("token", "pieces")), counts.where(F.col("documents") < share).select("token", "pieces")
     pairs = found.where("token is not null").select("row", "token", "n")
     parts = [

@@ -122,3 +122,22 @@ def test_rare_and_frequent_pre_tokens_add_up(spark, counter, monkeypatch):
     texts = [" ".join(rng.choice(["the", "a", f"w{rng.randint(0, 400)}", "É", "日本"]) for _ in range(rng.randint(0, 50))) for _ in range(200)]
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(documents(spark, texts), public.path(token_counts.TOKENIZER)).collect()}
     assert got == {i: counter.count(t) for i, t in enumerate(texts)}
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    rows = [("a" * 10, 64), ("b" * 10, 64), ("c" * 10, 8), ("d" * 1000, 32), ("e" * 10, 1)]
+    counts = spark.createDataFrame(rows, "token string, documents long")
+    assert token_counts._share(counts) == 1
+    assert token_counts._share(counts, most_bytes=200) == 64  # the long one would be too much
+    assert token_counts._share(counts, most_bytes=30) == 128  # not even the two most frequent fit
+    assert token_counts._share(counts, most_bytes=1100) == 2
+    assert token_counts._share(counts, most=3) == 57
+    assert token_counts._share(counts.limit(0)) == 1
+
+
+@pytest.mark.parametrize("size", [10, 100])
+def test_counts_with_long_pre_tokens_and_little_to_broadcast(spark, monkeypatch, counter, size):
+    monkeypatch.setattr(token_counts._share, "__defaults__", (token_counts.FREQUENT, size))
+    texts = ["x" * 30_000 + " the end", "the " * 40, "x" * 30_000, None, "the end é"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(documents(spark, texts), public.path(token_counts.TOKENIZER)).collect()}
+    assert got == {i: counter.count(t or "") for i, t in enumerate(texts)}
