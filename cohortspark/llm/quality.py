@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
@@ -104,8 +104,10 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
     """A model from documents (doc_id, text) and labels (doc_id, quality); rows with a null in any of these are skipped.
 
     The sample is bounded: of each class the ``rows`` labels of the smallest
-    hash of doc_id are chosen, whose texts are read in that order until
-    ``most_bytes``, but LEAST_TEXTS of them in any case.  Only the choice, at most 2 * ``rows`` ids, meets the texts.
+    hash of doc_id are chosen, whose texts are taken in that order until
+    ``most_bytes``, but LEAST_TEXTS of them in any case; of several texts under
+    one id, the one of the smallest hash.  Only the choice, at most 2 * ``rows``
+    ids, meets the texts, by their sizes first.
     One half makes the dictionaries, the other half calibrates.  Without rows
     of both classes the score is near 1 or 0 if there is one class, 0.5 if
     there is none.
@@ -115,14 +117,16 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
     for quality in (0, 1):
         part = named.where(F.col("quality") == quality).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "quality", "text").limit(4 * rows)
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    # sizes first, one text an id; only texts that are taken are brought together
+    sized = texts.join(F.broadcast(chosen), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min(F.struct("digest", F.octet_length("text").alias("size"))).alias("t"))
+    before = Window.partitionBy("quality").orderBy("h", "doc_id")
+    placed = sized.select("h", "doc_id", "quality", "t.*", F.row_number().over(before).alias("place"), F.coalesce(F.sum("t.size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    taken = placed.where((F.col("before") <= most_bytes) | (F.col("place") <= LEAST_TEXTS)).select("h", "doc_id", "quality", "digest")
+    sample = texts.join(F.broadcast(taken), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest", "quality"]).orderBy("h", "doc_id", "quality")
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    sizes = [0, 0]
     for row in sample.toLocalIterator():
-        if sizes[row["quality"]] <= most_bytes or len(found[row["quality"]]) < LEAST_TEXTS:
-            found[row["quality"]].append(row["text"].encode())
-            sizes[row["quality"]] += len(found[row["quality"]][-1])
+        found[row["quality"]].append(row["text"].encode())
     halves = {q: (texts[::2], texts[1::2]) for q, texts in found.items()}
     if not halves[0][1] or not halves[1][1]:
         sign = bool(found[1]) - bool(found[0])

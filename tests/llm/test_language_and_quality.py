@@ -105,3 +105,26 @@ def test_repeated_rows_have_one_language(spark):
     docs = documents(spark, [prose(rng, "bb", 30), None])
     got = sorted((r.doc_id, r.lang_pred) for r in L.predict_languages(docs.unionByName(docs), prototypes).collect())
     assert got == [(0, "bb"), (0, "bb"), (1, "und"), (1, "und")]
+
+
+def test_quality_sample_takes_sizes_first(spark):
+    """Texts are taken up to the bytes given, one an id; what is not taken does not matter, however long it is."""
+    draw = random.Random(8)
+    say = lambda stock, n: " ".join(draw.choice(stock) for _ in range(n))
+    good, bad = "the of plain prose reads well enough today".split(), "buy now click win cash free offer xx".split()
+    texts = [(i, say(good if i % 2 else bad, 60)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    small = Q.train_quality(frame(texts), labels, most_bytes=8000)
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    taken = set()
+    for q in (0, 1):
+        mine, size = [i for i in order if i % 2 == q], 0
+        for n, i in enumerate(mine):
+            if size <= 8000 or n < Q.LEAST_TEXTS:
+                taken.add(i)
+            size += len(texts[i][1])
+    assert len(taken) < 100
+    huge = [(i, t if i in taken else "z" * 1_000_000) for i, t in texts]
+    again = Q.train_quality(frame(huge + texts[:7]), labels, most_bytes=8000)
+    assert (small.good, small.bad, small.weights) == (again.good, again.bad, again.weights)
