@@ -16,7 +16,6 @@ from .cosine_join import cosine_pairs
 
 SEARCH_WEIGHTS = (10.0, 10.0, 5.0)
 MASTER_FIELDS = tuple(zip(("brand_name", "canonical_molecule", "clinical_dosing_indication"), SEARCH_WEIGHTS, strict=True))
-SMALL_MASTER = 200_000
 
 
 def squeezed(text: Column) -> Column:
@@ -51,11 +50,21 @@ def _candidates(terms: DataFrame, names: DataFrame) -> DataFrame:
     heads = held.where(F.length("m") >= 3).select("id", F.substring("m", 1, 3).alias("g"))
     inside = asked.select("term", F.explode(_trigrams(F.col("t"))).alias("g")).join(heads.distinct(), "g").select("term", "id")
     around = asked.where(F.length("t") >= 4).select("term", F.substring("t", 1, 3).alias("g")).join(held.select("id", F.explode(_trigrams(F.col("m"))).alias("g")).distinct(), "g").select("term", "id")
-    raw = F.coalesce(F.length("brand_name"), F.lit(0)) + F.coalesce(F.length("canonical_molecule"), F.lit(0))
-    short = held.where("length(m) < 3").join(names.where(raw > 0).select("id"), "id", "left_semi").select("id").distinct()
-    n = short.count()
-    every = asked.select("term").join(F.broadcast(short) if n <= SMALL_MASTER else short, F.lit(True)) if n else asked.select("term", F.lit(0).cast("long").alias("id")).limit(0)
-    return inside.unionByName(around).unionByName(every).distinct()
+    # shorter names are met by the term's own single characters and pairs
+    pieces = asked.select("term", F.explode(_short_grams(F.col("t"))).alias("m"))
+    short = pieces.join(held.where("length(m) between 1 and 2").select("id", "m").distinct(), "m").select("term", "id")
+    # names of blanks and dashes alone, of which squeezing leaves nothing, by their first character
+    given = names.select("id", F.explode(F.array(F.upper("brand_name"), F.upper("canonical_molecule"))).alias("u")).where((F.col("u") != "") & (squeezed(F.col("u")) == ""))
+    marks = terms.select("term", F.explode(F.array_distinct(F.regexp_extract_all(F.upper(X.strip_dose_forms(F.col("term"))), F.lit(r"([\s\-_])"), F.lit(1)))).alias("c"))
+    odd = marks.join(given.select("id", F.substring("u", 1, 1).alias("c")).distinct(), "c").select("term", "id")
+    return inside.unionByName(around).unionByName(short).unionByName(odd).distinct()
+
+
+def _short_grams(text: Column) -> Column:
+    """The distinct single characters and pairs of a text."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2)))
 
 
 def match_medicines(terms: DataFrame, master: DataFrame, first_only: bool = True) -> DataFrame:
