@@ -114,6 +114,12 @@ def set_similarities(queries: DataFrame, cases: DataFrame, query: list[str], cas
     return both.select(*by, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("set_similarity"))
 
 
+def document_frequencies(cases: DataFrame, case: list[str]) -> DataFrame:
+    """(key, df): how many cases have an entity of each key, for the weights of ``set_similarities``."""
+    keyed = cases.select(*case, entity_key(F.col("term"), F.col("code")).alias("key")).distinct()
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+
+
 def evidence(queries: DataFrame, cases: DataFrame, query: list[str], case: list[str], closure: DataFrame | None = None, generic_depth: int = 2) -> DataFrame:
     """(query, case, lca, cos): every query entity against the entities of every case, pairs without any likeness left out.
 

@@ -79,6 +79,18 @@ def j4_set_similarity(spark, d):
     return found.select("case_id", F.round("set_similarity", 4).alias("set_similarity"))
 
 
+@query(f"""WITH {_ENTITIES}, {_pairs_sql('x', 'e', SYMPTOMS)}, df AS (SELECT key, count(*) AS df FROM e GROUP BY 1), w AS (SELECT key, ln(((SELECT count(DISTINCT case_id) FROM e) + 1.0) / (df + 1.0)) + 1 AS w FROM df),
+q AS (SELECT qk, w AS qw FROM x_q JOIN w ON key = coalesce('code:' || qc, 'term:' || lower(qt))), t AS (SELECT case_id, sum(w) AS t FROM e JOIN w USING (key) GROUP BY 1),
+a AS (SELECT case_id, sum(m * qw) / (SELECT sum(qw) FROM q) AS a FROM (SELECT case_id, qk, max(sim) AS m FROM x_s GROUP BY ALL) JOIN q USING (qk) GROUP BY 1), b AS (SELECT case_id, sum(m * w) AS b FROM (SELECT case_id, key, max(sim) AS m FROM x_s GROUP BY ALL) JOIN w USING (key) GROUP BY 1)
+SELECT case_id, round(0.5 * a + 0.5 * b / t, 4) AS set_similarity FROM a JOIN b USING (case_id) JOIN t USING (case_id) WHERE a + b > 0""")
+def v6_weighted_set_similarity(spark, d):
+    """Set similarity with findings weighted by how few visits have them, as counted over all visits."""
+    held = _case_entities(spark, d)
+    visits = held.select("case_id").distinct().count()
+    found = P.set_similarities(_asked(spark, d, SYMPTOMS).withColumn("q", F.lit(1)), held, ["q"], ["case_id"], _closure(spark, d), P.document_frequencies(held, ["case_id"]), visits, generic_depth=1)
+    return found.select("case_id", F.round("set_similarity", 4).alias("set_similarity"))
+
+
 @query(f"""WITH {_ENTITIES}, {_pairs_sql('x', 'e', SYMPTOMS)} SELECT qk AS query_id, case_id, round(max(CASE WHEN st OR sc THEN 1.0 ELSE wp END), 4) AS best_lca, round(max(CASE WHEN st THEN 1.0 ELSE cos END), 4) AS best_cos, round(0.5 * max(CASE WHEN st OR sc THEN 1.0 ELSE wp END) + 0.5 * max(CASE WHEN st THEN 1.0 ELSE cos END), 4) AS clinical_sim FROM x_p GROUP BY ALL
 HAVING max(CASE WHEN st OR sc THEN 1.0 ELSE wp END) > 0 OR max(CASE WHEN st THEN 1.0 ELSE cos END) > 0""")
 def j5_best_evidence(spark, d):
