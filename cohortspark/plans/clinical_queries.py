@@ -242,3 +242,17 @@ def t19_labels(spark, d):
     gender = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")))
     visit = F.when(k % 5 == 0, "a NEW patient").when(k % 5 == 1, "Follow up").when(k % 5 == 2, " ").when(k % 5 == 3, "home visit")
     return W.table(spark, d, "customer").select("c_custkey", I.display_gender(gender).alias("gender"), I.consultation_type(visit).alias("visit"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS visit_date FROM orders""")
+def dt1_free_forms(spark, d):
+    """Dates in words and figures, with times, weekdays and ordinals beside them, and phrases that are none."""
+    kind, day = F.col("o_orderkey") % 8, F.col("o_orderdate")
+    form = lambda pattern: F.date_format(day, pattern)
+    n = F.dayofmonth(day)
+    end = F.when(n.isin(1, 21, 31), "st").when(n.isin(2, 22), "nd").when(n.isin(3, 23), "rd").otherwise("th")
+    raw = (
+        F.when(kind == 0, form("d MMM yyyy")).when(kind == 1, form("MMMM d, yyyy")).when(kind == 2, form("dd.MM.yyyy HH:mm")).when(kind == 3, F.concat(form("EEEE, d"), end, F.lit(" of "), form("MMMM yyyy")))
+        .when(kind == 4, form("d-MMM-yyyy h:mm a")).when(kind == 5, form("yyyy MMM dd")).when(kind == 6, form("d-M-yyyy")).otherwise(F.concat(F.lit("since "), form("MMMM yyyy")))
+    )
+    return W.table(spark, d, "orders").select("o_orderkey", D.clinical_date(raw).alias("visit_date"))
