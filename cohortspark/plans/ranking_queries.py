@@ -32,14 +32,14 @@ def v1_cosine_topk_all(spark, d):
     return S.cosine_topk(rows, rows.where("vec_id % 20 = 0"))
 
 
-_SETS = """WITH s AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45), q AS (SELECT unnest(['Brand#1', 'Brand#12', 'Brand#20', 'Brand#99']) AS y),
+_SETS = """WITH s AS (SELECT DISTINCT l_orderkey AS owner, p_brand AS x FROM lineitem JOIN part ON l_partkey = p_partkey), q AS (SELECT unnest(['Brand#1', 'Brand#12', 'Brand#20', 'Brand#99']) AS y),
 p AS (SELECT owner, x, y, CASE WHEN x = y THEN 1.0 WHEN substr(x, 1, 7) = substr(y, 1, 7) THEN 0.5 ELSE 0.0 END AS sim FROM s, q)
 """
 
 
 @query(_SETS + """SELECT owner, round(0.5 * a + 0.5 * b, 4) AS set_similarity FROM (SELECT owner, avg(m) AS a FROM (SELECT owner, y, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) JOIN (SELECT owner, avg(m) AS b FROM (SELECT owner, x, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) USING (owner)""")
 def a5_set_similarity(spark, d):
-    items = W.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("owner")).join(W.table(spark, d, "part"), "p_partkey")
+    items = W.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("owner")).join(W.table(spark, d, "part"), "p_partkey")
     sets = items.groupBy("owner").agg(F.collect_set("p_brand").alias("brands"))
     query_set = F.array(*map(F.lit, ("Brand#1", "Brand#12", "Brand#20", "Brand#99")))
     sim = lambda x, y: F.when(x == y, 1.0).when(F.substring(x, 1, 7) == F.substring(y, 1, 7), 0.5).otherwise(0.0)
@@ -48,7 +48,7 @@ def a5_set_similarity(spark, d):
 
 @query(_SETS + """SELECT owner, round(0.5 * a + 0.5 * b, 4) AS set_similarity FROM (SELECT owner, avg(m) AS a FROM (SELECT owner, y, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) JOIN (SELECT owner, avg(m) AS b FROM (SELECT owner, x, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) USING (owner)""")
 def a5_set_similarity_long(spark, d):
-    items = W.table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("owner")).join(W.table(spark, d, "part"), "p_partkey")
+    items = W.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("owner")).join(W.table(spark, d, "part"), "p_partkey")
     sets = items.select("owner", F.col("p_brand").alias("c_key")).distinct()
     pairs = sets.withColumn("q_key", F.explode(F.array(*map(F.lit, ("Brand#1", "Brand#12", "Brand#20", "Brand#99")))))
     sim = F.when(F.col("c_key") == F.col("q_key"), 1.0).when(F.substring("c_key", 1, 7) == F.substring("q_key", 1, 7), 0.5).otherwise(0.0)
