@@ -256,3 +256,54 @@ def dt1_free_forms(spark, d):
         .when(kind == 4, form("d-MMM-yyyy h:mm a")).when(kind == 5, form("yyyy MMM dd")).when(kind == 6, form("d-M-yyyy")).otherwise(F.concat(F.lit("since "), form("MMMM yyyy")))
     )
     return W.table(spark, d, "orders").select("o_orderkey", D.clinical_date(raw).alias("visit_date"))
+
+
+_FRAMES = ("{}", "no {}", "{} resolved", "denies {} currently", "labs {}", "review {}", "feels better, {}", "{} is ruled out", "worse {}", "mild {}", "plan: {}", "zero {} since monday", "absence of {} now", "overall stable {}", "{} gone", "severe {}", "next visit {}", "without {}!")
+
+
+def _framed(spark, d):
+    """Up to four words of every line of the documents, inside a phrase; and a word of the line that was said before."""
+    line = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    rows = W.table(spark, d, "documents").select("doc_id", F.posexplode(line).alias("n", "line"))
+    words = rows.select("doc_id", "n", F.regexp_extract_all(F.lower("line"), F.lit("([a-z]+)"), F.lit(1)).alias("w"))
+    frame = F.element_at(F.array(*map(F.lit, _FRAMES)), ((F.col("doc_id") + F.col("n")) % len(_FRAMES) + 1).cast("int"))
+    text = F.replace(frame, F.lit("{}"), F.array_join(F.slice("w", 1, 4), " "))
+    return words.select("doc_id", "n", text.alias("text"), F.coalesce(F.get("w", F.lit(2)), F.lit("none before")).alias("past"))
+
+
+def _sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _any_sql(patterns) -> str:
+    return "regexp_matches(clean, '(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
+
+
+_FRAMED_SQL = f"""l AS (SELECT doc_id, unnest(t) AS line, unnest(range(len(t))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)), w AS (SELECT doc_id, n, regexp_extract_all(lower(line), '[a-z]+') AS w FROM l),
+f AS (SELECT doc_id, n, replace({_sql(_FRAMES)}[(doc_id + n) % {len(_FRAMES)} + 1], '{{}}', coalesce(array_to_string(w[1:4], ' '), '')) AS text, coalesce(w[3], 'none before') AS past FROM w), c AS (SELECT *, trim(text) AS clean FROM f)"""
+_DENIED_SQL = ", ".join(rf"lower(trim(regexp_replace(trim(regexp_replace(trim(regexp_extract(clean, '(?i){p}', 1)), '{R.TIME_WORDS}', '', 'g')), '[^\w\s-]', '', 'g')))" for p in R.NEGATED)
+
+
+@query(f"""WITH {_FRAMED_SQL}, d AS (SELECT *, list_filter([{_DENIED_SQL}], lambda x: length(x) > 1)[1] AS denied FROM c),
+k AS (SELECT *, CASE WHEN clean = '' OR {_any_sql(R.NON_SYMPTOM)} THEN 'non_symptom' WHEN {_any_sql(R.GLOBAL_STATUS)} THEN 'global_status' WHEN denied IS NOT NULL THEN 'negated_symptom' WHEN list_contains({_sql(R.NOTHING)}, lower(clean)) THEN 'global_status' ELSE 'symptom' END AS category FROM d)
+SELECT doc_id, CAST(n AS INTEGER) AS n, category, CASE category WHEN 'negated_symptom' THEN denied WHEN 'symptom' THEN clean END AS entity FROM k""")
+def n9_triage_of_texts(spark, d):
+    """Category and entity of phrases about the words of every line of the documents."""
+    return _framed(spark, d).select("doc_id", "n", R.complaint_category(F.col("text")).alias("category"), R.complaint_entity(F.col("text")).alias("entity"))
+
+
+def _core_sql(text: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains({_sql(R.STOP_WORDS)}, x)))"
+
+
+def _said_sql(vocabulary) -> str:
+    return f"list_has_any(said, {_sql(vocabulary)})"
+
+
+@query(f"""WITH {_FRAMED_SQL}, p AS (SELECT *, lower(clean) AS low, regexp_extract_all(lower(clean), '\\w+') AS said, unnest([past, 'severe ' || past || ' pain', 'low mood']) AS term FROM c),
+s AS (SELECT doc_id, n, any_value(said) AS said, bool_or(contains(term, low) OR contains(low, term) OR list_has_any({_core_sql('low')}, {_core_sql('term')})) AS seen FROM p GROUP BY ALL)
+SELECT doc_id, CAST(n AS INTEGER) AS n, CASE WHEN NOT seen THEN CASE WHEN {_said_sql(R.RESOLUTION)} THEN 'stop' ELSE 'new' END WHEN {_said_sql(R.RESOLUTION)} THEN 'stop' WHEN {_said_sql(R.IMPROVEMENT)} THEN 'decreased' WHEN {_said_sql(R.WORSENING)} THEN 'increased' ELSE 'maintained' END AS status FROM s""")
+def n11_change_of_texts(spark, d):
+    """What has become of phrases about the words of every line, against terms that a word of the line makes."""
+    past = F.array(F.col("past"), F.concat(F.lit("severe "), F.col("past"), F.lit(" pain")), F.lit("low mood"))
+    return _framed(spark, d).select("doc_id", "n", R.change_class(F.col("text"), past).alias("status"))
