@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .triage import json_answer
+from .triage import bound, json_answer
 
 NAMES = "array<string>"
 
@@ -23,22 +23,27 @@ def _text(answer: Column, path: str) -> Column:
     return F.trim(F.coalesce(_get(answer, path, "string"), F.lit("")))
 
 
+def _said(answer: Column, path: str) -> Column:
+    """The text under ``path``; null if it is missing or blank."""
+    return bound(_text(answer, path), lambda t: F.when(t != "", t))
+
+
 def _filled(first: Column, *others: Column) -> Column:
     """The first that is neither null nor blank."""
-    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in (first, *others)))
+    return F.coalesce(*(bound(F.trim(c), lambda t: F.when(t != "", t)) for c in (first, *others)))
 
 
 def _names(answer: Column, path: str) -> Column:
     """A list of texts, trimmed, blank ones dropped; a single text counts as a list of one; an empty list otherwise."""
-    listed, single = _get(answer, path, NAMES), _get(answer, path, "string")
-    plain = F.when(~F.coalesce(single.startswith("["), F.lit(False)) & ~F.coalesce(single.startswith("{"), F.lit(False)), F.array(single))
-    return F.coalesce(F.filter(F.transform(F.coalesce(listed, plain), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast(NAMES))
+    plain = lambda single: F.when(~F.coalesce(single.startswith("["), F.lit(False)) & ~F.coalesce(single.startswith("{"), F.lit(False)), F.array(single))
+    listed = F.coalesce(_get(answer, path, NAMES), bound(_get(answer, path, "string"), plain))
+    return F.coalesce(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast(NAMES))
 
 
 def _listed(answer: Column, paths: tuple[str, ...], fields: str) -> Column:
     """The first list of objects under ``paths`` that is there and not empty."""
     kind = f"array<struct<{fields.replace(' string', ':string')}>>"
-    found = [F.when(F.size(_get(answer, p, kind)) > 0, _get(answer, p, kind)) for p in paths]
+    found = [bound(_get(answer, p, kind), lambda rows: F.when(F.size(rows) > 0, rows)) for p in paths]
     return F.coalesce(*found, F.array().cast(kind))
 
 
@@ -60,12 +65,15 @@ def recommendations(answer: Column) -> Column:
 
 def triage_answer(text: Column) -> Column:
     """The triage and deprescribing contract; null if the text holds no JSON object."""
-    a = json_answer(text)
+    return bound(json_answer(text), _triage)
+
+
+def _triage(a: Column) -> Column:
     items = F.filter(
         F.transform(_listed(a, ("triaged_items", "symptoms"), ITEM), lambda i: F.struct(_filled(i["raw_text"], i["complaint"]).alias("name"), *(i[c].alias(c) for c in ("category", "canonical_entity", "status", "change_description", "notes")))),
         lambda i: i["name"].isNotNull(),
     )
-    changed = F.coalesce(*(F.when(_text(a, p) != "", _text(a, p)) for p in ("whats_changed", "summary", "clinical_summary")), F.lit(""))
+    changed = F.coalesce(*(_said(a, p) for p in ("whats_changed", "summary", "clinical_summary")), F.lit(""))
     lists = ("patient_reported_current_use", "actual_discontinuation", "historical_prescription", "latest_documented_prescription")
     return F.when(
         a.isNotNull(),
@@ -82,16 +90,19 @@ def triage_answer(text: Column) -> Column:
 
 def med_check_answer(text: Column) -> Column:
     """The medication check contract: whats_changed, checks (entity, attributed_molecules, recommended_top_molecules) and summary."""
-    a = json_answer(text)
+    return bound(json_answer(text), _med_check)
+
+
+def _med_check(a: Column) -> Column:
     named = "array<struct<entity:string,attributed_molecules:array<string>,recommended_top_molecules:array<variant>>>"
-    rows = F.coalesce(*(F.when(F.size(_get(a, p, named)) > 0, _get(a, p, named)) for p in ("entity_medication_check", "entity_checks")), F.array().cast(named))
+    rows = F.coalesce(*(bound(_get(a, p, named), lambda rows: F.when(F.size(rows) > 0, rows)) for p in ("entity_medication_check", "entity_checks")), F.array().cast(named))
     molecule = lambda v: _filled(F.try_variant_get(v, "$.canonical_molecule", "string"), F.try_variant_get(v, "$.name", "string"), F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "string")))
     present = lambda xs: F.coalesce(F.filter(xs, lambda x: x.isNotNull() & (x != "")), F.array().cast(NAMES))
     checks = F.filter(
         F.transform(rows, lambda r: F.struct(F.trim(r["entity"]).alias("entity"), present(r["attributed_molecules"]).alias("attributed_molecules"), present(F.transform(r["recommended_top_molecules"], molecule)).alias("recommended_top_molecules"))),
         lambda r: F.coalesce(r["entity"] != "", F.lit(False)),
     )
-    return F.when(a.isNotNull(), F.struct(F.coalesce(F.when(_text(a, "whats_changed") != "", _text(a, "whats_changed")), _text(a, "summary")).alias("whats_changed"), checks.alias("checks"), _text(a, "summary").alias("summary")))
+    return F.when(a.isNotNull(), F.struct(F.coalesce(_said(a, "whats_changed"), _text(a, "summary")).alias("whats_changed"), checks.alias("checks"), _text(a, "summary").alias("summary")))
 
 
 def prescription_answer(text: Column) -> Column:
@@ -102,7 +113,10 @@ def prescription_answer(text: Column) -> Column:
     names count as brands.  A text that is no JSON gives the brand names that
     can be read from it, and its explanation or itself as explanation.
     """
-    a = json_answer(text)
+    return bound(json_answer(text), lambda a: _prescription(a, text))
+
+
+def _prescription(a: Column, text: Column) -> Column:
     kind = f"struct<{MEDICINE.replace(' string', ':string')}>"
 
     def listed(variant: Column, wrapped: bool) -> Column:
@@ -121,7 +135,7 @@ def prescription_answer(text: Column) -> Column:
     first = listed(_get(a, "medications", "variant"), False)
     second = listed(_get(a, "recommended_medications", "variant"), True)
     bare = listed(F.when(F.schema_of_variant(a).startswith("ARRAY"), a), False)
-    whole = F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).when(F.size(bare) > 0, bare)
+    whole = F.coalesce(*(bound(c, lambda rows: F.when(F.size(rows) > 0, rows)) for c in (first, second, bare)))
     brands = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r'"brand_name"\s*:\s*"([^"]+)"'), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
     quoted = F.split(F.regexp_extract(text, r'(?s)"medications"\s*:\s*\[(.*?)\]', 1), ",")
     names = F.filter(F.transform(quoted, lambda x: F.trim(x, F.lit(" \t\r\n\"'"))), lambda x: x != "")

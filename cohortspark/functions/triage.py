@@ -208,5 +208,5 @@ def displayed_status(raw: Column) -> Column:
 def json_answer(text: Column) -> Column:
     """The JSON object of a model's answer: inside a fence if there is one, else from the first to the last brace; null if it does not parse."""
     fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)\s*```", 1)
-    body = F.when(F.coalesce(fenced, F.lit("")) != "", fenced).otherwise(text)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_extract(body, r"(\{[\s\S]*\})", 1)))
+    body = bound(fenced, lambda f: F.when(F.coalesce(f, F.lit("")) != "", f).otherwise(text))
+    return bound(body, lambda b: F.coalesce(F.try_parse_json(b), F.try_parse_json(F.regexp_extract(b, r"(\{[\s\S]*\})", 1))))

@@ -109,18 +109,21 @@ def answered_items(marks: Column, items: Column) -> Column:
     or is held by it; a denied symptom is always resolved.
     """
 
-    def item(m: Column) -> Column:
-        found = D.matched_item(m["complaint"], items)
-        given = F.lower(F.trim(found["category"]))
-        category = F.when(given.isin(*CATEGORIES), given).otherwise(m["category"])
-        said = F.when(F.trim(F.coalesce(found["canonical_entity"], F.lit(""))) != "", F.lower(F.trim(found["canonical_entity"])))
+    def categorised(m: Column, found: Column) -> Column:
+        category = R.bound(F.lower(F.trim(found["category"])), lambda given: F.when(given.isin(*CATEGORIES), given).otherwise(m["category"]))
+        return F.struct(found.alias("found"), category.alias("category"))
+
+    def corrected(m: Column, told: Column) -> Column:
+        found, category = told["found"], told["category"]
+        said = R.bound(F.lower(F.trim(found["canonical_entity"])), lambda x: F.when(x != "", x))
         entity = F.coalesce(said, m["canonical_entity"], F.when(category == "negated_symptom", R.negated_entity(m["complaint"])))
         canonical = F.when(category == "negated_symptom", "stop").otherwise(R.canonical_status(found["status"], m["status"]))
         shown = F.when(category == "negated_symptom", "resolved").otherwise(F.coalesce(R.displayed_status(found["status"]), m["display_status"]))
         change = F.when(found.isNotNull(), F.coalesce(found["change_description"], F.lit(""))).otherwise(F.coalesce(m["condition_note"], F.lit("")))
-        return _item(m["complaint"], category, entity, canonical, shown, change, F.coalesce(found["notes"], F.lit("")), m)
+        return R.bound(shown, lambda s: _item(m["complaint"], category, entity, canonical, s, change, F.coalesce(found["notes"], F.lit("")), m))
 
-    return F.transform(marks, item)
+    # found and categorised once an item, whatever names them
+    return F.transform(marks, lambda m: R.bound(D.matched_item(m["complaint"], items), lambda found: R.bound(categorised(m, found), lambda told: corrected(m, told))))
 
 
 def assessed(rows: DataFrame, answer: str | None = None, marks: str = "marks") -> DataFrame:

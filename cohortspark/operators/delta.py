@@ -17,10 +17,13 @@ def _empty() -> Column:
 
 def first_match(target: Column, candidates: Column) -> Column:
     """The first of the candidates that equals the target, else the first that holds it or is held by it, letters' case aside."""
-    low = F.lower(F.trim(target))
-    same = F.get(F.filter(candidates, lambda c: F.lower(c) == low), F.lit(0))
-    near = F.get(F.filter(candidates, lambda c: F.lower(c).contains(low) | low.contains(F.lower(c))), F.lit(0))
-    return F.coalesce(same, near)
+
+    def found(low: Column) -> Column:
+        same = F.get(F.filter(candidates, lambda c: F.lower(c) == low), F.lit(0))
+        near = F.get(F.filter(candidates, lambda c: F.lower(c).contains(low) | low.contains(F.lower(c))), F.lit(0))
+        return F.coalesce(same, near)
+
+    return R.bound(F.lower(F.trim(target)), found)
 
 
 def encounter_delta(encounters: DataFrame, symptoms: str = "symptoms", diagnoses: str = "diagnoses", past_symptoms: str = "past_symptoms", past_diagnoses: str = "past_diagnoses") -> DataFrame:
@@ -96,6 +99,9 @@ def summary_text(delta: DataFrame) -> DataFrame:
 
 def matched_item(name: Column, items: Column) -> Column:
     """The item (a struct with name) of an answer for a keyword item: equal names first, then one inside the other, in order."""
-    low = F.lower(F.trim(name))
-    same = F.get(F.filter(items, lambda i: F.lower(F.trim(i["name"])) == low), F.lit(0))
-    return F.coalesce(same, F.get(F.filter(items, lambda i: F.lower(i["name"]).contains(low) | low.contains(F.lower(i["name"]))), F.lit(0)))
+
+    def found(low: Column) -> Column:
+        same = F.get(F.filter(items, lambda i: F.lower(F.trim(i["name"])) == low), F.lit(0))
+        return F.coalesce(same, F.get(F.filter(items, lambda i: F.lower(i["name"]).contains(low) | low.contains(F.lower(i["name"]))), F.lit(0)))
+
+    return R.bound(F.lower(F.trim(name)), found)
