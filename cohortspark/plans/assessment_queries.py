@@ -79,7 +79,8 @@ def n13_delta_of_results(spark, d):
 
 def _answers(spark, d):
     """Encounters with a model's answer: for every third a corrected item, for every third prose, for the others none."""
-    rows = A.keyword_marks(_encounters(spark, d)).where(F.size("marks") > 0)
+    # rows with a mark, told by what is marked: a filter on the marks would have them computed twice
+    rows = A.keyword_marks(_encounters(spark, d).where(F.exists("symptoms", lambda s: F.trim(s) != "")))
     name = F.col("marks")[0]["complaint"]
     item = F.concat(F.lit('{"raw_text": "'), F.upper(name), F.lit('", "category": "Symptom", "canonical_entity": " '), F.col("event_type"), F.lit(' ", "status": "Improving", "notes": "better"}'))
     answer = F.concat(F.lit('```json\n{"patient_condition": "stable", "symptom_notes": "n", "whats_changed": "w", "triaged_items": ['), item, F.lit('], "deprescribing_recommendations": [{"drug": "A", "status": "resolved"}, {"medicine": "B", "action": "decreased"}], "actual_discontinuation": [" C ", ""]}\n```'))
