@@ -16,13 +16,29 @@ from .similarity import deduplicated, entity_key
 from .taxonomy import related_codes
 
 
-def entities(rows: DataFrame, owner: list[str], column: str) -> DataFrame:
-    """(owner, pos, term, code, embedding) of an array of structs that has at least ``term``; each entity of an owner once."""
+def entities(rows: DataFrame, owner: list[str], column: str, vectors: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """(owner, pos, term, code, embedding) of an array of structs that has at least ``term``; each entity of an owner once.
+
+    ``vectors`` (vector_id, embedding) may give the vectors that the field
+    vector_id names; they are joined last, so that no vector is shuffled once
+    for each owner that has it.  ``path`` may name a folder to keep the
+    entities in (without the vectors joined), as most uses read them several times.
+    """
     fields = rows.schema[column].dataType.elementType.fieldNames()
     long = rows.select(*owner, F.posexplode(column).alias("pos", "e"))
     given = lambda name, kind: F.col(f"e.{name}").cast(kind) if name in fields else F.lit(None).cast(kind)
-    flat = long.select(*owner, "pos", given("term", "string").alias("term"), given("code", "string").alias("code"), given("embedding", "array<double>").alias("embedding"))
-    return deduplicated(flat, owner)
+    named = long.select(*owner, "pos", given("term", "string").alias("term"), given("code", "string").alias("code"), *([given("embedding", "array<double>").alias("embedding")] if vectors is None else [F.col("e.vector_id")]))
+    kept = deduplicated(named, owner)
+    if path is not None:
+        kept.write.parquet(path)
+        kept = rows.sparkSession.read.parquet(path)
+    return kept if vectors is None else with_vectors(kept, vectors)
+
+
+def with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``rows`` with the embedding that each one's vector_id names, null if there is none, in its place."""
+    kept = vectors.select("vector_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.join(kept, "vector_id", "left").drop("vector_id")
 
 
 def _identity() -> Column:

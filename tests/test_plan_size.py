@@ -27,3 +27,16 @@ def test_an_item_is_found_once(spark):
     plan = _plan(marked.select(A.answered_items(F.col("marks"), F.col("a.triaged_items")).alias("items")))
     # equal names and one inside the other, each looked for once
     assert plan.count("filter(") <= 6, plan.count("filter(")
+
+
+def test_vectors_are_not_shuffled_with_each_owner(spark):
+    from cohortspark.operators import pairs as P
+
+    held = spark.createDataFrame([(1, [("a", "A", 1), ("b", None, 2), ("A ", "A", 9)]), (2, [("c", None, None), (" ", "B", 2)])], "o long, e array<struct<term: string, code: string, vector_id: int>>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vector_id int, embedding array<double>")
+    got = P.entities(held, ["o"], "e", F.broadcast(vectors))
+    assert sorted((r.o, r.pos, r.term, r.code, r.embedding) for r in got.collect()) == [(1, 0, "a", "A", [1.0, 0.0]), (1, 1, "b", None, [0.0, 1.0]), (2, 0, "c", None, None)]
+    # the entities are met with their vectors after the only shuffle
+    plan = got._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert min(i for i, line in enumerate(plan) if "embedding" in line) < min(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert not any("embedding" in line for line in plan if "Aggregate" in line)
