@@ -104,15 +104,17 @@ def containing(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     none; those that repeat count once.
     """
     asked = queries.select("q").where("q <> ''").distinct().withColumn("size", F.length("q"))
+    # an index is many times its texts, which the plan's estimates don't know: it is never sent to the driver for a broadcast
+    postings = postings.hint("merge")
     short = asked.where(F.col("size") < GRAM).join(postings.where("at = 0"), F.col("q") == F.col("gram")).select("q", key).distinct()
     long = asked.where(F.col("size") >= GRAM)
     offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("size") - GRAM, F.lit(GRAM)), F.array(F.col("size") - GRAM)))
     cover = long.select("q", F.explode(offsets).alias("off")).withColumn("gram", F.substring("q", F.col("off") + 1, F.lit(GRAM)))
-    places = postings.where("at > 0")
+    places = postings.where("at > 0").hint("merge")
     often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a trigram that no text has leaves nothing of its query
-    counted = cover.join(often, "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("rare"), F.collect_set(F.struct("off", "gram")).alias("cover")).where("rare.n > 0")
-    starts = counted.select("q", "cover", "rare.gram", "rare.off").join(places, "gram").select("q", "cover", key, (F.col("at") - F.col("off")).alias("start")).where("start > 0")
+    counted = cover.join(often.hint("merge"), "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("rare"), F.collect_set(F.struct("off", "gram")).alias("cover")).where("rare.n > 0")
+    starts = counted.select("q", "cover", "rare.gram", "rare.off").hint("merge").join(places, "gram").select("q", "cover", key, (F.col("at") - F.col("off")).alias("start")).where("start > 0")
     others = starts.select("q", key, "start", F.size("cover").alias("needed"), F.explode("cover").alias("c")).select("q", key, "start", "needed", "c.gram", (F.col("start") + F.col("c.off")).alias("at"))
     whole = others.join(places, ["gram", key, "at"]).groupBy("q", key, "start").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed")
     return short.unionByName(whole.select("q", key).distinct())

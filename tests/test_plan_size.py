@@ -40,3 +40,14 @@ def test_vectors_are_not_shuffled_with_each_owner(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString().split("\n")
     assert min(i for i, line in enumerate(plan) if "embedding" in line) < min(i for i, line in enumerate(plan) if "Aggregate" in line)
     assert not any("embedding" in line for line in plan if "Aggregate" in line)
+
+
+def test_an_index_of_trigrams_is_not_broadcast(spark, tmp_path):
+    from cohortspark.operators import similar_strings as S
+
+    spark.createDataFrame([(1, "abcdef"), (2, "xabcy"), (3, None)], "id int, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame([("abc",), ("bcde",), ("x",), ("zzz",), ("",)], "q string").write.parquet(f"{tmp_path}/asked")
+    texts, asked = spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/asked")
+    found = S.containing(asked, S.gram_postings(texts, "id", "text"), "id")
+    assert sorted(map(tuple, found.collect())) == [("abc", 1), ("abc", 2), ("bcde", 1), ("x", 2)]
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
