@@ -202,12 +202,19 @@ def search(terms: DataFrame, entries: DataFrame, postings: DataFrame, limit: int
     return direct.unionByName(hits).withColumn("rank", place).where(F.col("rank") <= limit).drop("ordinal")
 
 
-def get_by_id(asked: DataFrame, entries: DataFrame) -> DataFrame:
-    """(asked, id, label, synonyms, definition, match_type, score) of distinct ids and alternative ids, letters' case and outer blanks aside; unknown ones have no row."""
+def get_by_id(asked: DataFrame, entries: DataFrame, every: bool = False) -> DataFrame:
+    """(asked, id, label, synonyms, definition, match_type, score) of distinct ids and alternative ids, letters' case and outer blanks aside; unknown ones have no row.
+
+    An alternative id of several entries gives the first of them, or with ``every`` all.
+    """
     own = entries.select(F.upper("id").alias("given"), F.lit(0).alias("rank"), "ordinal")
     other = entries.select(F.explode("alt_ids").alias("given"), F.lit(1).alias("rank"), "ordinal").withColumn("given", F.upper("given"))
     # an id of its own comes before an alternative one of another entry
-    first = own.unionByName(other).groupBy("given").agg(F.min(F.struct("rank", "ordinal")).alias("f")).select("given", "f.ordinal")
+    known = own.unionByName(other)
+    if every:
+        first = known.withColumn("n", F.rank().over(Window.partitionBy("given").orderBy("rank"))).where("n = 1").select("given", "ordinal").distinct()
+    else:
+        first = known.groupBy("given").agg(F.min(F.struct("rank", "ordinal")).alias("f")).select("given", "f.ordinal")
     found = asked.select("asked").distinct().join(first, F.upper(F.trim("asked")) == F.col("given")).join(entries, "ordinal")
     return found.select("asked", "id", "label", "synonyms", "definition", F.lit("id_lookup").alias("match_type"), F.lit(1.0).alias("score"))
 

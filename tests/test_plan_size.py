@@ -51,3 +51,18 @@ def test_an_index_of_trigrams_is_not_broadcast(spark, tmp_path):
     found = S.containing(asked, S.gram_postings(texts, "id", "text"), "id")
     assert sorted(map(tuple, found.collect())) == [("abc", 1), ("abc", 2), ("bcde", 1), ("x", 2)]
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ids_that_parts_share_give_each_of_them(spark, tmp_path):
+    import duckdb
+
+    from cohortspark.plans import search_queries as Q
+
+    keys = [*range(8), 100_000, 100_001, 999_997, *range(1_000_000, 1_000_013)]
+    parts = spark.createDataFrame([(k, f"n{k}", f"t{k}") for k in keys], "p_partkey long, p_name string, p_type string")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, Q.t11_get_by_id(spark, str(tmp_path)).select("asked", "id", "label", "definition").collect()))
+    duck = duckdb.connect()
+    duck.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(duck.sql(Q.ORACLE_SQL["t11_get_by_id"]).to_arrow_table().select(["asked", "id", "label", "definition"]).to_pandas().itertuples(index=False, name=None))
+    assert sum(asked == "HP:9100000 " for asked, *_ in got) == 3
