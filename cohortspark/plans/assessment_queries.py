@@ -128,7 +128,7 @@ def n18_delta_status(spark, d):
 @query("""SELECT p_partkey, 'cond ' || p_type AS patient_condition, p_name AS changed, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS item, 'Unknown|General presentation|maintained|maintained' AS defaults, 'x|y' AS in_use FROM part""")
 def contract_triage(spark, d):
     """The triage contract under either name of its items, defaults for what recommendations lack."""
-    p = W.table(spark, d, "part")
+    p = W.spread(W.table(spark, d, "part"), "p_partkey")
     item = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"triaged_items": [{"raw_text": "'), "p_name", F.lit('"}, {"raw_text": " "}]'))).otherwise(F.concat(F.lit('"triaged_items": [], "symptoms": [{"complaint": "'), "p_brand", F.lit('"}]')))
     text = F.concat(F.lit('Sure.\n```json\n{"patient_condition": " cond '), "p_type", F.lit('", "summary": "'), "p_name", F.lit('", "recommendations": [{"rationale": "r"}], "patient_reported_current_use": [" x", "", "y"], '), item, F.lit("}\n```"))
     a = p.select("p_partkey", N.triage_answer(text).alias("a"))
@@ -140,7 +140,7 @@ def contract_triage(spark, d):
 def contract_med_check(spark, d):
     """The medication check contract: molecules as objects of either key or as plain texts."""
     text = F.concat(F.lit('{"summary": "'), "p_type", F.lit('", "entity_checks": [{"entity": " '), "p_name", F.lit('x ", "attributed_molecules": [], "recommended_top_molecules": [{"canonical_molecule": "'), "p_name", F.lit('"}, {"name": "'), "p_brand", F.lit('"}, "plain", {"other": 1}]}, {"entity": ""}]}'))
-    a = W.table(spark, d, "part").select("p_partkey", N.med_check_answer(text).alias("a"))
+    a = W.spread(W.table(spark, d, "part"), "p_partkey").select("p_partkey", N.med_check_answer(text).alias("a"))
     return a.select("p_partkey", "a.whats_changed", F.array_join(F.col("a.checks")[0]["recommended_top_molecules"], "|").alias("molecules"), F.col("a.checks")[0]["entity"].alias("entity"))
 
 
@@ -157,7 +157,7 @@ def contract_prescriptions(spark, d):
         F.lit("no medicine today"),
     ]
     text = F.element_at(F.array(*shapes), (F.col("p_partkey") % 6 + 1).cast("int"))
-    a = W.table(spark, d, "part").select("p_partkey", N.prescription_answer(text).alias("a"))
+    a = W.spread(W.table(spark, d, "part"), "p_partkey").select("p_partkey", N.prescription_answer(text).alias("a"))
     return a.select("p_partkey", F.coalesce(F.get("a.medications", F.lit(0))["brand_name"], F.lit("")).alias("medicine"), "a.explanation", "a.parsed", "a.confidence_score")
 
 
@@ -168,7 +168,7 @@ def contract_search_queries(spark, d):
     text = F.when(k == 0, F.concat(F.lit('```json\n{"vector_semantic_queries": "q '), "p_name", F.lit('", "bm25_keywords": [" k ", ""]}\n```'))).otherwise("none")
     none = F.array().cast("array<string>")
     s, x = F.when(k < 2, F.array(F.col("p_name"), F.lit("b"), F.lit(""))).otherwise(none), F.when(k < 2, F.array("p_brand")).otherwise(none)
-    a = W.table(spark, d, "part").select("p_partkey", N.search_queries_answer(text, s, x).alias("a"))
+    a = W.spread(W.table(spark, d, "part"), "p_partkey").select("p_partkey", N.search_queries_answer(text, s, x).alias("a"))
     return a.select("p_partkey", F.col("a.vector_semantic_queries")[0].alias("query"), F.array_join("a.bm25_keywords", "|").alias("keywords"))
 
 

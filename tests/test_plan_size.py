@@ -66,3 +66,14 @@ def test_ids_that_parts_share_give_each_of_them(spark, tmp_path):
     duck.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     assert got == sorted(duck.sql(Q.ORACLE_SQL["t11_get_by_id"]).to_arrow_table().select(["asked", "id", "label", "definition"]).to_pandas().itertuples(index=False, name=None))
     assert sum(asked == "HP:9100000 " for asked, *_ in got) == 3
+
+
+def test_answers_of_a_small_file_are_read_by_every_core(spark, tmp_path):
+    from cohortspark.plans import assessment_queries as Q
+
+    parts = spark.createDataFrame([(k, f"n{k}", f"Brand#{k}", f"t{k}") for k in range(60)], "p_partkey long, p_name string, p_brand string, p_type string")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("contract_triage", "contract_med_check", "contract_prescriptions", "contract_search_queries"):
+        found = Q.QUERIES[name](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+        assert sorted(r.p_partkey for r in found.collect()) == list(range(60)), name
