@@ -79,6 +79,29 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.select(*calls.columns, problem.alias("problem"))
 
 
+def inferred_schemas(calls: DataFrame) -> DataFrame:
+    """(name, parameter, type, required) of the tools that ``calls`` (name, arguments) use, as most of their calls have it.
+
+    A parameter has the type of most values that calls give it, number where some are no integers, and any type where a call
+    refers to a result; nine of ten calls give one that is required.  Of ten calls and more, a single one adds no parameter.
+    """
+    is_object = F.schema_of_variant("arguments").startswith("OBJECT")
+    named = calls.where("name is not null").select("name", F.when(is_object, F.try_variant_get("arguments", "$", "map<string, variant>")).alias("given"))
+    tools = named.groupBy("name").agg(F.count("given").alias("calls"))
+    kind, refers = F.schema_of_variant("value"), F.to_json("value").startswith('{"$ref":')
+    told = F.lit(None).cast("string")
+    for name, pattern in VALUE_TYPES.items():
+        told = F.coalesce(told, F.when(F.regexp_like(kind, F.lit(f"^{pattern}$")), "number" if name == "integer" else name))
+    values = named.select("name", F.explode("given").alias("parameter", "value")).select("name", "parameter", told.alias("type"), (kind == "BIGINT").alias("whole"), refers.alias("refers"))
+    counted = values.groupBy("name", "parameter", "type").agg(F.count("*").alias("n"), F.every("whole").alias("whole"), F.some("refers").alias("refers"))
+    most = F.max_by(F.struct("type", "whole"), F.struct("n", "type"))
+    chosen = counted.groupBy("name", "parameter").agg(most.alias("m"), F.sum("n").alias("n"), F.some("refers").alias("refers"))
+    kind = F.when(~F.col("refers"), F.when(F.col("m.whole"), "integer").otherwise(F.col("m.type")))
+    known = tools.join(chosen, "name").where("n > 1 or calls < 10").select("name", "parameter", kind.alias("type"), (F.col("n") * 10 >= F.col("calls") * 9).alias("required"))
+    bare = tools.join(known, "name", "left_anti").select("name", F.lit(None).cast("string").alias("parameter"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("required"))
+    return known.unionByName(bare)
+
+
 def _ordered(calls: DataFrame, results: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, order_turn, order_level) of messages that have to wait; a null level marks a cycle.
 
@@ -176,8 +199,10 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None) -> DataFra
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without tool schemas, as the data folder has none: calls are linked and ordered, their arguments not validated."""
-    return format_chats(table(spark, sf_dir, "conversations"), None)
+    """The data folder has no tool schemas: arguments are validated against those that the calls of the table show themselves."""
+    conversations = table(spark, sf_dir, "conversations")
+    calls = _calls(_parsed(conversations.select("conv_id", "turn", "role", "text")))
+    return format_chats(conversations, Scratch(spark, "chat").save(inferred_schemas(calls)))
 
 
 # Links calls and results by identifier; order and calls' canonical JSON are left to the tests, so rows that wait for others, or hold calls, don't match it.

@@ -163,3 +163,15 @@ def test_no_schemas_is_not_invalid(spark):
     row = format_chats(frame, None).first()
     assert (row.n_calls, row.n_invalid) == (1, 0) and json.loads(row.message)["tool_calls"] == [{"arguments": {"a": "x"}, "id": "c1", "name": "add"}]
     assert format_chats(frame, tool_schemas(spark, {})).first().n_invalid == 1
+
+
+def test_the_query_validates_by_what_calls_show(spark, tmp_path):
+    from cohortspark.llm.chat_format import op9_chat_format
+
+    given = [("add", {"a": i, "b": i / 2, "c": "x"}) for i in range(18)] + [("add", {"a": 1, "b": 2}), ("add", {"a": "one", "b": 1}), ("add", {"b": 1}), ("add", {"a": 1, "b": 1, "stray": 1})]
+    given += [("ping", {}), ("once", {"q": "x"}), ("deep", {"v": 1}), ("deep", {"v": {"$ref": "c0"}}), (None, {"a": 1}), ("flat", [1])]
+    data = [(i, 0, "assistant", call((f"c{i}", name, a))) for i, (name, a) in enumerate(given)] + [(99, 0, "user", "x"), (99, 1, "assistant", None)]
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.n_invalid for r in op9_chat_format(spark, str(tmp_path)).where("turn = 0").collect()}
+    # another type, a missing argument, one of a single call, a call without a name and arguments that are no object
+    assert {i for i, n in got.items() if n} == {19, 20, 21, 26, 27} and len(got) == len(given) + 1
