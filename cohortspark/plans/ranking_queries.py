@@ -49,7 +49,8 @@ def a5_set_similarity(spark, d):
 @query(_SETS + """SELECT owner, round(0.5 * a + 0.5 * b, 4) AS set_similarity FROM (SELECT owner, avg(m) AS a FROM (SELECT owner, y, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) JOIN (SELECT owner, avg(m) AS b FROM (SELECT owner, x, max(sim) AS m FROM p GROUP BY ALL) GROUP BY 1) USING (owner)""")
 def a5_set_similarity_long(spark, d):
     items = W.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("owner")).join(W.table(spark, d, "part"), "p_partkey")
-    sets = items.select("owner", F.col("p_brand").alias("c_key")).distinct()
+    # an owner's rows come together once, before they are told apart and paired
+    sets = W.spread(items.select("owner", F.col("p_brand").alias("c_key")), "owner").distinct()
     pairs = sets.withColumn("q_key", F.explode(F.array(*map(F.lit, ("Brand#1", "Brand#12", "Brand#20", "Brand#99")))))
     sim = F.when(F.col("c_key") == F.col("q_key"), 1.0).when(F.substring("c_key", 1, 7) == F.substring("q_key", 1, 7), 0.5).otherwise(0.0)
     return S.set_similarity(pairs.withColumn("sim", sim), ["owner"]).withColumn("set_similarity", F.round("set_similarity", 4))
@@ -99,7 +100,7 @@ FROM visits JOIN customer ON case_no = c_custkey JOIN nation ON c_nationkey = n_
 
 @query(_EVIDENCE + "SELECT query_id, case_id, CAST(best_lca AS DOUBLE) AS best_lca, best_cos, round(clinical_sim, 4) AS clinical_sim FROM clinical")
 def v12_best_of_each(spark, d):
-    return R.best_evidence(_evidence(spark, d), ["query_id", "case_id"]).withColumn("clinical_sim", F.round("clinical_sim", 4))
+    return R.best_evidence(W.spread(_evidence(spark, d), "case_id"), ["query_id", "case_id"]).withColumn("clinical_sim", F.round("clinical_sim", 4))
 
 
 _TOP = _EVIDENCE + f""", scored AS (SELECT c.*, round(0.5 * clinical_sim + 0.5 * ({W.age_sql('age', 'CAST(41 AS DOUBLE)')}), 4) AS case_score FROM clinical c JOIN visits ON case_id = visit_id JOIN patients USING (case_no) WHERE clinical_sim >= 0.5 AND abs(({W.band_sql('age')}) - ({W.band_sql('41')})) < 3),
@@ -120,7 +121,7 @@ def q2_rank_molecules(spark, d):
 @query(_TOP + "SELECT query_id, CAST(place AS INTEGER) AS place, case_id, case_score FROM top")
 def w6_top_cases(spark, d):
     cases = W.visits(spark, d).join(W.patients(spark, d), "case_no").select(F.col("visit_id").alias("case_id"), "age", "gender")
-    scored = R.best_evidence(_evidence(spark, d), ["query_id", "case_id"]).join(cases, "case_id")
+    scored = R.best_evidence(W.spread(_evidence(spark, d), "case_id"), ["query_id", "case_id"]).join(cases, "case_id")
     return R.top_cases(scored, ["query_id"], 20, 0.5, F.lit(41.0)).select("query_id", "place", "case_id", "case_score")
 
 

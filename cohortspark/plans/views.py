@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,6 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` dealt out by ``key`` to every core, for work on each that is heavy: a small file would be one task."""
-    spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
-
-
 def visits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("visit_id"), F.col("o_custkey").alias("case_no"), F.col("o_orderdate").cast("date").alias("visit_date"), F.col("o_orderpriority").alias("visit_reason"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,3 +31,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not named and not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='cohortspark-')}")
+
+
+TASKS_A_CORE = 16
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt out by ``keys`` to many tasks, for steps that are heavy or hold much.
+
+    Their number stays: a small file or a few small shuffled parts, packed well, would become one task of great size.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

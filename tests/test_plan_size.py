@@ -77,3 +77,28 @@ def test_answers_of_a_small_file_are_read_by_every_core(spark, tmp_path):
         found = Q.QUERIES[name](spark, str(tmp_path))
         assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
         assert sorted(r.p_partkey for r in found.collect()) == list(range(60)), name
+
+
+def test_tasks_of_rankings_and_sets_stay_small(spark):
+    from cohortspark.plans import ranking_queries as Q
+    from cohortspark.plans import workflow_queries as W
+
+    # a set number of parts is not packed into few great ones
+    for name, found in [*Q.QUERIES.items(), *W.QUERIES.items()]:
+        if name in ("a5_set_similarity_long", "q2_rank_molecules", "q5_entity_matrix", "w6_top_cases", "v12_best_of_each"):
+            assert "REPARTITION_BY_NUM" in found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_closures_send_no_table_to_the_driver(spark, tmp_path):
+    from cohortspark.operators import taxonomy as X
+
+    rows = [(c, c // 3) for c in range(1, 40)]
+    spark.createDataFrame(rows, "child long, parent long").write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame([(c,) for c in range(40)], "code long").write.parquet(f"{tmp_path}/nodes")
+    edges, nodes = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/nodes")
+    old = edges.where("child % 5 <> 0")
+    found = X.updated_closure(X.ancestor_closure(nodes, old), nodes, edges, old)
+    got = sorted(map(tuple, found.collect()))
+    # as it was run
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(map(tuple, X.ancestor_closure(nodes, edges).collect()))
