@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import spread
 
 BRANDS = 5
 
@@ -63,10 +64,11 @@ def rank_medicines(pairs: DataFrame, cases: DataFrame, medicines: DataFrame, by:
 
     The age predicate is applied to the cases before their similarities are
     aggregated; ``cases`` has case_id, age and gender, ``medicines`` case_id,
-    pos, molecule, brand and is_fdc.
+    pos, molecule, brand and is_fdc.  Pairs are dealt by case to many tasks, as
+    a task joins, aggregates and sorts what it gets.
     """
     fitting = cases if age is None else cases.where(V.ages_compatible(age, F.col("age")))
-    evidence = best_evidence(pairs.join(fitting.select("case_id"), "case_id", "left_semi"), [*by, "case_id"])
+    evidence = best_evidence(spread(pairs, "case_id").join(fitting.select("case_id"), "case_id", "left_semi"), [*by, "case_id"])
     top = top_cases(evidence.join(fitting, "case_id"), by, limit, min_similarity, age, gender)
     return top_molecules(molecule_usage(top, medicines, by), by, k)
 
