@@ -23,12 +23,13 @@ def ancestor_closure(nodes: DataFrame, edges: DataFrame, levels: int = LEVELS) -
     """(code, ancestor, steps): every ancestor with the longest way to it, a node being its own at 0 steps.
 
     Grows by one level a round until nothing is added; a cycle makes it fail.
+    Tables meet by sorting, as a broadcast each round would send them to the driver.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     own = nodes.select(F.col("code"), F.col("code").alias("ancestor"), F.lit(0).alias("steps"))
     closure, front = own, own
     for level in range(1, levels + 1):
-        front = front.join(edges, F.col("ancestor") == F.col("child")).select("code", F.col("parent").alias("ancestor")).distinct().withColumn("steps", F.lit(level)).checkpoint()
+        front = front.join(edges.hint("merge"), F.col("ancestor") == F.col("child")).select("code", F.col("parent").alias("ancestor")).distinct().withColumn("steps", F.lit(level)).checkpoint()
         if front.isEmpty():
             return closure.groupBy("code", "ancestor").agg(F.max("steps").alias("steps"))
         closure = closure.unionByName(front)
@@ -104,19 +105,19 @@ def updated_closure(closure: DataFrame, nodes: DataFrame, edges: DataFrame, old_
     before = old_edges.select("child", "parent").distinct()
     changed = now.exceptAll(before).unionByName(before.exceptAll(now)).select(F.col("child").alias("ancestor")).distinct()
     known = closure.where("steps = 0").select("code")
-    gone = known.join(nodes.select("code"), "code", "left_anti").select(F.col("code").alias("ancestor"))
-    below = closure.join(changed.unionByName(gone).distinct(), "ancestor", "left_semi").select("code")
-    fresh = nodes.select("code").join(known, "code", "left_anti")
-    affected = below.unionByName(fresh).distinct().join(nodes.select("code"), "code", "left_semi").checkpoint()
-    kept = closure.join(below.distinct(), "code", "left_anti").checkpoint()
+    gone = known.join(nodes.select("code").hint("merge"), "code", "left_anti").select(F.col("code").alias("ancestor"))
+    below = closure.join(changed.unionByName(gone).distinct().hint("merge"), "ancestor", "left_semi").select("code")
+    fresh = nodes.select("code").join(known.hint("merge"), "code", "left_anti")
+    affected = below.unionByName(fresh).distinct().join(nodes.select("code").hint("merge"), "code", "left_semi").checkpoint()
+    kept = closure.join(below.distinct().hint("merge"), "code", "left_anti").checkpoint()
     climbing = affected.select("code", F.col("code").alias("at"))
     found = affected.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("steps"))
     mark = affected.select(F.col("code").alias("at"), F.lit(True).alias("open"))
     for level in range(1, levels + 1):
-        above = climbing.join(now, F.col("at") == F.col("child")).select("code", F.col("parent").alias("at")).distinct().join(mark, "at", "left").checkpoint()
+        above = climbing.join(now.hint("merge"), F.col("at") == F.col("child")).select("code", F.col("parent").alias("at")).distinct().join(mark.hint("merge"), "at", "left").checkpoint()
         if above.isEmpty():
             return kept.unionByName(found.groupBy("code", "ancestor").agg(F.max("steps").alias("steps")))
         climbing = above.where("open").select("code", "at")
-        settled = above.where("open is null").join(kept.withColumnRenamed("code", "at"), "at").select("code", "ancestor", (F.col("steps") + level).alias("steps"))
+        settled = above.where("open is null").join(kept.withColumnRenamed("code", "at").hint("merge"), "at").select("code", "ancestor", (F.col("steps") + level).alias("steps"))
         found = found.unionByName(climbing.select("code", F.col("at").alias("ancestor"), F.lit(level).alias("steps"))).unionByName(settled)
     raise ValueError(f"the taxonomy is deeper than {levels} levels or has a cycle")

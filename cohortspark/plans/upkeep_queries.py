@@ -48,7 +48,7 @@ def v4_closure_of_releases(spark, d):
     closure = before = None
     for nodes, edges in releases:
         nodes = nodes.withColumnRenamed("c", "code")
-        edges = edges.join(nodes.select(F.col("code").alias("child")), "child", "left_semi").join(nodes.select(F.col("code").alias("parent")), "parent", "left_semi").select("child", "parent").distinct().checkpoint()
+        edges = edges.join(nodes.select(F.col("code").alias("child")).hint("merge"), "child", "left_semi").join(nodes.select(F.col("code").alias("parent")).hint("merge"), "parent", "left_semi").select("child", "parent").distinct().checkpoint()
         closure = taxonomy.ancestor_closure(nodes, edges) if closure is None else taxonomy.updated_closure(closure, nodes, edges, before)
         before = edges
     return closure.groupBy("code").agg(F.count(F.lit(1)).alias("n_ancestors"), F.sum("steps").alias("total_steps"), (F.max("steps") + 1).alias("depth"))
