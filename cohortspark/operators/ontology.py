@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.udfs import ratio
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from . import similar_strings as S
 
 # Words that do not count, and everyday names of phenotypes.
@@ -190,13 +190,13 @@ def search(terms: DataFrame, entries: DataFrame, postings: DataFrame, limit: int
 
     A term that is an id, or an alternative one, gets that entry alone.
     """
-    queries = queries_of(terms, aliases)
+    # the terms may come from whole tables, and are read by every step
+    queries = written(queries_of(terms, aliases))
     ids = entries.select(F.upper("id").alias("given"), "id", "label").unionByName(entries.select(F.explode("alt_ids").alias("given"), "id", "label").withColumn("given", F.upper("given")))
     direct = queries.join(ids, F.upper(F.trim("term")) == F.col("given")).select("term", "id", "label", F.lit("id_lookup").alias("match_type"), F.lit(1.0).alias("score"), F.lit(0).alias("ordinal"))
     open_ = queries.join(direct.select("term").distinct(), "term", "left_anti")
-    ensure_checkpoint_dir(terms.sparkSession)
     # read by every rung: written once, so that neither blocking nor the plan is repeated
-    pairs = candidate_pairs(open_, entries, postings).checkpoint()
+    pairs = written(candidate_pairs(open_, entries, postings))
     hits = ladder(pairs).where((F.col("score") > 0) & (F.col("score") >= min_score)).select("term", "id", "label", "match_type", "score", "ordinal")
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "ordinal"))
     return direct.unionByName(hits).withColumn("rank", place).where(F.col("rank") <= limit).drop("ordinal")

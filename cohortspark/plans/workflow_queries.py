@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import medicines as M
+from ..session import written
 from . import views as W
 from . import workflows as P
 from .clinical_queries import _MASTER_SQL, _master
@@ -91,7 +92,7 @@ def q7_migration_resolved(spark, d):
 
     none = F.array().cast("array<string>")
     terms = W.table(spark, d, "part").groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("k")).select(F.concat(F.lit("HP:"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("id"), "label", none.alias("synonyms"), F.lit("").alias("definition"), none.alias("alt_ids"))
-    entries = O.search_entries(terms)
+    entries = written(O.search_entries(terms))
     resolver = P.ontology_resolver(entries, O.token_postings(entries), "strict")
     visits = W.visits(spark, d)
     keyed = W.medicines(spark, d).join(visits.select("visit_id", "case_no", "visit_date"), "visit_id")

@@ -16,7 +16,7 @@ from ..operators import medicines as M
 from ..operators import ontology as O
 from ..operators import ranking as K
 from ..operators import upsert as U
-from ..session import ensure_checkpoint_dir
+from ..session import sent, spread, written
 
 
 def decorate_terms(rows: DataFrame, keys: list[str], text: str, split: Callable[[Column], Column], resolver: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -25,12 +25,16 @@ def decorate_terms(rows: DataFrame, keys: list[str], text: str, split: Callable[
     Every distinct term is resolved once: ``resolver`` takes a table of
     distinct terms (column term) and returns one row a term that it knows.
     """
-    long = rows.select(*keys, F.posexplode(split(F.col(text))).alias("pos", "term"))
-    ensure_checkpoint_dir(rows.sparkSession)
-    known = resolver(long.select("term").distinct()).checkpoint()
+    listed = lambda r: r.select(*keys, F.posexplode(split(F.col(text))).alias("pos", "term"))
+    # every step of the resolver reads them, and would find them in the whole table again
+    terms = written(listed(rows).select("term").distinct())
+    known = resolver(terms)
     fields = [c for c in known.columns if c != "term"]
     flags = R.assertion_status(F.col("term"))
-    joined = long.join(known, "term", "left").withColumn("is_negated", flags == "negated")
+    told = sent(written(terms.join(known, "term", "left").withColumn("is_negated", flags == "negated")))
+    # a term that is null, of which nothing is known, denies nothing
+    # rows are dealt out by their keys while each is one row, so that its terms need not be shuffled to come together
+    joined = listed(spread(rows.select(*keys, text), *keys)).join(told, "term", "left").withColumn("is_negated", F.coalesce("is_negated", F.lit(False)))
     packed = F.array_sort(F.collect_list(F.struct("pos", "term", *fields, "is_negated")))
     return joined.groupBy(*keys).agg(packed.alias(name))
 
@@ -60,10 +64,9 @@ def migrate(sources: dict[str, DataFrame], table: DataFrame | None, resolvers: d
     """
     keys = ["case_no", "visit_date"]
     unified = E.assemble(*(sources[k] for k in ("visits", "patients", "complaints", "diagnoses", "prescriptions")), sources.get("investigations"))
-    ensure_checkpoint_dir(unified.sparkSession)
-    cases = U.last_per_key(unified, keys).checkpoint()
+    cases = written(U.last_per_key(unified, keys))
     parts = (("symptoms", "chief_complaints", X.complaint_terms), ("diagnosis", "diagnosis_names", X.comma_terms), ("medications", "medicine_names", X.comma_terms))
-    out = cases
+    out = spread(cases, *keys)
     for name, column, split in parts:
         out = out.join(decorate_terms(cases, keys, column, split, resolvers[name], name), keys, "left")
     return out if table is None else U.upsert(table, out, keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,6 +34,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='cohortspark-')}")
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the checkpoint folder, for steps that read them more than once."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint()
+
+
+#: Rows of a written table up to which it is sent to every task.
+SENT_ROWS = 20_000
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is known to be small: rows that meet it need not be shuffled by a few frequent keys."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 TASKS_A_CORE = 16
 
 

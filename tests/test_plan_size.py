@@ -109,3 +109,23 @@ def test_findings_are_computed_once(spark):
 
     # one pass over the tokens, not another for the filter
     assert _plan(Q.n2_scoped_findings(spark, "/root/testdata/sf0.001")).count("aggregate(") == 1
+
+
+def test_terms_of_migrated_cases_are_found_once(spark):
+    from cohortspark.functions import text as T
+    from cohortspark.plans import workflows as P
+
+    rows = spark.createDataFrame([(1, "no fever, rash, no fever"), (2, None), (3, "cough")], "i int, names string")
+    plans = []
+
+    def resolver(terms):
+        plans.append(_plan(terms))
+        return terms.where("term <> 'cough'").withColumn("code", F.upper("term"))
+
+    found = P.decorate_terms(rows, ["i"], "names", T.comma_terms, resolver, "found")
+    got = {r.i: [tuple(x) for x in r.found] for r in found.collect()}
+    assert got == {1: [(0, "no fever", "NO FEVER", True), (1, "rash", "RASH", False), (2, "no fever", "NO FEVER", True)], 3: [(0, "cough", None, False)]}
+    # the resolver reads what was written, and the terms of a row come together without an exchange of their own
+    assert len(plans) == 1 and "Generate" not in plans[0], plans
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan, plan
