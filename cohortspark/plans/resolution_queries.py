@@ -9,6 +9,7 @@ from ..operators import encounters as E
 from ..operators import medicines as M
 from ..operators import ontology as O
 from ..operators import resolution as R
+from ..session import written
 from . import views as W
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -29,7 +30,7 @@ def _ontology(spark, d, column, prefix):
     names = W.table(spark, d, "part").groupBy(F.col(column).alias("label")).agg(F.min("p_partkey").alias("k"))
     none = F.array().cast("array<string>")
     terms = names.select(F.concat(F.lit(f"{prefix}:"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("id"), "label", none.alias("synonyms"), F.lit("").alias("definition"), none.alias("alt_ids"))
-    entries = O.search_entries(terms)
+    entries = written(O.search_entries(terms))
     return entries, O.token_postings(entries)
 
 
@@ -70,7 +71,7 @@ def n7_decorated_cases(spark, d):
     mondo = W.table(spark, d, "part").groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("k"))
     words = F.concat(F.lit("type "), F.translate(F.substring("label", 7, 3), "0123456789", "abcdefghij"))
     none = F.array().cast("array<string>")
-    entries = O.search_entries(mondo.select(F.concat(F.lit("MONDO:"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("id"), words.alias("label"), none.alias("synonyms"), F.lit("").alias("definition"), none.alias("alt_ids")))
+    entries = written(O.search_entries(mondo.select(F.concat(F.lit("MONDO:"), F.lpad(F.col("k").cast("string"), 7, "0")).alias("id"), words.alias("label"), none.alias("synonyms"), F.lit("").alias("definition"), none.alias("alt_ids"))))
     cases = cases.withColumn("diagnosis", F.transform("diagnosis", lambda b: F.concat(F.lit("- type "), F.translate(F.substring(b, 7, 3), "0123456789", "abcdefghij"), F.lit(" ."))))
     out = R.decorate_cases(cases, ["p_partkey"], _ontology(spark, d, "p_name", "HP"), (entries, O.token_postings(entries)))
     joined = lambda c, f: F.array_join(F.transform(c, lambda s: s[f].cast("string")), "|")

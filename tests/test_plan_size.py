@@ -129,3 +129,18 @@ def test_terms_of_migrated_cases_are_found_once(spark):
     assert len(plans) == 1 and "Generate" not in plans[0], plans
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan, plan
+
+
+def test_terms_of_decorated_cases_are_found_once(spark, monkeypatch):
+    from cohortspark.operators import resolution as R
+    from cohortspark.plans import resolution_queries as Q
+
+    plans, search = [], R.O.search
+
+    def seen(terms, *rest, **options):
+        plans.append(_plan(terms))
+        return search(terms, *rest, **options)
+
+    monkeypatch.setattr(R.O, "search", seen)
+    Q.n7_decorated_cases(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Generate" in p for p in plans), plans
