@@ -21,6 +21,17 @@ def each(spark, function, texts):
     return [r.r for r in frame.select("i", function(F.col("t")).alias("r")).orderBy("i").collect()]
 
 
+def test_terms_are_trimmed_as_by_the_pattern(spark):
+    import itertools
+
+    by_pattern = lambda t: F.filter(F.transform(F.split(t, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    marks = [" ", "\t", "\n", "\x0b", "\f", "\r", "\x85", "\u2028", "\u2029", "\xa0", "\x1c", "a", ","]
+    texts = ["".join(x) for n in range(5) for x in itertools.product(marks, repeat=n) if n < 4 or "a" in x[:2]]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert frame.where(~X.comma_terms(F.col("t")).eqNullSafe(by_pattern(F.col("t")))).isEmpty()
+    assert each(spark, X.comma_terms, [None, " a ,, b\n"]) == [[], ["a", "b"]]
+
+
 def test_sanitize_and_segment(spark):
     assert each(spark, X.sanitize, ["★ • 60% cough, ++fever, ?GTCS", "", None, "ﬁne\n\n  — x "]) == ["60% cough, ++fever, ?GTCS", "", None, "fine\nx"]
     got = each(spark, X.segment, ["● a, b; c .\n● second\n●third● ", None])
