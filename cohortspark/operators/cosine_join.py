@@ -6,7 +6,8 @@ are posted in rings, by their nearest pivot and their angle to it; each ring
 keeps the range of its rows' angles to every pivot.  A vector of the other
 side goes only to rings that it may reach from all pivots, which loses no
 pair.  Rings, and the vectors that reach one, are cut into blocks, and blocks
-are compared by one matrix product a task.
+are compared by one matrix product a task; the cosines of the pairs found are
+then summed in the order of the components.
 """
 
 from __future__ import annotations
@@ -25,13 +26,45 @@ from ..session import ensure_checkpoint_dir
 PIVOTS, SAMPLE, RINGS = 8, 512, 32
 BLOCK = 4096
 SLACK = 1e-9
+#: Rows of one product, and the share of pairs (one in so many) from which all of a block's cosines are computed.
+TILE, DENSE = 512, 8
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = _matrix(column)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _sizes(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(x.shape[1])
+    for c in x:
+        total += c * c
+    return np.sqrt(total)
+
+
+def _in_order(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of columns ``i`` of ``q`` with columns ``j`` of ``x``, summed one component after the other as ``vectors.dot`` does.
+
+    A matrix product sums in an order that depends on its shape, so that the
+    last digits of equal pairs differ and ties fall apart.
+    """
+    if len(i) * DENSE < q.shape[1] * x.shape[1]:
+        total = np.zeros(len(i))
+        for a, b in zip(q, x, strict=True):
+            total += a[i] * b[j]
+        return total
+    every, product = np.zeros((q.shape[1], x.shape[1])), np.empty((q.shape[1], TILE))
+    for at in range(0, x.shape[1], TILE):
+        part = every[:, at : at + TILE]
+        for a, b in zip(q, x[:, at : at + TILE], strict=True):
+            part += np.multiply.outer(a, b, out=product[:, : len(b)])
+    return every[i, j]
+
+
 def _usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
     """(id, v, n): vectors of finite components that have a length, at most 1e150 in size so that it doesn't overflow."""
     v = F.col(vector).cast("array<double>")
@@ -148,12 +181,16 @@ def _of_length(left: DataFrame, right: DataFrame, threshold: float, l: str, r: s
         kind = pa.schema([q.schema.field(l), x.schema.field(r), pa.field("cos", pa.float64())])
         found = []
         if q.num_rows and x.num_rows:
-            xs, ids = _unit(x.column("v").combine_chunks()), x.column(r).combine_chunks()
+            vectors, ids = x.column("v").combine_chunks(), x.column(r).combine_chunks()
+            xs, columns = _unit(vectors), _matrix(vectors).T.copy()
+            sizes = _sizes(columns)
             for at in range(0, q.num_rows, 256):
                 some = q.slice(at, 256).combine_chunks()
-                cos = _unit(some.column("v").combine_chunks()) @ xs.T
-                i, j = np.nonzero(cos >= threshold - SLACK)
-                found.append(pa.Table.from_arrays([some.column(l).combine_chunks().take(pa.array(i)), ids.take(pa.array(j)), pa.array(cos[i, j])], schema=kind))
+                asked = some.column("v").combine_chunks()
+                i, j = np.nonzero(_unit(asked) @ xs.T >= threshold - SLACK)
+                mine = _matrix(asked).T.copy()
+                cos = _in_order(mine, columns, i, j) / (_sizes(mine)[i] * sizes[j])
+                found.append(pa.Table.from_arrays([some.column(l).combine_chunks().take(pa.array(i)), ids.take(pa.array(j)), pa.array(cos)], schema=kind))
         return pa.concat_tables(found) if found else kind.empty_table()
 
     kinds = [df.schema[name].dataType.simpleString() for df, name in ((left, l), (right, r))]

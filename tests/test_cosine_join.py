@@ -84,3 +84,17 @@ def test_entity_pairs_equal_all_pairs(spark):
                     want[t, c or "", hashed[i], u, d or "", hashed[j]] = (t == u, c is not None and c == d, c is not None and d is not None, round(cos, 9), lca(c, d))
         assert got == want
     assert "NestedLoop" not in pairs.distinct_pairs(one, one, closure, 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosines_are_summed_in_the_order_of_the_components(spark):
+    from cohortspark.functions import vectors as V
+
+    draw = np.random.default_rng(3)
+    kinds = [[float(x) for x in v] for v in draw.normal(size=(30, 67))]
+    left = spark.createDataFrame([(i, v) for i, v in enumerate(kinds)], "l int, embedding array<double>")
+    right = spark.createDataFrame([(i, kinds[i % 30 if i % 7 else 0]) for i in range(400)], "r int, embedding array<double>")
+    plain = left.withColumnRenamed("embedding", "a").crossJoin(right.withColumnRenamed("embedding", "b")).select("l", "r", V.cosine(F.col("a"), F.col("b")).alias("cos"))
+    for least, block in ((-1.0, 4096), (0.2, 4096), (0.2, 5)):
+        expected = {(x.l, x.r): x.cos for x in plain.where(F.col("cos") >= least).collect()}
+        got = {(x.l, x.r): x.cos for x in J.cosine_pairs(left, right, least, block=block).collect()}
+        assert got == expected
