@@ -9,6 +9,10 @@ strings that share enough of them share one among the first few of each.
 ``containing`` finds strings inside texts by an index of trigrams with their
 places.  A query is cut into trigrams that cover it; the list of its rarest
 one gives the places where it may begin, at which the others are looked up.
+
+``inside_pieces`` needs no index: queries that hold no separator stand inside
+a piece of a text between separators, and are looked up by their first letters
+among the parts of its pieces.
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread, written
+
 GRAM = 3
+#: Letters by which a query is looked up, those of a piece that are taken apart at once, and queries that are sent to every task.
+HEAD, STRETCH, SENT_QUERIES = 12, 256, 200_000
 
 
 def _letters(s: Column) -> Column:
@@ -118,3 +126,40 @@ def containing(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     others = starts.select("q", key, "start", F.size("cover").alias("needed"), F.explode("cover").alias("c")).select("q", key, "start", "needed", "c.gram", (F.col("start") + F.col("c.off")).alias("at"))
     whole = others.join(places, ["gram", key, "at"]).groupBy("q", key, "start").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where("n = needed")
     return short.unionByName(whole.select("q", key).distinct())
+
+
+def _parts(pieces: Column, sizes: list[int]) -> Column:
+    """The distinct parts of the pieces that have one of the sizes, each piece taken in stretches that overlap."""
+    long = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(STRETCH)), lambda at: F.substring(p, at, F.lit(STRETCH + HEAD - 1)))
+    stretches = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= STRETCH, F.array(p)).otherwise(long(p))))
+    of_size = lambda p, n: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))).otherwise(F.array().cast("array<string>"))
+    every = F.transform(stretches, lambda p: F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: of_size(p, n))))
+    return F.array_distinct(F.flatten(every))
+
+
+def inside_pieces(queries: DataFrame, texts: DataFrame, key: str, text: str, separators: str) -> DataFrame:
+    """(q, key): query strings (column q) with the texts that contain them, once for each row of ``texts``.
+
+    ``separators`` is a pattern of what may stand between pieces.  Texts are
+    shuffled once to be dealt out; their parts are not shuffled, as queries are
+    sent to every task.  Queries that hold a separator, and those beyond
+    SENT_QUERIES, are found by ``containing``.  Empty and null queries are
+    inside none; those that repeat count once.
+    """
+    asked = written(queries.select("q").where("q <> ''").distinct().withColumn("plain", ~F.regexp_like("q", F.lit(separators))))
+    rows = spread(texts.select(key, F.col(text).alias("__text")), key)
+    plain = asked.where("plain").select("q", F.substring("q", 1, HEAD).alias("__part"))
+    if plain.count() > SENT_QUERIES:
+        plain, asked = plain.limit(0), asked.withColumn("plain", F.lit(False))
+    sizes = sorted(r.n for r in plain.select(F.length("__part").alias("n")).distinct().collect())  # at most HEAD
+    found = None
+    if sizes:
+        parts = rows.withColumn("__part", F.explode(_parts(F.array_distinct(F.split("__text", separators)), sizes)))
+        held = (F.length("q") <= HEAD) | F.contains("__text", F.col("q"))
+        found = parts.join(F.broadcast(plain), "__part").where(held).select("q", key)
+    rest = asked.where("not plain").select("q")
+    if found is not None and rest.isEmpty():
+        return found
+    numbered = written(rows.withColumn("__row", F.monotonically_increasing_id()))
+    other = containing(rest, gram_postings(numbered, "__row", "__text"), "__row").join(numbered.select("__row", key), "__row").select("q", key)
+    return other if found is None else found.unionByName(other)

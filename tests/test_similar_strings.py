@@ -43,6 +43,35 @@ def test_strings_inside_texts(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("sent", [None, 0])
+def test_strings_inside_pieces_of_texts(spark, monkeypatch, sent):
+    if sent is not None:
+        monkeypatch.setattr(S, "SENT_QUERIES", sent)
+    long = "".join(random.Random(6).choice("abc") for _ in range(900))
+    texts = [*strings(5, 60, "abc ,"), long, f"x {long[:300]},{long[200:]} é", "abcabc abcabc", "", None]
+    asked = [*strings(7, 60, "abc "), long[250:270], long[240:280], long[100:700], long[:20] + "q", "a b", "c,", "é", "abcabc abc", "x y", *ODD]
+    # ids repeat and may be missing; a text counts once for each of its rows
+    ids = [i // 2 if i % 5 else None for i in range(len(texts))]
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "id int, text string")
+    got = S.inside_pieces(spark.createDataFrame([(q,) for q in [*asked, *asked[:9], "", None]], "q string"), frame, "id", "text", "[^a-c]+").collect()
+    want = [(q, i) for q in set(asked) for i, t in zip(ids, texts, strict=True) if q and t and q in t]
+    order = lambda rows: sorted((q, -1 if i is None else i) for q, i in rows)
+    assert order(got) == order(want)
+
+
+def test_words_inside_texts_shuffle_no_more_than_the_texts(spark, tmp_path):
+    from cohortspark.plans import search_queries as Q
+
+    turns = [(i, 0, "Abcde, an abcdefghijklmnopq of abc") for i in range(5)] + [(0, 0, "abc")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([("ABC bcd an zz",), ("abcdefghijklmnop abcdefghijklmnox",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = Q.t10_inside_texts(spark, str(tmp_path))
+    assert dict(map(tuple, found.collect())) == {"abc": 6, "bcd": 5, "an": 5, "abcdefghijklmnop": 5}
+    # the texts are dealt out before they are taken apart, the parts are counted where they are
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], "a string")
     some = spark.createDataFrame([("ab",)], "b string")
